@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]"
+# White space as Unicode sees it plus the four separator controls; only inside patterns that start with (?U).
 SPACE = r"[\s\x1c-\x1f]"
 
 
@@ -31,10 +32,6 @@ def one_of(alternatives: Iterable[str]) -> str:
     return "(?U)" + "|".join(parts)
 
 
-def matches(column: Column, alternatives: Iterable[str]) -> Column:
-    return column.rlike(one_of(alternatives))
-
-
 def count_matches(column: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(column, F.lit(pattern), F.lit(0)))
 

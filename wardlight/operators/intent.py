@@ -8,12 +8,15 @@ masked sentences always line up.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight import values as V
-from wardlight.functions.patterns import SPACE, bind, count_matches, matches, one_of
-from wardlight.functions.text import evidence_snippet, normalize, strip, to_latin
+from wardlight.functions.patterns import SPACE, bind, count_matches, one_of
+from wardlight.functions.phrases import either_passes_gate, found, found_in_either, without
+from wardlight.functions.text import evidence_snippet, normalize, squeeze, strip, to_latin
 
 KINDS = ["quote", "request", "warning", "report", "info"]
 _MARK = "﷐"
@@ -26,7 +29,6 @@ _QUOTED = (
 )
 _QUOTE_MARKS = "[\"«“„']"
 _LAST_QUOTING_WORD = rf"(?sU)^.*\b(?:{V.QUOTING_WORDS})\b"
-_QUOTING_WORD = rf"(?U)\b(?:{V.QUOTING_WORDS})\b"
 
 
 def mark_sentences(text: Column) -> Column:
@@ -59,22 +61,21 @@ def sentence_forms(raw: Column, norm: Column, latin: Column, masked: Column, mas
     return F.filter(zipped, lambda s: s["norm"] != "")
 
 
-def _any(norm: Column, latin: Column, alternatives: list[str]) -> Column:
-    return matches(norm, alternatives) | ((latin != norm) & matches(latin, alternatives))
-
-
 def _asks_one(sentence: Column, context: Column) -> Column:
     """struct<asks, money> for one spelling: outside quoted speech and safe advice, is something risky asked for?"""
 
     def after_quotes(cleaned: Column) -> Column:
-        return F.when(cleaned.rlike(_QUOTING_WORD), F.regexp_replace(cleaned, _LAST_QUOTING_WORD, "")).otherwise(cleaned)
+        return F.when(found(cleaned, "QUOTING_WORD"), F.regexp_replace(cleaned, _LAST_QUOTING_WORD, "")).otherwise(cleaned)
 
     def judged(tail: Column) -> Column:
-        need = matches(tail, V.NEED)
-        ask = need | (matches(tail, V.ASK_VERB) & matches(context, V.RISKY_OBJECT))
-        return F.struct(ask.alias("asks"), (ask & (need | matches(context, V.MONEY))).alias("money"))
+        need = found(tail, "NEED")
+        ask = need | (found(context, "RISKY_OBJECT") & found(tail, "ASK_VERB"))
+        return F.struct(need.alias("need"), ask.alias("asks"))
 
-    return bind(F.regexp_replace(sentence, one_of(V.SAFE_ACTION), " "), lambda c: bind(after_quotes(c), judged))
+    def with_money(a: Column) -> Column:
+        return F.struct(a["asks"].alias("asks"), (a["asks"] & (a["need"] | found(context, "MONEY"))).alias("money"))
+
+    return bind(without(sentence, "SAFE_ACTION"), lambda c: bind(after_quotes(c), lambda tail: bind(judged(tail), with_money)))
 
 
 def sentence_asks(norm: Column, latin: Column, before: Column, before_latin: Column) -> Column:
@@ -87,15 +88,16 @@ def sentence_asks(norm: Column, latin: Column, before: Column, before_latin: Col
 
 
 def sentence_warns(norm: Column, latin: Column) -> Column:
-    return _any(norm, latin, V.WARNING) | (_any(norm, latin, V.TELL_NOT) & _any(norm, latin, V.SECRET))
+    return found_in_either(norm, latin, "WARNING") | (
+        found_in_either(norm, latin, "TELL_NOT") & found_in_either(norm, latin, "SECRET"))
 
 
 def sentence_reports(norm: Column, latin: Column) -> Column:
-    return _any(norm, latin, V.WHO) & _any(norm, latin, V.PAST)
+    return found_in_either(norm, latin, "WHO") & found_in_either(norm, latin, "PAST")
 
 
 def sentence_quotes(norm: Column, latin: Column) -> Column:
-    return _any(norm, latin, V.QUOTE)
+    return found_in_either(norm, latin, "QUOTE")
 
 
 def judge_sentences(sentences: Column) -> Column:
@@ -149,8 +151,11 @@ def decide_intent(judged: Column, narrative_verbs: Column) -> Column:
     ), from_firsts)
 
 
-def detect_intent(messages: DataFrame, text: str = "text", out: str = "intent") -> DataFrame:
-    """Adds struct<kind, evidence, asks_money>. Each stage is its own column so nothing is computed twice."""
+STAGED = ["_raw", "_blank", "_norm", "_masked", "_latin", "_masked_latin"]
+
+
+def stage_forms(messages: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the marked forms every later step reads. Each form is its own column, so it is computed once."""
     return (
         messages.withColumn("_raw", mark_sentences(F.coalesce(F.col(text), F.lit(""))))
         .withColumn("_blank", blank_quoted(F.col("_raw")))
@@ -158,16 +163,48 @@ def detect_intent(messages: DataFrame, text: str = "text", out: str = "intent")
         .withColumn("_masked", F.when(F.col("_blank") == F.col("_raw"), F.col("_norm"))
                     .otherwise(normalize(F.col("_blank"))))
         .withColumn("_latin", to_latin(F.col("_norm")))
-        .withColumn("_masked_latin", to_latin(F.col("_masked")))
-        .withColumn("_sentences", sentence_forms(*[F.col(c) for c in
-                                                   ("_raw", "_norm", "_latin", "_masked", "_masked_latin")]))
-        .withColumn("_verbs", past_verbs(*[F.translate(F.col(c), _MARK, " ") for c in ("_masked", "_masked_latin")]))
-        .withColumn("_judged", bind(F.col("_sentences"), judge_sentences))
+        .withColumn("_masked_latin", F.when(F.col("_blank") == F.col("_raw"), F.col("_latin"))
+                    .otherwise(to_latin(F.col("_masked"))))
+    )
+
+
+def unmarked(form: Column) -> Column:
+    """The normalised text itself, without sentence marks."""
+    return squeeze(F.replace(form, F.lit(_MARK), F.lit("")))
+
+
+_SENTENCE_PHRASES = ["QUOTE", "NEED", "RISKY_OBJECT", "WARNING", "TELL_NOT", "WHO"]
+
+
+def _quiet(sentences: Column) -> Column:
+    """The first sentence only, judged as nothing: all that a message without any trigger needs."""
+    no = F.lit(False)
+    return F.transform(F.slice(sentences, 1, 1), lambda s: F.struct(
+        s["raw"].alias("raw"), s["norm"].alias("norm"), s["latin"].alias("latin"), no.alias("quote"),
+        F.struct(no.alias("asks"), no.alias("money")).alias("request"), no.alias("warning"), no.alias("report")))
+
+
+def judge_staged(staged: DataFrame, out: str = "intent") -> DataFrame:
+    """Sentences are judged only in messages where some phrase list could match at all."""
+    triggered = reduce(lambda a, b: a | b, [
+        either_passes_gate(F.col("_norm"), F.col("_latin"), name) for name in _SENTENCE_PHRASES])
+    return (
+        staged.withColumn("_sentences", sentence_forms(*[F.col(c) for c in
+                                                         ("_raw", "_norm", "_latin", "_masked", "_masked_latin")]))
+        .withColumn("_judged", F.when(triggered, bind(F.col("_sentences"), judge_sentences))
+                    .otherwise(_quiet(F.col("_sentences"))))
+        .withColumn("_verbs", past_verbs(*[F.replace(F.col(c), F.lit(_MARK), F.lit(" "))
+                                           for c in ("_masked", "_masked_latin")]))
         .withColumn(out, decide_intent(F.col("_judged"), F.col("_verbs")))
-        .drop("_raw", "_blank", "_norm", "_masked", "_latin", "_masked_latin", "_sentences", "_verbs", "_judged")
+        .drop("_sentences", "_verbs", "_judged")
     )
 
 
+def detect_intent(messages: DataFrame, text: str = "text", out: str = "intent") -> DataFrame:
+    """Adds struct<kind, evidence, asks_money>."""
+    return judge_staged(stage_forms(messages, text), out).drop(*STAGED)
+
+
 def split_sentences(messages: DataFrame, text: str = "text", *keys: str) -> DataFrame:
     """One row per non-blank sentence: keys, pos, start offset (0-based), sentence."""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardlight import values as V
 from wardlight.functions.patterns import noisy_or, one_of
+from wardlight.functions.phrases import found_in_either
 from wardlight.functions.text import normalize, to_latin
 
 
@@ -19,14 +20,10 @@ def rule_table(spark: SparkSession) -> DataFrame:
 def rule_hits(norm: Column, latin: Column) -> Column:
     """array<struct<rule, weight, amplifier>> in rule order; a rule fires once per message."""
 
-    def hit(alternatives: list[str]) -> Column:
-        pattern = one_of(alternatives)
-        return norm.rlike(pattern) | ((latin != norm) & latin.rlike(pattern))
-
     return F.array_compact(F.array(*[
-        F.when(hit(alternatives), F.struct(
+        F.when(found_in_either(norm, latin, name), F.struct(
             F.lit(name).alias("rule"), F.lit(weight).alias("weight"), F.lit(amplifier).alias("amplifier")))
-        for name, weight, amplifier, alternatives in V.RULES
+        for name, weight, amplifier, _ in V.RULES
     ]))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from wardlight import values as V
 from wardlight.functions.patterns import combined
-from wardlight.functions.text import normalize, to_latin
 from wardlight.operators import intent, links, rules
 
 
@@ -50,11 +49,12 @@ def score_messages(messages: DataFrame, text: str = "text", proba: str | None =
     p = F.col(proba).cast("double") if proba else F.lit(None).cast("double")
     body = F.coalesce(F.col(text), F.lit(""))
     df = (
-        intent.detect_intent(messages, text)
-        .withColumn("_norm", normalize(body))
-        .withColumn("_latin", to_latin(F.col("_norm")))
+        intent.judge_staged(intent.stage_forms(messages, text))
+        .withColumn("_plain", intent.unmarked(F.col("_norm")))
+        .withColumn("_plain_latin", F.when(F.col("_latin") == F.col("_norm"), F.col("_plain"))
+                    .otherwise(intent.unmarked(F.col("_latin"))))
         .withColumn("links", links.message_links(body))
-        .withColumn("_hits", rules.rule_hits(F.col("_norm"), F.col("_latin")))
+        .withColumn("_hits", rules.rule_hits(F.col("_plain"), F.col("_plain_latin")))
         .withColumn("link_score", links.message_link_score(F.col("links")))
         .withColumn("counted", rules.counted_hits(F.col("_hits"), F.col("link_score")))
         .withColumn("model_score", p)
