@@ -58,7 +58,7 @@ def registered_domain(host: Column) -> Column:
 
 def lookup_domain(host: Column) -> Column:
     """The domain asked about at registries: a wider second-level list, no www."""
-    return _domain(without_www(F.trim(F.lit("."), F.lower(host))), V.LOOKUP_SECOND_LEVEL_LABELS)
+    return _domain(without_www(F.trim(F.lower(host), F.lit("."))), V.LOOKUP_SECOND_LEVEL_LABELS)
 
 
 def public_url(url: Column) -> Column:

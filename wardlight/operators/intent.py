@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wardlight import values as V
 from wardlight.functions.patterns import SPACE, bind, count_matches, one_of
 from wardlight.functions.phrases import either_passes_gate, found, found_in_either, without
+from wardlight.functions.staging import stage
 from wardlight.functions.text import evidence_snippet, normalize, squeeze, strip, to_latin
 
 KINDS = ["quote", "request", "warning", "report", "info"]
@@ -156,16 +157,12 @@ STAGED = ["_raw", "_blank", "_norm", "_masked", "_latin", "_masked_latin"]
 
 def stage_forms(messages: DataFrame, text: str = "text") -> DataFrame:
     """Adds the marked forms every later step reads. Each form is its own column, so it is computed once."""
-    return (
-        messages.withColumn("_raw", mark_sentences(F.coalesce(F.col(text), F.lit(""))))
-        .withColumn("_blank", blank_quoted(F.col("_raw")))
-        .withColumn("_norm", normalize(F.col("_raw")))
-        .withColumn("_masked", F.when(F.col("_blank") == F.col("_raw"), F.col("_norm"))
-                    .otherwise(normalize(F.col("_blank"))))
-        .withColumn("_latin", to_latin(F.col("_norm")))
-        .withColumn("_masked_latin", F.when(F.col("_blank") == F.col("_raw"), F.col("_latin"))
-                    .otherwise(to_latin(F.col("_masked"))))
-    )
+    raw = stage(messages, {"_raw": mark_sentences(F.coalesce(F.col(text), F.lit("")))})
+    blank = stage(raw, {"_blank": blank_quoted(F.col("_raw")), "_norm": normalize(F.col("_raw"))})
+    same = F.col("_blank") == F.col("_raw")
+    masked = stage(blank, {
+        "_masked": F.when(same, F.col("_norm")).otherwise(normalize(F.col("_blank"))), "_latin": to_latin(F.col("_norm"))})
+    return stage(masked, {"_masked_latin": F.when(same, F.col("_latin")).otherwise(to_latin(F.col("_masked")))})
 
 
 def unmarked(form: Column) -> Column:
@@ -188,16 +185,12 @@ def judge_staged(staged: DataFrame, out: str = "intent") -> DataFrame:
     """Sentences are judged only in messages where some phrase list could match at all."""
     triggered = reduce(lambda a, b: a | b, [
         either_passes_gate(F.col("_norm"), F.col("_latin"), name) for name in _SENTENCE_PHRASES])
-    return (
-        staged.withColumn("_sentences", sentence_forms(*[F.col(c) for c in
-                                                         ("_raw", "_norm", "_latin", "_masked", "_masked_latin")]))
-        .withColumn("_judged", F.when(triggered, bind(F.col("_sentences"), judge_sentences))
-                    .otherwise(_quiet(F.col("_sentences"))))
-        .withColumn("_verbs", past_verbs(*[F.replace(F.col(c), F.lit(_MARK), F.lit(" "))
-                                           for c in ("_masked", "_masked_latin")]))
-        .withColumn(out, decide_intent(F.col("_judged"), F.col("_verbs")))
-        .drop("_sentences", "_verbs", "_judged")
-    )
+    forms = [F.col(c) for c in ("_raw", "_norm", "_latin", "_masked", "_masked_latin")]
+    sentences = stage(staged, {"_sentences": sentence_forms(*forms), "_triggered": triggered})
+    judged = stage(sentences, {
+        "_judged": F.when(F.col("_triggered"), bind(F.col("_sentences"), judge_sentences)).otherwise(_quiet(F.col("_sentences")))})
+    verbs = past_verbs(*[F.replace(F.col(c), F.lit(_MARK), F.lit(" ")) for c in ("_masked", "_masked_latin")])
+    return stage(judged, {out: decide_intent(F.col("_judged"), verbs)}).drop("_sentences", "_triggered", "_judged")
 
 
 def detect_intent(messages: DataFrame, text: str = "text", out: str = "intent") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardlight import values as V
 from wardlight.functions.patterns import noisy_or, one_of
 from wardlight.functions.phrases import found_in_either
+from wardlight.functions.staging import stage
 from wardlight.functions.text import normalize, to_latin
 
 
@@ -40,5 +41,6 @@ def rule_score(counted: Column) -> Column:
 
 def match_rules(messages: DataFrame, text: str = "text") -> DataFrame:
     """Adds `hits` to a table of messages."""
-    staged = messages.withColumn("_norm", normalize(F.col(text))).withColumn("_latin", to_latin(F.col("_norm")))
-    return staged.withColumn("hits", rule_hits(F.col("_norm"), F.col("_latin"))).drop("_norm", "_latin")
+    normed = stage(messages, {"_norm": normalize(F.col(text))})
+    staged = stage(normed, {"_latin": to_latin(F.col("_norm"))})
+    return stage(staged, {"hits": rule_hits(F.col("_norm"), F.col("_latin"))}).drop("_norm", "_latin")

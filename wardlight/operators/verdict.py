@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardlight import values as V
 from wardlight.functions.patterns import combined
+from wardlight.functions.staging import stage
 from wardlight.operators import intent, links, rules
 
 
@@ -48,49 +49,39 @@ def score_messages(messages: DataFrame, text: str = "text", proba: str | None =
     kept = messages.columns
     p = F.col(proba).cast("double") if proba else F.lit(None).cast("double")
     body = F.coalesce(F.col(text), F.lit(""))
-    df = (
-        intent.judge_staged(intent.stage_forms(messages, text))
-        .withColumn("_plain", intent.unmarked(F.col("_norm")))
-        .withColumn("_plain_latin", F.when(F.col("_latin") == F.col("_norm"), F.col("_plain"))
-                    .otherwise(intent.unmarked(F.col("_latin"))))
-        .withColumn("links", links.message_links(body))
-        .withColumn("_hits", rules.rule_hits(F.col("_plain"), F.col("_plain_latin")))
-        .withColumn("link_score", links.message_link_score(F.col("links")))
-        .withColumn("counted", rules.counted_hits(F.col("_hits"), F.col("link_score")))
-        .withColumn("model_score", p)
-    )
+    judged = intent.judge_staged(intent.stage_forms(messages, text))
+    plain = stage(judged, {
+        "_plain": intent.unmarked(F.col("_norm")),
+        "_plain_latin": F.when(F.col("_latin") == F.col("_norm"), intent.unmarked(F.col("_norm")))
+        .otherwise(intent.unmarked(F.col("_latin"))),
+        "links": links.message_links(body)})
+    found = stage(plain, {"_hits": rules.rule_hits(F.col("_plain"), F.col("_plain_latin")),
+                          "link_score": links.message_link_score(F.col("links"))})
+    df = stage(found, {"counted": rules.counted_hits(F.col("_hits"), F.col("link_score")), "model_score": p})
     mention = is_mention(F.col("intent.kind"))
-    df = (
-        df.withColumn("rule_score", rules.rule_score(F.col("counted")) * F.when(mention, V.MENTION_WEIGHT).otherwise(1.0))
-        .withColumn("_model", F.when(mention, 0.0).otherwise(model_evidence(F.col("model_score"))))
-        .withColumn("_all", combined(F.col("rule_score"), F.col("link_score"), F.col("_model")))
-        .withColumn("_hard", combined(F.col("rule_score"), F.col("link_score")))
-    )
+    df = stage(df, {
+        "rule_score": rules.rule_score(F.col("counted")) * F.when(mention, V.MENTION_WEIGHT).otherwise(1.0),
+        "_model": F.when(mention, 0.0).otherwise(model_evidence(F.col("model_score")))})
+    df = stage(df, {"_all": combined(F.col("rule_score"), F.col("link_score"), F.col("_model")),
+                    "_hard": combined(F.col("rule_score"), F.col("link_score"))})
     # A model reads the same text as the rules: alone it may raise a message to suspicious, not further.
     model_only = (F.col("_all") >= V.DANGEROUS_AT) & (F.col("_hard") < V.DANGEROUS_AT)
     capped = F.when(model_only, F.least(F.col("_all"), F.lit(V.DANGEROUS_AT - 0.01))).otherwise(F.col("_all"))
     asks = F.col("intent.asks_money") & F.col("intent.kind").isin("request", "quote")
-    df = (
-        df.withColumn("_capped", capped)
-        .withColumn("_level", F.when(model_only, "suspicious").otherwise(level_for(F.col("_all"))))
-        .withColumn("needs_context", (F.col("_level") == "safe") & asks)
-    )
+    df = stage(df, {"_capped": capped,
+                    "_level": F.when(model_only, "suspicious").otherwise(level_for(F.col("_all")))})
+    df = stage(df, {"needs_context": (F.col("_level") == "safe") & asks})
     signals = F.concat(
         F.when(mention, F.array().cast("array<string>")).otherwise(by_weight(F.col("counted"))),
         F.flatten(F.transform(F.col("links"), lambda link: link["signals"])),
         F.array_compact(F.array(F.when(F.col("_model") > 0, "ai_model"), F.when(F.col("needs_context"), "needs_context"))),
     )
-    return df.select(
-        *kept,
-        F.when(F.col("needs_context"), F.greatest(F.col("_capped"), F.lit(V.SUSPICIOUS_AT)))
-        .otherwise(F.col("_capped")).alias("score"),
-        F.when(F.col("needs_context"), "suspicious").otherwise(F.col("_level")).alias("level"),
-        signals.alias("signals"),
-        "rule_score", "link_score", "model_score",
-        F.col("_model").alias("model_evidence"),
-        "intent", "links", "counted",
-        links.scam_domains(F.col("links")).alias("domains"),
-    )
+    done = stage(df, {
+        "score": F.when(F.col("needs_context"), F.greatest(F.col("_capped"), F.lit(V.SUSPICIOUS_AT))).otherwise(F.col("_capped")),
+        "level": F.when(F.col("needs_context"), "suspicious").otherwise(F.col("_level")),
+        "signals": signals, "domains": links.scam_domains(F.col("links"))})
+    return done.select(*kept, "score", "level", "signals", "rule_score", "link_score", "model_score",
+                       F.col("_model").alias("model_evidence"), "intent", "links", "counted", "domains")
 
 
 def verdict_document(verdicts: DataFrame, *keys: str) -> DataFrame:
