@@ -16,3 +16,8 @@ def stage(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """`df` with the columns added, each evaluated once per row."""
     row = F.struct(*[column.alias(name) for name, column in columns.items()])
     return df.select("*", F.inline_outer(F.array(row)))
+
+
+def stage_fields(df: DataFrame, row: Column) -> DataFrame:
+    """The same for a struct: its fields become columns, so nothing above refers into a nested value."""
+    return df.select("*", F.inline_outer(F.array(row)))

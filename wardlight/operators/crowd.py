@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from wardlight import values as V
 from wardlight.functions import hosts as H
 from wardlight.functions.patterns import noisy_or_agg
-from wardlight.functions.staging import stage
 from wardlight.functions.skew import count_distinct, salted_join
 from wardlight.functions.text import indicator_fingerprint, mask_for_dataset, mask_preview, salted_fingerprint
 from wardlight.operators.links import urls_in
@@ -74,9 +73,8 @@ def extract_indicators(messages: DataFrame, *keys: str, text: str = "text", forw
                        forward_name: str | None = None, ignored: tuple[str, ...] = ()) -> DataFrame:
     """One row per (message, kind, value, preview); distinct inside the message, so no shuffle."""
     forward = forward_indicator(F.col(forward_id), F.col(forward_name)) if forward_id else None
-    found = stage(messages, {"_found": message_indicators(F.coalesce(F.col(text), F.lit("")), forward, ignored)})
-    rows = found.select(*keys, F.explode_outer("_found").alias("i")).filter(F.col("i").isNotNull())
-    return rows.select(*keys, "i.kind", "i.value", "i.preview")
+    found = message_indicators(F.coalesce(F.col(text), F.lit("")), forward, ignored)
+    return messages.select(*keys, F.inline_outer(found)).filter(F.col("kind").isNotNull())
 
 
 def report_rows(indicators: DataFrame, reporter: str, ts: str, salt: str) -> DataFrame:

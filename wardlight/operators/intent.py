@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wardlight import values as V
 from wardlight.functions.patterns import SPACE, bind, count_matches, one_of
 from wardlight.functions.phrases import either_passes_gate, found, found_in_either, without
-from wardlight.functions.staging import stage
+from wardlight.functions.staging import stage, stage_fields
 from wardlight.functions.text import evidence_snippet, normalize, squeeze, strip, to_latin
 
 KINDS = ["quote", "request", "warning", "report", "info"]
@@ -129,7 +129,7 @@ def past_verbs(norm: Column, latin: Column) -> Column:
 
 
 def decide_intent(judged: Column, narrative_verbs: Column) -> Column:
-    """struct<kind, evidence, asks_money>: quote > request > warning > report > info."""
+    """struct<_kind, _evidence, _asks_money>: quote > request > warning > report > info."""
     first = lambda condition: F.get(F.filter(judged, condition), F.lit(0))
 
     def from_firsts(f: Column) -> Column:
@@ -142,7 +142,7 @@ def decide_intent(judged: Column, narrative_verbs: Column) -> Column:
         evidence = F.coalesce(f["quote"], f["request"]["raw"], f["warning"], told, F.lit(""))
         money = (F.when(f["quote"].isNotNull(), quoted_money)
                  .when(f["request"].isNotNull(), f["request"]["request"]["money"]).otherwise(False))
-        return F.struct(kind.alias("kind"), evidence_snippet(evidence).alias("evidence"), money.alias("asks_money"))
+        return F.struct(kind.alias("_kind"), evidence_snippet(evidence).alias("_evidence"), money.alias("_asks_money"))
 
     return bind(F.struct(
         first(lambda s: s["quote"])["raw"].alias("quote"),
@@ -152,9 +152,6 @@ def decide_intent(judged: Column, narrative_verbs: Column) -> Column:
     ), from_firsts)
 
 
-STAGED = ["_raw", "_blank", "_norm", "_masked", "_latin", "_masked_latin"]
-
-
 def stage_forms(messages: DataFrame, text: str = "text") -> DataFrame:
     """Adds the marked forms every later step reads. Each form is its own column, so it is computed once."""
     raw = stage(messages, {"_raw": mark_sentences(F.coalesce(F.col(text), F.lit("")))})
@@ -181,8 +178,8 @@ def _quiet(sentences: Column) -> Column:
         F.struct(no.alias("asks"), no.alias("money")).alias("request"), no.alias("warning"), no.alias("report")))
 
 
-def judge_staged(staged: DataFrame, out: str = "intent") -> DataFrame:
-    """Sentences are judged only in messages where some phrase list could match at all."""
+def judge_staged(staged: DataFrame) -> DataFrame:
+    """Adds _kind, _evidence, _asks_money. Sentences are judged only in messages where some phrase list could match at all."""
     triggered = reduce(lambda a, b: a | b, [
         either_passes_gate(F.col("_norm"), F.col("_latin"), name) for name in _SENTENCE_PHRASES])
     forms = [F.col(c) for c in ("_raw", "_norm", "_latin", "_masked", "_masked_latin")]
@@ -190,12 +187,16 @@ def judge_staged(staged: DataFrame, out: str = "intent") -> DataFrame:
     judged = stage(sentences, {
         "_judged": F.when(F.col("_triggered"), bind(F.col("_sentences"), judge_sentences)).otherwise(_quiet(F.col("_sentences")))})
     verbs = past_verbs(*[F.replace(F.col(c), F.lit(_MARK), F.lit(" ")) for c in ("_masked", "_masked_latin")])
-    return stage(judged, {out: decide_intent(F.col("_judged"), verbs)}).drop("_sentences", "_triggered", "_judged")
+    return stage_fields(judged, decide_intent(F.col("_judged"), verbs)).drop("_sentences", "_triggered", "_judged")
+
+
+def intent_struct() -> Column:
+    return F.struct(F.col("_kind").alias("kind"), F.col("_evidence").alias("evidence"), F.col("_asks_money").alias("asks_money"))
 
 
 def detect_intent(messages: DataFrame, text: str = "text", out: str = "intent") -> DataFrame:
     """Adds struct<kind, evidence, asks_money>."""
-    return judge_staged(stage_forms(messages, text), out).drop(*STAGED)
+    return judge_staged(stage_forms(messages, text)).select(*messages.columns, intent_struct().alias(out))
 
 
 def split_sentences(messages: DataFrame, text: str = "text", *keys: str) -> DataFrame:

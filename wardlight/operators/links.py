@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wardlight import values as V
 from wardlight.functions import hosts as H
 from wardlight.functions.patterns import bind
-from wardlight.functions.staging import stage
+from wardlight.functions.staging import stage_fields
 
 _URL = r"(?iU)\b(" + V.URL_EXPLICIT + "|" + V.URL_BARE + ")"
 LINK_TYPE = "array<struct<url:string,host:string,official:boolean,brand:string,score:double,signals:array<string>>>"
@@ -117,12 +117,13 @@ def scam_domains(links: Column) -> Column:
 def score_links(df: DataFrame, url: str = "url") -> DataFrame:
     """Adds host, official, brand, score and signals to a table of links."""
     report = link_report(F.col(url), H.host_of(F.col(url)))
-    return stage(df, {"_report": report}).select(
-        *df.columns, *[F.col("_report")[n].alias(n) for n in ("host", "official", "brand", "score", "signals")])
+    named = bind(report, lambda r: F.struct(*[r[n].alias(n) for n in ("host", "official", "brand", "score", "signals")]))
+    return stage_fields(df, named)
 
 
 def explode_links(messages: DataFrame, text: str = "text", *keys: str) -> DataFrame:
     """One row per (message, position, link)."""
-    found = stage(messages, {"_links": message_links(F.col(text))})
-    return found.select(*keys, F.posexplode_outer("_links").alias("pos", "link")).filter(
-        F.col("link").isNotNull()).select(*keys, "pos", "link.*")
+    numbered = F.transform(message_links(F.col(text)), lambda link, i: F.struct(
+        i.alias("pos"), *[link[n].alias(n) for n in ("url", "host", "official", "brand", "score", "signals")]))
+    found = messages.select(*keys, F.inline_outer(numbered))
+    return found.filter(F.col("url").isNotNull())

@@ -58,7 +58,7 @@ def score_messages(messages: DataFrame, text: str = "text", proba: str | None =
     found = stage(plain, {"_hits": rules.rule_hits(F.col("_plain"), F.col("_plain_latin")),
                           "link_score": links.message_link_score(F.col("links"))})
     df = stage(found, {"counted": rules.counted_hits(F.col("_hits"), F.col("link_score")), "model_score": p})
-    mention = is_mention(F.col("intent.kind"))
+    mention = is_mention(F.col("_kind"))
     df = stage(df, {
         "rule_score": rules.rule_score(F.col("counted")) * F.when(mention, V.MENTION_WEIGHT).otherwise(1.0),
         "_model": F.when(mention, 0.0).otherwise(model_evidence(F.col("model_score")))})
@@ -67,7 +67,7 @@ def score_messages(messages: DataFrame, text: str = "text", proba: str | None =
     # A model reads the same text as the rules: alone it may raise a message to suspicious, not further.
     model_only = (F.col("_all") >= V.DANGEROUS_AT) & (F.col("_hard") < V.DANGEROUS_AT)
     capped = F.when(model_only, F.least(F.col("_all"), F.lit(V.DANGEROUS_AT - 0.01))).otherwise(F.col("_all"))
-    asks = F.col("intent.asks_money") & F.col("intent.kind").isin("request", "quote")
+    asks = F.col("_asks_money") & F.col("_kind").isin("request", "quote")
     df = stage(df, {"_capped": capped,
                     "_level": F.when(model_only, "suspicious").otherwise(level_for(F.col("_all")))})
     df = stage(df, {"needs_context": (F.col("_level") == "safe") & asks})
@@ -81,7 +81,7 @@ def score_messages(messages: DataFrame, text: str = "text", proba: str | None =
         "level": F.when(F.col("needs_context"), "suspicious").otherwise(F.col("_level")),
         "signals": signals, "domains": links.scam_domains(F.col("links"))})
     return done.select(*kept, "score", "level", "signals", "rule_score", "link_score", "model_score",
-                       F.col("_model").alias("model_evidence"), "intent", "links", "counted", "domains")
+                       F.col("_model").alias("model_evidence"), intent.intent_struct().alias("intent"), "links", "counted", "domains")
 
 
 def verdict_document(verdicts: DataFrame, *keys: str) -> DataFrame:

@@ -184,8 +184,8 @@ def message_link_score(spark, d):
 
 @query("rule_hits", S.select([S.MESSAGES, S.forms_cte("messages"), S.rules_cte("forms")], "SELECT msg_id, rule, weight, amplifier FROM hits"))
 def rule_hits(spark, d):
-    hits = rules.match_rules(D.messages(spark, d)).select("msg_id", F.explode_outer("hits").alias("h"))
-    return hits.filter(F.col("h").isNotNull()).select("msg_id", "h.rule", "h.weight", "h.amplifier")
+    hits = rules.match_rules(D.messages(spark, d)).select("msg_id", F.inline_outer("hits"))
+    return hits.filter(F.col("rule").isNotNull())
 
 
 @query("noisy_or", S.select([S.MESSAGES, S.forms_cte("messages"), S.rules_cte("forms"), S.message_links_ctes(),
