@@ -8,6 +8,7 @@ masked sentences always line up.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -62,15 +63,23 @@ def sentence_forms(raw: Column, norm: Column, latin: Column, masked: Column, mas
     return F.filter(zipped, lambda s: s["norm"] != "")
 
 
-def _asks_one(sentence: Column, context: Column) -> Column:
+# Which phrase lists can occur in the message at all; a list that cannot is not looked for in its sentences.
+Possible = Callable[[str], Column]
+
+
+def always(_: str) -> Column:
+    return F.lit(True)
+
+
+def _asks_one(sentence: Column, context: Column, possible: Possible) -> Column:
     """struct<asks, money> for one spelling: outside quoted speech and safe advice, is something risky asked for?"""
 
     def after_quotes(cleaned: Column) -> Column:
         return F.when(found(cleaned, "QUOTING_WORD"), F.regexp_replace(cleaned, _LAST_QUOTING_WORD, "")).otherwise(cleaned)
 
     def judged(tail: Column) -> Column:
-        need = found(tail, "NEED")
-        ask = need | (found(context, "RISKY_OBJECT") & found(tail, "ASK_VERB"))
+        need = possible("NEED") & found(tail, "NEED")
+        ask = need | (possible("RISKY_OBJECT") & found(context, "RISKY_OBJECT") & found(tail, "ASK_VERB"))
         return F.struct(need.alias("need"), ask.alias("asks"))
 
     def with_money(a: Column) -> Column:
@@ -79,18 +88,19 @@ def _asks_one(sentence: Column, context: Column) -> Column:
     return bind(without(sentence, "SAFE_ACTION"), lambda c: bind(after_quotes(c), lambda tail: bind(judged(tail), with_money)))
 
 
-def sentence_asks(norm: Column, latin: Column, before: Column, before_latin: Column) -> Column:
+def sentence_asks(norm: Column, latin: Column, before: Column, before_latin: Column,
+                  possible: Possible = always) -> Column:
     """struct<asks, money>; the object may sit in the previous sentence. The first spelling that asks decides."""
     context = lambda prev, cur: F.trim(F.concat(prev, F.lit(" "), cur))
-    first = _asks_one(norm, context(before, norm))
-    second = F.when(latin != norm, _asks_one(latin, context(before_latin, latin)))
+    first = _asks_one(norm, context(before, norm), possible)
+    second = F.when(latin != norm, _asks_one(latin, context(before_latin, latin), possible))
     return bind(first, lambda a: F.when(a["asks"], a).otherwise(
         F.coalesce(second, F.struct(F.lit(False).alias("asks"), F.lit(False).alias("money")))))
 
 
-def sentence_warns(norm: Column, latin: Column) -> Column:
-    return found_in_either(norm, latin, "WARNING") | (
-        found_in_either(norm, latin, "TELL_NOT") & found_in_either(norm, latin, "SECRET"))
+def sentence_warns(norm: Column, latin: Column, possible: Possible = always) -> Column:
+    return (possible("WARNING") & found_in_either(norm, latin, "WARNING")) | (
+        possible("TELL_NOT") & found_in_either(norm, latin, "TELL_NOT") & found_in_either(norm, latin, "SECRET"))
 
 
 def sentence_reports(norm: Column, latin: Column) -> Column:
@@ -101,21 +111,23 @@ def sentence_quotes(norm: Column, latin: Column) -> Column:
     return found_in_either(norm, latin, "QUOTE")
 
 
-def judge_sentences(sentences: Column) -> Column:
+def judge_sentences(sentences: Column, possible: Possible = always) -> Column:
     """Adds the four judgements to every sentence."""
+    can_ask = possible("NEED") | possible("RISKY_OBJECT")
+    no_ask = F.struct(F.lit(False).alias("asks"), F.lit(False).alias("money"))
 
     def judged(s: Column, i: Column) -> Column:
         before = F.get(sentences, i - 1)
         blank = F.lit("")
-        asked = sentence_asks(
-            s["masked"], s["masked_latin"],
-            F.coalesce(before["masked"], blank), F.coalesce(before["masked_latin"], blank))
+        asked = F.when(can_ask, sentence_asks(
+            s["masked"], s["masked_latin"], F.coalesce(before["masked"], blank),
+            F.coalesce(before["masked_latin"], blank), possible)).otherwise(no_ask)
         return F.struct(
             s["raw"].alias("raw"), s["norm"].alias("norm"), s["latin"].alias("latin"),
-            sentence_quotes(s["norm"], s["latin"]).alias("quote"),
+            (possible("QUOTE") & sentence_quotes(s["norm"], s["latin"])).alias("quote"),
             asked.alias("request"),
-            sentence_warns(s["norm"], s["latin"]).alias("warning"),
-            sentence_reports(s["masked"], s["masked_latin"]).alias("report"),
+            sentence_warns(s["norm"], s["latin"], possible).alias("warning"),
+            (possible("WHO") & sentence_reports(s["masked"], s["masked_latin"])).alias("report"),
         )
 
     return F.transform(sentences, judged)
@@ -179,15 +191,16 @@ def _quiet(sentences: Column) -> Column:
 
 
 def judge_staged(staged: DataFrame) -> DataFrame:
-    """Adds _kind, _evidence, _asks_money. Sentences are judged only in messages where some phrase list could match at all."""
-    triggered = reduce(lambda a, b: a | b, [
-        either_passes_gate(F.col("_norm"), F.col("_latin"), name) for name in _SENTENCE_PHRASES])
+    """Adds _kind, _evidence, _asks_money. Sentences are judged only where some phrase list could match at all."""
     forms = [F.col(c) for c in ("_raw", "_norm", "_latin", "_masked", "_masked_latin")]
-    sentences = stage(staged, {"_sentences": sentence_forms(*forms), "_triggered": triggered})
+    gates = {f"_can_{name}": either_passes_gate(F.col("_norm"), F.col("_latin"), name) for name in _SENTENCE_PHRASES}
+    sentences = stage(staged, {"_sentences": sentence_forms(*forms), **gates})
+    triggered = reduce(lambda a, b: a | b, [F.col(g) for g in gates])
+    judge = lambda s: judge_sentences(s, lambda name: F.col(f"_can_{name}"))
     judged = stage(sentences, {
-        "_judged": F.when(F.col("_triggered"), bind(F.col("_sentences"), judge_sentences)).otherwise(_quiet(F.col("_sentences")))})
+        "_judged": F.when(triggered, bind(F.col("_sentences"), judge)).otherwise(_quiet(F.col("_sentences")))})
     verbs = past_verbs(*[F.replace(F.col(c), F.lit(_MARK), F.lit(" ")) for c in ("_masked", "_masked_latin")])
-    return stage_fields(judged, decide_intent(F.col("_judged"), verbs)).drop("_sentences", "_triggered", "_judged")
+    return stage_fields(judged, decide_intent(F.col("_judged"), verbs)).drop("_sentences", "_judged", *gates)
 
 
 def intent_struct() -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlight.sources.readers import read_message_table
+
 # Phrases set after the text of document number d: phrase d mod n.
 PHRASES = [
     "",
@@ -53,7 +55,7 @@ def pick(values: list[str], index: Column) -> Column:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """msg_id, sender_id, chat_id, ts, text: every document with one of the phrases after it."""
-    docs = table(spark, sf_dir, "documents")
+    docs = read_message_table(spark, f"{sf_dir}/documents.parquet", "doc_id")
     return docs.select(
         F.col("doc_id").alias("msg_id"), (F.col("doc_id") % 97).alias("sender_id"), (F.col("doc_id") % 13).alias("chat_id"),
         F.timestamp_seconds(F.lit(1704067200) + (F.col("doc_id") * 37 % 43200) * 60).alias("ts"),
