@@ -53,15 +53,18 @@ def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """msg_id, sender_id, chat_id, ts, text: every document with one of the phrases after it."""
-    docs = read_message_table(spark, f"{sf_dir}/documents.parquet", "doc_id")
+def messages_from(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").alias("msg_id"), (F.col("doc_id") % 97).alias("sender_id"), (F.col("doc_id") % 13).alias("chat_id"),
         F.timestamp_seconds(F.lit(1704067200) + (F.col("doc_id") * 37 % 43200) * 60).alias("ts"),
         F.concat(F.col("text"), F.lit(" "), pick(PHRASES, F.col("doc_id"))).alias("text"))
 
 
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """msg_id, sender_id, chat_id, ts, text: every document with one of the phrases after it."""
+    return messages_from(spark, sf_dir, read_message_table(spark, f"{sf_dir}/documents.parquet", "doc_id"))
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url: every page's address, most of them moved to another host."""
     pages = table(spark, sf_dir, "pages")
@@ -72,20 +75,28 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.when(host == "", F.col("url")).otherwise(moved).alias("url"))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table with k taken from props and a time zone put on ts."""
-    return table(spark, sf_dir, "events").select(
+def events_from(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    return rows.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value",
         F.regexp_extract("props", r"(\d+)", 1).cast("int").alias("k"))
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table with k taken from props and a time zone put on ts."""
+    return events_from(spark, sf_dir, table(spark, sf_dir, "events"))
+
+
 SIGNAL_SETS = ["prize,lookalike_site,brand:click", "secret_code", "apk_link", "needs_context", "easy_money,urgency",
                "advance_fee", "community", "brand:olx,lookalike_site", "ai_model", "threat_payment,risky_tld"]
 
 
 def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, ts, person, level, signals, domains, confirmed, channel."""
-    e = events(spark, sf_dir)
+    return checks_from(spark, sf_dir, table(spark, sf_dir, "events"))
+
+
+def checks_from(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    e = events_from(spark, sf_dir, rows)
     level = (F.when(F.col("event_type") == "error", "dangerous").when(F.col("event_type") == "purchase", "suspicious")
              .otherwise("safe"))
     domain = F.when(F.col("k") % 7 == 0, F.concat(F.lit("shop"), F.col("k").cast("string"), F.lit(".click.uz"))).otherwise(

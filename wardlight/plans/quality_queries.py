@@ -1 +1,238 @@
-"""placeholder"""
+"""Queries over labelled data: evaluation, ranking quality, features, models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wardlight import values as V
+from wardlight.operators import curation, evaluation, models, similarity
+from wardlight.plans import datasets as D
+from wardlight.plans import sql as S
+from wardlight.plans.catalog import query
+
+# labelled rows: toxic is the positive class, the score is a function of the id
+_P = "(doc_id * 37 % 101) / 100.0"
+_LAB = (f"lab AS (SELECT doc_id, toxic AS label, {_P} AS proba, CASE WHEN doc_id % 5 = 0 THEN 'dangerous' WHEN doc_id % 5 = 1 THEN 'suspicious' ELSE 'safe' END AS rules_level, "
+        "CASE WHEN doc_id % 3 = 0 THEN 'suspicious' ELSE 'safe' END AS full_level, ['bank', 'prize', 'job', NULL][doc_id % 4 + 1] AS category, 'g' || (doc_id % 40) AS grp FROM labels)")
+
+
+def _labelled(spark, d):
+    key = F.col("doc_id")
+    return D.table(spark, d, "labels").select(
+        "doc_id", F.col("toxic").alias("label"), (key * 37 % 101 / 100.0).alias("proba"),
+        F.when(key % 5 == 0, "dangerous").when(key % 5 == 1, "suspicious").otherwise("safe").alias("rules_level"),
+        F.when(key % 3 == 0, "suspicious").otherwise("safe").alias("full_level"),
+        F.when(key % 4 != 3, D.pick(["bank", "prize", "job", ""], key)).alias("category"),
+        F.concat(F.lit("g"), (key % 40).cast("string")).alias("grp"))
+
+
+# evaluation rows: every document as a row of an evaluation set, some of them faulty
+_EVAL = ("ev AS (SELECT doc_id + 2 AS line, CASE WHEN doc_id % 50 = 7 THEN '' ELSE 'p' || (doc_id - doc_id % 31 // 30) END AS id, CASE WHEN doc_id % 41 = 3 THEN 'x1' ELSE 'g' || (doc_id % 37) || '-slug' END AS \"group\", "
+         "['request', 'warning', 'report', 'quote', 'info', 'other'][doc_id % 6 + 1] AS intent, ['scam', 'safe', 'needs_context'][doc_id % 3 + 1] AS label, ['latn', 'cyrl', 'mixed', 'ru', 'en', ''][doc_id % 6 + 1] AS script, "
+         "text, CASE WHEN doc_id % 29 = 5 THEN text || '#' ELSE text END AS evidence, ['written', 'real'][doc_id % 2 + 1] AS source, CASE WHEN doc_id % 4 = 0 THEN 'claude-draft' ELSE 'ann' END AS reviewer, '' AS note, doc_id FROM documents), "
+         "res AS (SELECT *, ['safe', 'suspicious', 'dangerous'][doc_id * 7 % 11 % 3 + 1] AS level FROM ev), "
+         "oc AS (SELECT *, CASE label WHEN 'scam' THEN CASE WHEN level <> 'safe' THEN 'ok' ELSE 'MISSED' END WHEN 'safe' THEN CASE WHEN level = 'safe' THEN 'ok' ELSE 'FALSE ALARM' END "
+         "ELSE CASE WHEN level = 'suspicious' THEN 'ok' ELSE upper(level) || ' (want suspicious)' END END AS outcome FROM res)")
+
+
+def _eval(spark, d):
+    key = F.col("doc_id")
+    rows = D.table(spark, d, "documents").select(
+        (key + 2).alias("line"),
+        F.when(key % 50 == 7, "").otherwise(F.concat(F.lit("p"), (key - F.floor(key % 31 / 30)).cast("string"))).alias("id"),
+        F.when(key % 41 == 3, "x1").otherwise(F.concat(F.lit("g"), (key % 37).cast("string"), F.lit("-slug"))).alias("group"),
+        D.pick(["request", "warning", "report", "quote", "info", "other"], key).alias("intent"),
+        D.pick(["scam", "safe", "needs_context"], key).alias("label"), D.pick(["latn", "cyrl", "mixed", "ru", "en", ""], key).alias("script"),
+        "text", F.when(key % 29 == 5, F.concat("text", F.lit("#"))).otherwise(F.col("text")).alias("evidence"),
+        D.pick(["written", "real"], key).alias("source"), F.when(key % 4 == 0, V.DRAFT_REVIEWER).otherwise("ann").alias("reviewer"),
+        F.lit("").alias("note"), "doc_id")
+    level = D.pick(["safe", "suspicious", "dangerous"], key * 7 % 11)
+    return rows.withColumn("level", level).withColumn("outcome", evaluation.outcome(F.col("label"), F.col("level")))
+
+
+@query("validate_eval", S.select(_EVAL, f"""SELECT kind, count(*) AS n FROM (
+ SELECT unnest(list_filter([{", ".join(f"CASE WHEN trim({c}) = '' THEN 'empty' END" for c in ('id', '"group"', 'intent', 'label', 'script', 'text', 'evidence', 'source', 'reviewer'))},
+  CASE WHEN nth > 1 THEN 'duplicate' END, CASE WHEN intent NOT IN {S.strings(V.EVAL_ALLOWED['intent'])} THEN 'intent' END,
+  CASE WHEN script <> '' AND script NOT IN {S.strings(V.EVAL_ALLOWED['script'])} THEN 'script' END, CASE WHEN NOT contains(text, evidence) THEN 'evidence' END,
+  CASE WHEN NOT regexp_matches("group", '^g[0-9]') THEN 'group' END], lambda x: x IS NOT NULL)) AS kind FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY line) AS nth FROM ev)) GROUP BY kind"""))
+def validate_eval(spark, d):
+    p = F.col("problem")
+    kind = (F.when(p.endswith("is empty"), "empty").when(p == "duplicate id", "duplicate").when(p.startswith("intent="), "intent")
+            .when(p.startswith("script="), "script").when(p.startswith("evidence"), "evidence").otherwise("group"))
+    return curation.validate_eval(_eval(spark, d)).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("scheme_split", S.select(_EVAL, "SELECT doc_id, CASE WHEN doc_id % 37 <= 7 OR doc_id % 37 % 2 = 1 THEN 'dev' ELSE 'test' END AS split FROM ev WHERE doc_id % 41 <> 3"))
+def scheme_split(spark, d):
+    return _eval(spark, d).filter(F.col("group").startswith("g")).select("doc_id", curation.scheme_split(F.col("group")).alias("split"))
+
+
+@query("outcome", S.select(_EVAL, "SELECT doc_id, outcome FROM oc"))
+def outcome(spark, d):
+    return _eval(spark, d).select("doc_id", "outcome")
+
+
+@query("headline_metrics", S.select(_EVAL, "SELECT count(*) FILTER (label = 'scam' AND outcome = 'ok') AS scams_caught, count(*) FILTER (label = 'scam') AS scams, count(*) FILTER (label = 'safe' AND outcome <> 'ok') AS false_alarms, "
+       "count(*) FILTER (label = 'safe') AS safe, count(*) FILTER (label = 'needs_context' AND outcome = 'ok') AS context_ok, count(*) FILTER (label = 'needs_context') AS context FROM oc"))
+def headline_metrics(spark, d):
+    return evaluation.headline_metrics(_eval(spark, d))
+
+
+@query("by_intent", S.select(_EVAL, "SELECT intent, count(*) FILTER (outcome = 'ok') AS ok, count(*) AS n FROM oc GROUP BY intent"))
+def by_intent(spark, d):
+    return evaluation.by_intent(_eval(spark, d))
+
+
+@query("pairs_fully_right", S.select(_EVAL, 'SELECT count(*) FILTER (r) AS fully_right, count(*) AS groups FROM (SELECT bool_and(outcome = \'ok\') AS r FROM oc GROUP BY "group")'))
+def pairs_fully_right(spark, d):
+    return evaluation.pairs_fully_right(_eval(spark, d))
+
+
+@query("mistakes", S.select(_EVAL, "SELECT doc_id, outcome FROM oc WHERE outcome <> 'ok' AND doc_id % 41 <> 3 AND (doc_id % 37 <= 7 OR doc_id % 37 % 2 = 1)"))
+def mistakes(spark, d):
+    rows = _eval(spark, d).filter(F.col("group").startswith("g")).withColumn("split", curation.scheme_split(F.col("group")))
+    return evaluation.mistakes(rows).select("doc_id", "outcome")
+
+
+@query("golden_violations", S.select(_EVAL, "SELECT doc_id FROM res WHERE (doc_id % 2 = 0 AND (level <> 'safe' OR doc_id % 10 = 0)) OR (doc_id % 2 = 1 AND level = 'safe')"))
+def golden_violations(spark, d):
+    rows = _eval(spark, d).withColumn("expect", D.pick(["safe", "flag"], F.col("doc_id"))).withColumn(
+        "reasons", F.when(F.col("doc_id") % 10 == 0, F.array(F.lit("r"))).otherwise(F.array().cast("array<string>")))
+    return evaluation.golden_violations(rows).select("doc_id")
+
+
+@query("review_progress", S.select(_EVAL, "SELECT label, count(*) AS n, count(*) FILTER (reviewer = 'claude-draft') AS unreviewed FROM ev GROUP BY label"))
+def review_progress(spark, d):
+    return curation.review_progress(_eval(spark, d))
+
+
+@query("relabel", S.select(_EVAL, """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'safe' ELSE label END AS label, CASE WHEN doc_id % 4 = 0 THEN 'bob' ELSE reviewer END AS reviewer,
+ CASE WHEN doc_id % 4 = 0 THEN CASE WHEN label <> 'safe' THEN 'bob changed label ' || label || '→safe: checked' ELSE '' END ELSE '' END AS note FROM ev"""))
+def relabel(spark, d):
+    rows = _eval(spark, d).withColumn("id", F.col("doc_id").cast("string"))
+    reviews = rows.filter(F.col("doc_id") % 4 == 0).select(
+        "id", F.lit("bob").alias("reviewer"), F.lit("safe").alias("new_label"), F.lit(None).cast("string").alias("new_intent"),
+        F.lit("checked").alias("reason"), F.lit("").alias("note"))
+    return curation.relabel(rows, reviews).select("doc_id", "label", "reviewer", "note")
+
+
+@query("category_alias", S.select(_LAB, "SELECT doc_id, CASE category WHEN 'bank' THEN 'bank_impersonation' WHEN 'job' THEN 'job_scam' ELSE coalesce(category, CASE WHEN label = 1 THEN 'other_scam' ELSE 'other_safe' END) END AS category FROM lab"))
+def category_alias(spark, d):
+    return _labelled(spark, d).select("doc_id", curation.category_alias(F.col("category"), F.col("label")).alias("category"))
+
+
+def _prf(truth: str, said: str, source: str) -> str:
+    return (f"SELECT *, coalesce(tp / nullif(flagged, 0), 0)::DOUBLE AS precision, coalesce(tp / nullif(positives, 0), 0)::DOUBLE AS recall, coalesce(2 * tp / nullif(flagged + positives, 0), 0)::DOUBLE AS f1 "
+            f"FROM (SELECT count(*) FILTER ({truth} AND {said}) AS tp, count(*) FILTER ({said}) AS flagged, count(*) FILTER ({truth}) AS positives FROM {source})")
+
+
+@query("prf", S.select(_LAB, _prf("label = 1", "proba >= 0.5", "lab")))
+def prf(spark, d):
+    return evaluation.prf(_labelled(spark, d), F.col("label") == 1, F.col("proba") >= 0.5)
+
+
+@query("three_way_report", S.select(_LAB, " UNION ALL ".join(f"SELECT '{n}' AS system, * FROM ({_prf('label = 1', c, 'lab')})" for n, c in
+       (("rules", "rules_level <> 'safe'"), ("model", "proba >= 0.5"), ("full", "full_level <> 'safe'")))))
+def three_way_report(spark, d):
+    return evaluation.three_way_report(_labelled(spark, d))
+
+
+@query("listed_errors", S.select([_LAB, "w AS (SELECT doc_id, CASE WHEN label = 1 AND full_level = 'safe' THEN 'missed' WHEN label = 0 AND full_level <> 'safe' THEN 'false_alarm' END AS error FROM lab)"],
+       "SELECT error, doc_id, row_number() OVER (PARTITION BY error ORDER BY doc_id) AS rank FROM w WHERE error IS NOT NULL QUALIFY rank <= 10"))
+def listed_errors(spark, d):
+    return evaluation.listed_errors(_labelled(spark, d), "doc_id").select("error", "doc_id", "rank")
+
+
+@query("holdout_score", S.select(_LAB, "SELECT count(*) AS total, count(*) FILTER (label = 1) AS scams, count(*) FILTER (label = 1 AND full_level <> 'safe') AS caught, count(*) FILTER (label = 0) AS safe, count(*) FILTER (label = 0 AND full_level <> 'safe') AS false_alarms FROM lab"))
+def holdout_score(spark, d):
+    return evaluation.holdout_score(_labelled(spark, d).withColumn("level", F.col("full_level")))
+
+
+@query("stratified_folds", "SELECT toxic AS label, count(*) AS n, count(*) // 5 AS smallest, CAST(ceil(count(*) / 5.0) AS BIGINT) AS largest FROM labels GROUP BY toxic")
+def stratified_folds(spark, d):
+    sizes = evaluation.stratified_folds(_labelled(spark, d), "doc_id").groupBy("label", "fold").agg(F.count("*").alias("n"))
+    return sizes.groupBy("label").agg(F.sum("n").alias("n"), F.min("n").alias("smallest"), F.max("n").alias("largest"))
+
+
+@query("auc", S.select([_LAB, "r AS (SELECT label, rank() OVER (ORDER BY proba) + (count(*) OVER (PARTITION BY proba) - 1) / 2.0 AS rk FROM lab)"],
+       "SELECT round((sum(rk) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 6)::DOUBLE AS auc FROM r"))
+def auc(spark, d):
+    return evaluation.auc(_labelled(spark, d)).select(F.round("auc", 6).alias("auc"))
+
+
+@query("caught_at_fpr", S.select([_LAB, "t AS (SELECT quantile_cont(proba::DOUBLE, 0.95) AS threshold FROM lab WHERE label = 0)"],
+       "SELECT round(threshold, 6) AS threshold, round(avg(CASE WHEN proba > threshold THEN 1.0 ELSE 0 END), 6) AS caught FROM lab, t WHERE label = 1 GROUP BY threshold"))
+def caught_at_fpr(spark, d):
+    return evaluation.caught_at_fpr(_labelled(spark, d)).select(F.round("threshold", 6).alias("threshold"), F.round("caught", 6).alias("caught"))
+
+
+@query("caught_by_category", S.select([_LAB, "t AS (SELECT quantile_cont(proba::DOUBLE, 0.95) AS threshold FROM lab WHERE label = 0)"],
+       "SELECT coalesce(category, '-') AS category, count(*) AS n, round(avg(CASE WHEN proba > threshold THEN 1.0 ELSE 0 END), 6) AS caught FROM lab, t WHERE label = 1 GROUP BY 1"))
+def caught_by_category(spark, d):
+    rows = _labelled(spark, d).withColumn("category", F.coalesce("category", F.lit("-")))
+    return evaluation.caught_by_category(rows, "category").withColumn("caught", F.round("caught", 6))
+
+
+@query("pair_stats", """WITH b AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+p AS (SELECT a.label = b.label AS same, list_dot_product(a.v, b.v) AS c FROM b a JOIN b ON a.vec_id < b.vec_id)
+SELECT round(quantile_cont(c, 0.5) FILTER (same), 3) AS same_median, round(quantile_cont(c, 0.5) FILTER (NOT same), 3) AS different_median, round(quantile_cont(c, 0.99) FILTER (NOT same), 3) AS different_p99 FROM p""")
+def pair_stats(spark, d):
+    stats = similarity.pair_statistics(D.table(spark, d, "embeddings"), "label", "vec_id")
+    return stats.select(*[F.round(c, 3).alias(c) for c in stats.columns])
+
+
+# ---------------------------------------------------------------- features and models
+_WORDS = f"""w AS (SELECT doc_id, unnest(string_split(t, ' ')) AS word FROM (SELECT doc_id, {S.latin(S.norm('text'))} AS t FROM documents)),
+pw AS (SELECT doc_id, word, count(*) AS m FROM w WHERE word <> '' GROUP BY ALL),
+g AS (SELECT doc_id, m, unnest(flatten(list_transform([2, 3, 4, 5], lambda n: list_transform(range(1, length(word) + 2 - n + 2), lambda i: substr(' ' || word || ' ', i, n))))) AS gram FROM pw),
+tc AS (SELECT doc_id, gram, sum(m)::BIGINT AS n FROM g GROUP BY ALL),
+df AS (SELECT gram, count(*) AS df FROM tc GROUP BY gram)"""
+
+
+@query("term_frequency", S.select(_WORDS, "SELECT gram, df, round(ln((1 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1, 6) AS idf FROM df ORDER BY df DESC, gram LIMIT 500"))
+def term_frequency(spark, d):
+    docs = D.table(spark, d, "documents")
+    counts = models.document_frequency(models.term_counts(docs, "doc_id"))
+    total = docs.agg(F.count("*").alias("n_docs")).withColumn("_one", F.lit(1))
+    top = counts.orderBy(F.desc("df"), "gram").limit(500).withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
+    return top.select("gram", "df", F.round(models.smooth_idf(F.col("df"), F.col("n_docs")), 6).alias("idf"))
+
+
+@query("tfidf_weights", S.select([_WORDS, "x AS (SELECT doc_id, tc.gram, (1 + ln(n)) * (ln((1 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS w FROM tc JOIN df USING (gram))"],
+       "SELECT doc_id, count(*) AS grams, round(max(w) / sqrt(sum(w * w)), 5) AS top, round(sum(w) / sqrt(sum(w * w)), 3) AS total FROM x GROUP BY doc_id"))
+def tfidf_weights(spark, d):
+    weights = models.char_wb_tfidf(D.table(spark, d, "documents"), "doc_id")
+    return weights.groupBy("doc_id").agg(F.count("*").alias("grams"), F.round(F.max("weight"), 5).alias("top"), F.round(F.sum("weight"), 3).alias("total"))
+
+
+def _vectors(spark, d):
+    e = D.table(spark, d, "embeddings")
+    return models.with_features(e.select("vec_id", "embedding", F.col("label").alias("category"), (F.col("label") < 3).cast("int").alias("label")))
+
+
+@query("train_embedding_lr")
+def train_embedding_lr(spark, d):
+    rows = _vectors(spark, d)
+    scored = models.batch_score(rows, models.fit_embedding_classifier(rows))
+    return evaluation.prf(scored, F.col("label") == 1, F.col("proba") >= 0.5)
+
+
+@query("cross_validation")
+def cross_validation(spark, d):
+    rows = evaluation.stratified_folds(_vectors(spark, d), "vec_id")
+    scored = models.held_out(rows, "fold", models.fit_embedding_classifier)
+    return evaluation.prf(scored, F.col("label") == 1, F.col("proba") >= 0.5)
+
+
+@query("leave_one_category_out")
+def leave_one_category_out(spark, d):
+    scored = models.leave_one_category_out(_vectors(spark, d), "category")
+    return evaluation.auc(scored).select(F.round("auc", 3).alias("auc"))
+
+
+@query("train_char_lr")
+def train_char_lr(spark, d):
+    docs = D.table(spark, d, "documents").join(D.table(spark, d, "labels"), "doc_id")
+    vectors = models.ngram_vectors(models.char_wb_tfidf(docs, "doc_id"), "doc_id").join(docs.select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    scored = models.batch_score(vectors, models.fit_logreg_balanced(vectors))
+    return evaluation.prf(scored, F.col("label") == 1, F.col("proba") >= 0.5)

@@ -1 +1,109 @@
-"""placeholder"""
+"""Queries run as streams over the driver's tables until all their rows are read; results equal the batch ones."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wardlight import values as V
+from wardlight.plans import aggregate_queries as A
+from wardlight.plans import datasets as D
+from wardlight.plans import sql as S
+from wardlight.plans.catalog import ORACLES, query
+from wardlight.plans.message_queries import _flat
+from wardlight.session import STATE_STORE, shared_folder
+from wardlight.streaming import jobs, state
+
+
+def _work(spark, name: str) -> str:
+    """A fresh folder for one run, in the shared folder of the cluster."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _as_stream(spark, d: str, name: str, build) -> DataFrame:
+    """`build` (a function of datasets) over `name` read as a stream of files."""
+    schema = D.table(spark, d, name).schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return build(spark, d, source)
+
+
+def _collected(spark, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs a stream to its end into a table and reads it back."""
+    path = _work(spark, name)
+    stream.writeStream.outputMode(mode).format("parquet").option("path", path + "/out").option(
+        "checkpointLocation", path + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path + "/out")
+
+
+def _checks(spark, d):
+    return _as_stream(spark, d, "events", D.checks_from)
+
+
+@query("stream_daily_counts", ORACLES["daily_counts"])
+def stream_daily_counts(spark, d):
+    path = _work(spark, "daily")
+    jobs.maintain_totals(jobs.daily_count_stream(_checks(spark, d)), path + "/out", path + "/checkpoint").awaitTermination()
+    return jobs.read_totals(spark, path + "/out", ["day"])
+
+
+@query("stream_daily_categories", ORACLES["daily_categories"])
+def stream_daily_categories(spark, d):
+    path = _work(spark, "categories")
+    jobs.maintain_totals(jobs.daily_category_stream(_checks(spark, d)), path + "/out", path + "/checkpoint").awaitTermination()
+    return jobs.read_totals(spark, path + "/out", ["day", "category"])
+
+
+@query("stream_flagged_domains", ORACLES["flagged_domains"])
+def stream_flagged_domains(spark, d):
+    path = _work(spark, "flagged")
+    jobs.maintain_flagged_domains(_checks(spark, d), path + "/out", path + "/checkpoint").awaitTermination()
+    return jobs.latest_version(spark, path + "/out")
+
+
+@query("stream_scored", ORACLES["score_messages"])
+def stream_scored(spark, d):
+    messages = _as_stream(spark, d, "documents", D.messages_from)
+    cores = spark.sparkContext.defaultParallelism
+    return _flat(_collected(spark, jobs.score_stream(messages.repartition(cores, "msg_id")), "scored"))
+
+
+@query("stream_wave_dedupe", f"SELECT count(DISTINCT {S.fingerprint('text')}) AS waves FROM documents")
+def stream_wave_dedupe(spark, d):
+    docs = _as_stream(spark, d, "documents", lambda s, p, source: source.select("doc_id", "text", F.timestamp_seconds(F.lit(1704067200)).alias("ts")))
+    return _collected(spark, jobs.drop_wave_copies(docs).select("doc_id", "fp"), "waves").agg(F.count_distinct("fp").alias("waves"))
+
+
+@query("stream_newcomers", S.select([S.EVENTS, A._NEW], "SELECT event_id AS msg_id FROM nc JOIN e USING (event_id) WHERE event_type <> 'signup'"))
+def stream_newcomers(spark, d):
+    e = _as_stream(spark, d, "events", D.events_from).withColumn("chat_id", F.lit(1)).withColumnRenamed("user_id", "sender_id")
+    messages = e.filter("event_type <> 'signup'").select(F.col("event_id").alias("msg_id"), "chat_id", "sender_id", "ts")
+    other = _as_stream(spark, d, "events", D.events_from).withColumn("chat_id", F.lit(1)).withColumnRenamed("user_id", "sender_id")
+    joins = other.filter("event_type = 'signup'").select("chat_id", "sender_id", "ts")
+    return _collected(spark, jobs.newcomer_stream(messages, joins), "newcomers").select("msg_id")
+
+
+def _with_rocksdb(spark) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+@query("stream_rate_limit", ORACLES["rate_limit"])
+def stream_rate_limit(spark, d):
+    _with_rocksdb(spark)
+    limited = state.rate_limit_stream(_as_stream(spark, d, "events", D.events_from), 2, V.DAY_SECONDS, ["user_id"])
+    return _collected(spark, limited, "limits").select("event_id", "admitted")
+
+
+@query("stream_strikes", ORACLES["strikes_with_reset"])
+def stream_strikes(spark, d):
+    _with_rocksdb(spark)
+    e = _as_stream(spark, d, "events", D.events_from).filter("event_type IN ('error', 'signup')").withColumn("undone", F.col("event_type") == "signup")
+    return _collected(spark, state.strike_stream(e, ["user_id"], undone="undone"), "strikes").select("event_id", "strikes", "mute")
+
+
+@query("stream_notices", ORACLES["notice_throttle"])
+def stream_notices(spark, d):
+    _with_rocksdb(spark)
+    noticed = state.notice_stream(_as_stream(spark, d, "events", D.events_from), ["event_type"], gap=3600)
+    return _collected(spark, noticed, "notices").select("event_id", "notify")
