@@ -28,11 +28,11 @@ class _Steps(StatefulProcessor):
         self.times = handle.getValueState("times", schema, ttlDurationMs=int(self.idle * 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["_t", self.tie]).reset_index(drop=True)
+        batch = pd.concat(list(rows)).sort_values(["seconds_", self.tie]).reset_index(drop=True)
         kept = self.times.get() if self.times.exists() else None
         state = list(kept[0]) if kept is not None and kept[0] is not None else []
         out = []
-        for now, more in zip(batch["_t"], batch[self.extra] if self.extra else batch["_t"]):
+        for now, more in zip(batch["seconds_"], batch[self.extra] if self.extra else batch["seconds_"]):
             values, state = self.step(float(now), more, state)
             out.append(values)
         self.times.update((state,))
@@ -43,7 +43,7 @@ class _Steps(StatefulProcessor):
 
 
 def _stateful(events: DataFrame, keys: list[str], tie: str, extra: str | None, added, step, idle: float) -> DataFrame:
-    timed = events.withColumn("_t", F.col("ts").cast("double"))
+    timed = events.withColumn("seconds_", F.col("ts").cast("double"))   # names with a leading _ do not reach a processor
     schema = T.StructType([*events.schema.fields, *added])
     processor = _Steps(step, events.columns, [f.name for f in added], tie, extra, idle)
     return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "processingTime")
