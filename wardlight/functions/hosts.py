@@ -38,7 +38,8 @@ def host_of(url: Column) -> Column:
 
 
 def is_ip(host: Column) -> Column:
-    return F.regexp_replace(host, r"^\[|\]$", "").rlike(_IP)
+    # no address literal is longer; longer hosts never reach the pattern, whose groups repeat per colon
+    return (F.length(host) <= 47) & F.regexp_replace(host, r"^\[|\]$", "").rlike(_IP)
 
 
 def _domain(host: Column, second_level: list[str]) -> Column:

@@ -124,7 +124,7 @@ def defang(domain: Column) -> Column:
 
 def defang_text(text: Column) -> Column:
     """Every dot inside a host name becomes [.], so no notice carries a link one can tap."""
-    host = r"(?iU)\b(?:[\w-]+\.)+[a-z]{2,}\b"
+    host = r"(?iU)\b(?:[\w-]+\.){1,126}[a-z]{2,}\b"   # a host name has at most 127 labels
     between = F.split(text, host, -1)
     hosts = F.regexp_extract_all(text, F.lit(host), F.lit(0))
     pieces = F.transform(between, lambda piece, i: F.concat(piece, defang(F.coalesce(F.get(hosts, i), F.lit("")))))

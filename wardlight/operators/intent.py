@@ -21,33 +21,38 @@ from wardlight.functions.staging import stage, stage_fields
 from wardlight.functions.text import evidence_snippet, normalize, squeeze, strip, to_latin
 
 KINDS = ["quote", "request", "warning", "report", "info"]
-_MARK = "﷐"
+_MARK = "\ufdd0"
 _SENTENCE_END = rf"(?U)((?<=[.!?…]){SPACE}+|\n+)"
-# Single quotes clash with o' and g', so they only count when a quoting verb follows.
+# Single quotes clash with o' and g', so they only count when a quoting verb follows. Apostrophes inside words are
+# set aside first (unless a verb follows at once): what is left needs no nested repetition, which would recurse once
+# per apostrophe and overflow the stack on hostile texts.
+_ASIDE = "\ufdd1"
 _GAP = r"[\s\x1c-\x1f" + _MARK + "]*"
+_INNER_APOSTROPHE = rf"(?iU)(?<=\w)'(?=\w)(?!(?:{V.SINGLE_QUOTE_VERBS})\b)"
 _QUOTED = (
     r"(?iU)\"[^\"]*\"|«[^»]*»|“[^”]*”|„[^“”]*[“”]"
-    r"|(?<!\w)'[^'\n]++(?:(?<=\w)'(?=\w)[^'\n]++)*?'(?=" + _GAP + ",?" + _GAP + "(?:" + V.SINGLE_QUOTE_VERBS + r")\b)"
+    r"|(?<!\w)'[^'\n]++'(?=" + _GAP + ",?" + _GAP + "(?:" + V.SINGLE_QUOTE_VERBS + r")\b)"
 )
 _QUOTE_MARKS = "[\"«“„']"
 _LAST_QUOTING_WORD = rf"(?sU)^.*\b(?:{V.QUOTING_WORDS})\b"
 
 
 def mark_sentences(text: Column) -> Column:
-    clean = F.when(text.contains(_MARK), F.translate(text, _MARK, " ")).otherwise(text)
+    reserved = text.contains(_MARK) | text.contains(_ASIDE)
+    clean = F.when(reserved, F.translate(text, _MARK + _ASIDE, "  ")).otherwise(text)
     return F.regexp_replace(clean, _SENTENCE_END, "$1" + _MARK)
 
 
 def blank_quoted(text: Column) -> Column:
     """Quoted speech becomes spaces of the same length (sentence marks inside it stay)."""
-    between = F.split(text, _QUOTED, -1)
-    quoted = F.regexp_extract_all(text, F.lit(_QUOTED), F.lit(0))
+    aside = F.regexp_replace(text, _INNER_APOSTROPHE, _ASIDE)
 
-    def blanked(pieces: Column) -> Column:
-        return bind(quoted, lambda spans: F.array_join(F.transform(pieces, lambda piece, i: F.concat(
+    def blanked(t: Column) -> Column:
+        between, quoted = F.split(t, _QUOTED, -1), F.regexp_extract_all(t, F.lit(_QUOTED), F.lit(0))
+        return bind(quoted, lambda spans: F.array_join(F.transform(between, lambda piece, i: F.concat(
             piece, F.regexp_replace(F.coalesce(F.get(spans, i), F.lit("")), f"[^{_MARK}]", " "))), ""))
 
-    return F.when(text.rlike(_QUOTE_MARKS), bind(between, blanked)).otherwise(text)
+    return F.when(text.rlike(_QUOTE_MARKS), F.translate(bind(aside, blanked), _ASIDE, "'")).otherwise(text)
 
 
 def _pieces(marked: Column) -> Column:
