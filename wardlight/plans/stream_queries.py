@@ -91,7 +91,7 @@ def _with_rocksdb(spark) -> None:
 @query("stream_rate_limit", ORACLES["rate_limit"])
 def stream_rate_limit(spark, d):
     _with_rocksdb(spark)
-    limited = state.rate_limit_stream(_as_stream(spark, d, "events", D.events_from), 2, V.DAY_SECONDS, ["user_id"])
+    limited = state.rate_limit_stream(_as_stream(spark, d, "events", D.events_from), 2, V.DAY_SECONDS, ["user_id"], idle_seconds=None)
     return _collected(spark, limited, "limits").select("event_id", "admitted")
 
 
@@ -99,11 +99,11 @@ def stream_rate_limit(spark, d):
 def stream_strikes(spark, d):
     _with_rocksdb(spark)
     e = _as_stream(spark, d, "events", D.events_from).filter("event_type IN ('error', 'signup')").withColumn("undone", F.col("event_type") == "signup")
-    return _collected(spark, state.strike_stream(e, ["user_id"], undone="undone"), "strikes").select("event_id", "strikes", "mute")
+    return _collected(spark, state.strike_stream(e, ["user_id"], undone="undone", idle_seconds=None), "strikes").select("event_id", "strikes", "mute")
 
 
 @query("stream_notices", ORACLES["notice_throttle"])
 def stream_notices(spark, d):
     _with_rocksdb(spark)
-    noticed = state.notice_stream(_as_stream(spark, d, "events", D.events_from), ["event_type"], gap=3600)
+    noticed = state.notice_stream(_as_stream(spark, d, "events", D.events_from), ["event_type"], gap=3600, idle_seconds=None)
     return _collected(spark, noticed, "notices").select("event_id", "notify")

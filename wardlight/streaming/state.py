@@ -2,6 +2,9 @@
 
 Rows of one key arrive in no order inside a micro-batch, so they are put in time order first; a micro-batch is
 bounded by the source's trigger options. The steps are those of the batch operators.
+
+Expiry runs on processing time, for which Spark schedules batches without data for as long as the query lives; a
+run that should end by itself (`availableNow`) passes idle_seconds=None.
 """
 
 from __future__ import annotations
@@ -19,13 +22,13 @@ from wardlight.operators import moderation as M
 
 
 class _Steps(StatefulProcessor):
-    def __init__(self, step, columns: list[str], names: list[str], tie: str, extra: str | None, idle_seconds: float):
+    def __init__(self, step, columns: list[str], names: list[str], tie: str, extra: str | None, idle_seconds: float | None):
         self.step, self.columns, self.names = step, columns, names
         self.tie, self.extra, self.idle = tie, extra, idle_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType([T.StructField("times", T.ArrayType(T.DoubleType()))])
-        self.times = handle.getValueState("times", schema, ttlDurationMs=int(self.idle * 1000))
+        self.times = handle.getValueState("times", schema, ttlDurationMs=int(self.idle * 1000) if self.idle else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["seconds_", self.tie]).reset_index(drop=True)
@@ -42,23 +45,23 @@ class _Steps(StatefulProcessor):
         pass
 
 
-def _stateful(events: DataFrame, keys: list[str], tie: str, extra: str | None, added, step, idle: float) -> DataFrame:
+def _stateful(events: DataFrame, keys: list[str], tie: str, extra: str | None, added, step, idle: float | None) -> DataFrame:
     timed = events.withColumn("seconds_", F.col("ts").cast("double"))   # names with a leading _ do not reach a processor
     schema = T.StructType([*events.schema.fields, *added])
     processor = _Steps(step, events.columns, [f.name for f in added], tie, extra, idle)
-    return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "processingTime")
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "processingTime" if idle else "none")
 
 
 def rate_limit_stream(events: DataFrame, limit: int, window: float, keys: list[str], tie: str = "event_id",
-                      idle_seconds: float = 7 * V.DAY_SECONDS) -> DataFrame:
+                      idle_seconds: float | None = 7 * V.DAY_SECONDS) -> DataFrame:
     return _stateful(events, keys, tie, None, M.LIMIT_FIELDS, M.limit_step(limit, window), idle_seconds)
 
 
 def strike_stream(removals: DataFrame, keys: list[str], tie: str = "event_id", undone: str | None = None,
-                  idle_seconds: float = 7 * V.DAY_SECONDS) -> DataFrame:
+                  idle_seconds: float | None = 7 * V.DAY_SECONDS) -> DataFrame:
     return _stateful(removals, keys, tie, undone, M.STRIKE_FIELDS, M.strike_step(), idle_seconds)
 
 
 def notice_stream(events: DataFrame, keys: list[str], gap: float = V.NOTICE_GAP_SECONDS, tie: str = "event_id",
-                  idle_seconds: float = 7 * V.DAY_SECONDS) -> DataFrame:
+                  idle_seconds: float | None = 7 * V.DAY_SECONDS) -> DataFrame:
     return _stateful(events, keys, tie, None, M.NOTICE_FIELDS, M.notice_step(gap), idle_seconds)
