@@ -44,8 +44,11 @@ HOSTS = [
 ]
 
 
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}   # work per row is high: small files are spread over all cores
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_message_table(spark, f"{sf_dir}/{name}.parquet", TEXT_TABLES.get(name))
 
 
 def pick(values: list[str], index: Column) -> Column:
@@ -62,7 +65,7 @@ def messages_from(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFram
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """msg_id, sender_id, chat_id, ts, text: every document with one of the phrases after it."""
-    return messages_from(spark, sf_dir, read_message_table(spark, f"{sf_dir}/documents.parquet", "doc_id"))
+    return messages_from(spark, sf_dir, table(spark, sf_dir, "documents"))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
