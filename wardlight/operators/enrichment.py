@@ -63,7 +63,7 @@ def blocklist_service_findings(answers: DataFrame, answer: str = "listed") -> Da
     hosts = F.filter(F.transform(matches, lambda m: H.host_of(F.coalesce(m["threat"]["url"], F.lit("")))), lambda h: h != "")
     return (answers.withColumn("_m", matches)
             .withColumn("evidence", F.when(F.size("_m") > 0, V.LISTED_WEIGHT).otherwise(0.0))
-            .withColumn("signals", F.array_compact(F.array(F.when(F.size("_m") > 0, "listed_unsafe"))))
+            .withColumn("signals", F.array_compact(F.array(F.when(F.size("_m") > 0, "google_safe_browsing"))))
             .withColumn("confirmed", F.array_distinct(F.transform(hosts, H.lookup_domain))).drop("_m"))
 
 
@@ -78,7 +78,7 @@ def engine_vote_findings(answers: DataFrame, answer: str = "votes", domain: str
     return (answers.withColumn("bad", bad).withColumn("total", total)
             .withColumn("evidence", F.when(F.col("bad") >= 2, V.LISTED_WEIGHT).when(F.col("bad") == 1, V.SINGLE_ENGINE_WEIGHT)
                         .otherwise(0.0))
-            .withColumn("signals", F.array_compact(F.array(F.when(F.col("bad") > 0, "engine_votes"))))
+            .withColumn("signals", F.array_compact(F.array(F.when(F.col("bad") > 0, "virustotal"))))
             .withColumn("confirmed", confirmed))
 
 
