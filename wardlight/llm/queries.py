@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import chat, pii, tier_packing, token_packing
+from wardlight.llm import chat, html_content, line_frequency, pii, tier_packing, token_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,57 @@ def op1_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_packing.pack_matrix(table(spark, sf_dir, "documents"), vocabulary(), end_id=49407)
 
 
+@query
+def op2_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_content.extract_main_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.judge(table(spark, sf_dir, "documents")).drop("key", "removed_lines")
+
+
+ORACLES["op3_line_frequency"] = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS k, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents
+), worded AS (
+    SELECT *, regexp_extract_all(text, '[^ 	-]+') AS words FROM docs
+), windows AS (
+    SELECT k, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
+    FROM (SELECT k, words, unnest(range(1, len(words) - 1)) AS i FROM worded WHERE len(words) > 2)
+), repeated AS (
+    SELECT k, count(DISTINCT i + j) AS n FROM (SELECT k, i, count(*) OVER (PARTITION BY k, w) AS c FROM windows), range(3) r(j)
+    WHERE c > 1 GROUP BY k
+), lines AS (
+    SELECT k, host, text, line, len(regexp_extract_all(line, '[^ 	-]+')) AS n
+    FROM (SELECT k, host, text, unnest(string_split(text, chr(10))) AS line FROM docs)
+), doubled AS (
+    SELECT k, (count(*) - count(DISTINCT line))::BIGINT AS n FROM lines WHERE n > 0 GROUP BY k
+), short AS (
+    SELECT k, host, text, n,
+           regexp_replace(lower(trim(regexp_replace(line, '[ 	-]+', ' ', 'g'))), '[0-9]+', '0', 'g') AS line
+    FROM lines WHERE n BETWEEN 1 AND {line_frequency.MOST_LINE_WORDS}
+), hosts AS (
+    SELECT host, count(DISTINCT text) AS texts FROM docs GROUP BY host
+), frequent AS (
+    SELECT host, line FROM short JOIN hosts USING (host) GROUP BY host, line, texts
+    HAVING count(DISTINCT text) > {line_frequency.MOST_DOCUMENTS} AND count(DISTINCT text) > {line_frequency.MOST_SHARE} * texts
+), removed AS (
+    SELECT k, sum(n) AS n FROM short JOIN frequent USING (host, line) GROUP BY k
+), measured AS (
+    SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g')) AS word_chars,
+           length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines,
+           coalesce(r.n, 0) AS n_repeat_words, coalesce(x.n, 0)::BIGINT AS n_removed
+    FROM worded LEFT JOIN doubled d USING (k) LEFT JOIN repeated r USING (k) LEFT JOIN removed x USING (k)
+)
+SELECT *, n_words < {line_frequency.LEAST_WORDS} OR 100 * n_repeat_words > {line_frequency.MOST_REPEATED_PERCENT} * n_words AS base_failed,
+       NOT (n_words < {line_frequency.LEAST_WORDS} OR 100 * n_repeat_words > {line_frequency.MOST_REPEATED_PERCENT} * n_words
+            OR n_words - n_removed < {line_frequency.LEAST_LEFT} * n_words) AS kept
+FROM measured
+"""
+
+
 @query
 def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 512 to 4096 ids."""
