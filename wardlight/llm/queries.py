@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import chat, html_content, line_frequency, pii, tier_packing, token_packing
+from wardlight.llm import chat, exact_dedup, html_content, line_frequency, pii, simhash, tier_packing, token_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,7 +49,8 @@ ORACLES["op3_line_frequency"] = rf"""
 WITH docs AS (
     SELECT row_number() OVER () AS k, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents
 ), worded AS (
-    SELECT *, regexp_extract_all(text, '[^ 	-]+') AS words FROM docs
+    SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS words FROM docs
 ), windows AS (
     SELECT k, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
     FROM (SELECT k, words, unnest(range(1, len(words) - 1)) AS i FROM worded WHERE len(words) > 2)
@@ -57,13 +58,15 @@ WITH docs AS (
     SELECT k, count(DISTINCT i + j) AS n FROM (SELECT k, i, count(*) OVER (PARTITION BY k, w) AS c FROM windows), range(3) r(j)
     WHERE c > 1 GROUP BY k
 ), lines AS (
-    SELECT k, host, text, line, len(regexp_extract_all(line, '[^ 	-]+')) AS n
+    SELECT k, host, text, line, len(regexp_extract_all(line, '[^ 	-
+]+')) AS n
     FROM (SELECT k, host, text, unnest(string_split(text, chr(10))) AS line FROM docs)
 ), doubled AS (
     SELECT k, (count(*) - count(DISTINCT line))::BIGINT AS n FROM lines WHERE n > 0 GROUP BY k
 ), short AS (
     SELECT k, host, text, n,
-           regexp_replace(lower(trim(regexp_replace(line, '[ 	-]+', ' ', 'g'))), '[0-9]+', '0', 'g') AS line
+           regexp_replace(lower(trim(regexp_replace(line, '[ 	-
+]+', ' ', 'g'))), '[0-9]+', '0', 'g') AS line
     FROM lines WHERE n BETWEEN 1 AND {line_frequency.MOST_LINE_WORDS}
 ), hosts AS (
     SELECT host, count(DISTINCT text) AS texts FROM docs GROUP BY host
@@ -73,7 +76,8 @@ WITH docs AS (
 ), removed AS (
     SELECT k, sum(n) AS n FROM short JOIN frequent USING (host, line) GROUP BY k
 ), measured AS (
-    SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g')) AS word_chars,
+    SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[ 	-
+]', '', 'g')) AS word_chars,
            length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines,
            coalesce(r.n, 0) AS n_repeat_words, coalesce(x.n, 0)::BIGINT AS n_removed
     FROM worded LEFT JOIN doubled d USING (k) LEFT JOIN repeated r USING (k) LEFT JOIN removed x USING (k)
@@ -91,6 +95,29 @@ def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier_packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+@query
+def op5_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, read as two deliveries: those with even ids came first and are the history."""
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"), F.col("doc_id") % 2 == 0)
+
+
+ORACLES["op5_perfect_hash"] = r"""
+WITH digested AS (
+    SELECT doc_id, length(coalesce(text, '')) AS chars,
+           sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER w = 1 AS kept, text_sha256
+FROM digested WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST)
+"""
+
+
+@query
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def span_list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
