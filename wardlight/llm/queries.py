@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import chat, exact_dedup, html_content, line_frequency, pii, simhash, substring_dedup, tier_packing, token_packing
+from wardlight.llm import chat, exact_dedup, html_content, line_frequency, mixing, pii, simhash, substring_dedup, tier_packing, token_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,6 +142,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with the posteriors, rates and copies of a mix of 94 % good, 5 % poor and 1 % toxic tokens."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixed.select("doc_id", "n_tokens", *[F.round(d, 6).alias(f"p_{d}") for d in mixing.DOMAINS], F.round("rate", 6).alias("rate"), "copies")
+
+
 def span_list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
