@@ -127,7 +127,7 @@ def select(nodes: list[tuple[Element, int, str]]) -> list[bool]:
     kernel, are multiplied; paths whose mean product reaches the threshold (the standard deviation of the nodes'
     products, or half the greatest mean where that is less) are content paths. The content root is the lowest container
     with nearly all their text, or the article or main element around it; everything under it belongs to the text but
-    what is marked as no part of an article and lists of links whose path is not a content path.
+    what is marked as no part of an article and, outside of article elements, blocks of nothing but links on other paths.
     """
     live = [i for i, (e, _, t) in enumerate(nodes) if not e.outside and t and not t.isspace()]
     if not live:
@@ -175,8 +175,9 @@ def select(nodes: list[tuple[Element, int, str]]) -> list[bool]:
             root = e
         e = e.up
     keep = [False] * len(nodes)
-    for i, (e, _, _) in enumerate(nodes):
-        if e.outside or e.link and "/li" in e.block.path and e.block.path not in content:
+    said = {block for e, block, text in nodes if not e.link and not text.isspace()}
+    for i, (e, block, _) in enumerate(nodes):
+        if e.outside or root.name not in ("article", "main") and block not in said and e.block.path not in content:
             continue
         while e and e is not root:
             e = e.up

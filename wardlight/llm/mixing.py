@@ -22,8 +22,8 @@ WORD_FEATURES, FORM_FEATURES = 1 << 20, 16
 LEAST_ROWS, LEAST_DEVIATIONS = 5, 4.0
 #: Share of all tokens that each domain should have. The total is such that good documents are wanted as they are.
 WEIGHTS = {"good": 0.94, "poor": 0.05, "toxic": 0.01}
-#: Weight of the distance from a rate of 1, step and rounds of the descent, and the residual that ends it.
-NEARNESS, STEP, ROUNDS, ENOUGH = 0.01, 1.0, 60, 1e-4
+#: Weight of the distance from a rate of 1, step and rounds of the descent, and the change of the residual that ends it.
+NEARNESS, STEP, ROUNDS, ENOUGH = 0.003, 0.99, 80, 1e-6
 #: A rate this near to a whole number is taken as that number when copies are drawn.
 SNAP = 0.1
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -149,12 +149,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return each_batch(rows, "doc_id long, row long, n_tokens long, " + ", ".join(f"{d} double" for d in DOMAINS), _predictor(model))
 
 
-def rates_after(posterior: np.ndarray, residuals: list[np.ndarray]) -> np.ndarray:
-    """The rates of some documents after steps down the slopes of the given residuals; none is ever below zero."""
-    rate = np.ones(len(posterior))
-    for e in residuals:
-        rate = np.maximum(0, rate - STEP * (posterior @ e + NEARNESS * (rate - 1)))
-    return rate
+def descend(posterior: np.ndarray, residuals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, the point ahead of them) of some documents, after steps down the slopes of the given residuals.
+
+    Projected gradient with momentum: each residual is that of the point ahead, from which the step is taken. A rate
+    follows from its document's posteriors and the residuals alone, and is never below zero.
+    """
+    rate = ahead = np.ones(len(posterior))
+    for k, e in enumerate(residuals):
+        before, rate = rate, np.maximum(0, ahead - STEP * (posterior @ e + NEARNESS * (ahead - 1)))
+        ahead = rate + k / (k + 3) * (rate - before)
+    return rate, ahead
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -166,7 +171,7 @@ def _totals(residuals: list[np.ndarray]):
         total = np.zeros(len(DOMAINS))
         for batch in batches:
             p = _matrix(batch)
-            total += (p * (rates_after(p, residuals) * batch.column("n_tokens").to_numpy())[:, None]).sum(0)
+            total += (p * (descend(p, residuals)[1] * batch.column("n_tokens").to_numpy())[:, None]).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=list(DOMAINS))
     return run
 
@@ -192,7 +197,7 @@ def fit_rates(predicted: DataFrame, weights: dict[str, float] | None = None) ->
     target, residuals = share / share[0] * now[0] / whole, []
     for _ in range(ROUNDS):
         e = now / whole - target
-        if residuals and np.abs(e - residuals[-1]).max() < ENOUGH * STEP * NEARNESS:
+        if residuals and np.abs(e - residuals[-1]).max() < ENOUGH:
             break
         residuals.append(e)
         now = totals(residuals)
@@ -202,7 +207,7 @@ def fit_rates(predicted: DataFrame, weights: dict[str, float] | None = None) ->
 def _rater(residuals: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_after(_matrix(batch), residuals))], names=[*batch.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(descend(_matrix(batch), residuals)[0])], names=[*batch.schema.names, "rate"])
     return run
 
 

@@ -50,12 +50,13 @@ def _signed(x: int) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [fingerprint(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(found, pa.int64())], names=["doc_id", "row", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp."""
-    return each_batch(documents(docs), "doc_id long, fp long", _fingerprints)
+    """doc_id, row (a hash of id and text), fp."""
+    rows = documents(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    return each_batch(rows, "doc_id long, row long, fp long", _fingerprints)
 
 
 def index_rows(prints: DataFrame) -> DataFrame:
@@ -199,18 +200,20 @@ def link_forest(prints: DataFrame) -> DataFrame:
     return rows.mapInArrow(_linker, "u long, v long")
 
 
-def classes(prints: DataFrame) -> DataFrame:
-    """fp, component_id for every distinct fingerprint of (doc_id, fp)."""
+def classes(prints: DataFrame, label: str = "component_id") -> DataFrame:
+    """fp, component_id (or root, its least fingerprint) for every distinct fingerprint of (doc_id, fp)."""
     own = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = connected(link_forest(own.select("fp")))
     joined = own.join(roots, own["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    if label == "root":
+        return joined.select("fp", "root")
     joined = staged(joined)
     least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return split_join(joined, least, ["root"]).select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every document: documents that links connect, directly or through others.
+    """doc_id, row, fp, component_id of every document: documents that links connect, directly or through others.
 
     Work is by distinct fingerprint, so exact copies cost one row; index buckets are shuffled, and in a large one only as
     many links are made as connect it. The component is the least doc_id (null ids do not count unless all are null).
@@ -219,11 +222,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     no rows. Other columns are not read.
     """
     prints = staged(fingerprints(docs))
-    return split_join(prints, classes(prints), ["fp"]).select("doc_id", "fp", "component_id")
+    return split_join(prints, classes(prints), ["fp"]).select("doc_id", "row", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows whose doc_id is the least of their component, one of each, with all their columns."""
-    winners = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    held = docs.join(winners, docs["doc_id"].eqNullSafe(winners["_id"]), "left_semi")
-    return held.dropDuplicates(["doc_id"])
+    """One row of each component, that with the least doc_id, with all its columns."""
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    prints = staged(fingerprints(docs))
+    found = split_join(prints, classes(prints, "root"), ["fp"])
+    winners = found.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.row").alias("_row"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), text))
+    return marked.join(winners, "_row").dropDuplicates(["_row"]).select(*docs.columns)
