@@ -233,7 +233,7 @@ def labelled(spark, n=360):
 
 def test_mixing(spark):
     rows, labels = labelled(spark)
-    docs = frame(spark, [*rows, (None, None, None), (5000, "", "s"), rows[0], (5001, "nasty " * 30_000, "s")])
+    docs = frame(spark, [*rows, (None, None, None), (5000, "", "s"), rows[0], (5001, "nasty " * 300, "s"), (5002, labelled(spark, 1)[0][0][1] + " " + "aa1 bb2 " * 30_000, "s")])
     known = spark.createDataFrame([(i, q, t) for i, q, t, _ in labels[:240]] + [(None, 1, 1), (7777, 0, None)], "doc_id long, quality int, toxic int")
     out = mixing.mix(docs, known).collect()
     kinds = {i: k for i, _, _, k in labels}
@@ -266,7 +266,7 @@ def test_rates_solve_the_least_squares_problem(spark):
     a = n[:, None] * p / n.sum()
     target = share / share[0] * a.sum(0)[0]
     slope = p @ (rate @ a - target) + mixing.NEARNESS * (rate - 1)   # per document; zero, or upward where the rate is zero
-    assert np.all(np.abs(slope[rate > 0]) < 3e-4) and np.all(slope[rate == 0] > -3e-4)
+    assert np.all(np.abs(slope[rate > 0]) < 1e-3) and np.all(slope[rate == 0] > -1e-3)
 
 
 def test_pipeline(spark, tmp_path):

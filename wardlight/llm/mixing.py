@@ -23,7 +23,7 @@ LEAST_ROWS, LEAST_DEVIATIONS = 5, 4.0
 #: Share of all tokens that each domain should have. The total is such that good documents are wanted as they are.
 WEIGHTS = {"good": 0.94, "poor": 0.05, "toxic": 0.01}
 #: Weight of the distance from a rate of 1, step and rounds of the descent, and the change of the residual that ends it.
-NEARNESS, STEP, ROUNDS, ENOUGH = 0.003, 0.99, 80, 1e-6
+NEARNESS, STEP, ROUNDS, ENOUGH = 0.003, 0.99, 40, 2e-5
 #: A rate this near to a whole number is taken as that number when copies are drawn.
 SNAP = 0.1
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
