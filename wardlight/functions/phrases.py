@@ -8,14 +8,34 @@ a result (`tests/test_phrases.py` draws matches of every alternative and checks
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardlight import values as V
 from wardlight.functions.patterns import one_of
 
+_OPEN_RUN = re.compile(r"(\(\?:[^()]*\)|[^\\()\s]+)\\S\*(.*)", re.S)
+#: Heads whose search may start later than they say: the rest of them is enough.
+_SHORTER = {r"(?:sms[ -]?kod|kod)": "kod"}
+
+
+def linear(alternative: str) -> str:
+    """An equal search for `head\\S*rest` that does not try every head of a run of characters.
+
+    If a match starts at some head in a run, one starts at the run's first head. The atomic group settles on that one.
+    """
+    m = _OPEN_RUN.fullmatch(alternative)
+    head = m and _SHORTER.get(m[1], m[1])
+    if not m or " " in head:
+        return alternative
+    greedy = r"\S*+" if m[2].startswith((" ", r"\s")) else r"\S*"
+    return rf"(?<!\S)(?>\S*?{head}){greedy}{m[2]}"
+
+
 PHRASES = {
-    **{name: alternatives for name, _, _, alternatives in V.RULES},
+    **{name: [linear(a) for a in alternatives] for name, _, _, alternatives in V.RULES},
     "NEED": V.NEED, "ASK_VERB": V.ASK_VERB, "RISKY_OBJECT": V.RISKY_OBJECT, "MONEY": V.MONEY,
     "SAFE_ACTION": V.SAFE_ACTION, "WARNING": V.WARNING, "TELL_NOT": V.TELL_NOT, "SECRET": V.SECRET,
     "WHO": V.WHO, "PAST": V.PAST, "QUOTE": V.QUOTE,
@@ -73,6 +93,21 @@ GATES = {
 }
 
 
+def core(stem: str) -> str:
+    """The longest part of a stem without spaces.
+
+    Blanking quoted speech and leaving out advice put spaces into a text, so a stem with a space may come about that
+    way; a part without spaces that is found afterwards was there before.
+    """
+    return max(stem.split(), key=len)
+
+
+def may_occur(norm: Column, latin: Column, name: str) -> Column:
+    """Could a phrase occur in the text, or in what blanking and leaving out make of it?"""
+    cores = list(dict.fromkeys(core(s) for s in GATES[name]))
+    return _spelled(norm, latin, cores)
+
+
 def _any_of(text: Column, stems: list[str]) -> Column:
     """One expression over a constant array instead of one expression per stem: plans stay small."""
     if not stems:
@@ -92,9 +127,14 @@ def found(text: Column, name: str) -> Column:
 
 
 def either_passes_gate(norm: Column, latin: Column, name: str) -> Column:
-    """The gate over both spellings. Equal spellings mean there is no Cyrillic to look for."""
-    plain = [s for s in GATES[name] if s.isascii()]
-    cyrillic = [s for s in GATES[name] if not s.isascii()]
+    """The gate over both spellings."""
+    return _spelled(norm, latin, GATES[name])
+
+
+def _spelled(norm: Column, latin: Column, stems: list[str]) -> Column:
+    """Equal spellings mean there is no Cyrillic to look for."""
+    plain = [s for s in stems if s.isascii()]
+    cyrillic = [s for s in stems if not s.isascii()]
     return _any_of(norm, plain) | ((latin != norm) & (_any_of(norm, cyrillic) | _any_of(latin, plain)))
 
 

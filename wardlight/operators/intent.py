@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wardlight import values as V
 from wardlight.functions.patterns import SPACE, bind, count_matches, one_of
-from wardlight.functions.phrases import either_passes_gate, found, found_in_either, without
+from wardlight.functions.phrases import found, found_in_either, may_occur, without
 from wardlight.functions.staging import stage, stage_fields
 from wardlight.functions.text import evidence_snippet, normalize, squeeze, strip, to_latin
 
@@ -27,32 +27,57 @@ _SENTENCE_END = rf"(?U)((?<=[.!?…]){SPACE}+|\n+)"
 # set aside first (unless a verb follows at once): what is left needs no nested repetition, which would recurse once
 # per apostrophe and overflow the stack on hostile texts.
 _ASIDE = "\ufdd1"
-_GAP = r"[\s\x1c-\x1f" + _MARK + "]*"
+_LONE, _OPENING = "\ufdd2\ufdd3\ufdd4", "«“„"
+_GAP = r"[\s\x1c-\x1f" + _MARK + "]*+"
 _INNER_APOSTROPHE = rf"(?iU)(?<=\w)'(?=\w)(?!(?:{V.SINGLE_QUOTE_VERBS})\b)"
 _QUOTED = (
     r"(?iU)\"[^\"]*\"|«[^»]*»|“[^”]*”|„[^“”]*[“”]"
-    r"|(?<!\w)'[^'\n]++'(?=" + _GAP + ",?" + _GAP + "(?:" + V.SINGLE_QUOTE_VERBS + r")\b)"
+    r"|(?<!\w)'[^'\n]++'(?=" + _GAP + ",?+" + _GAP + "(?:" + V.SINGLE_QUOTE_VERBS + r")\b)"
 )
 _QUOTE_MARKS = "[\"«“„']"
 _LAST_QUOTING_WORD = rf"(?sU)^.*\b(?:{V.QUOTING_WORDS})\b"
 
 
 def mark_sentences(text: Column) -> Column:
-    reserved = text.contains(_MARK) | text.contains(_ASIDE)
-    clean = F.when(reserved, F.translate(text, _MARK + _ASIDE, "  ")).otherwise(text)
+    reserved = _MARK + _ASIDE + _LONE
+    clean = F.when(text.rlike(f"[{reserved}]"), F.translate(text, reserved, " " * len(reserved))).otherwise(text)
     return F.regexp_replace(clean, _SENTENCE_END, "$1" + _MARK)
 
 
+def _after_last(text: Column, closing: str, hide: Callable[[Column], Column]) -> Column:
+    """The text with `hide` applied to what follows the last of the closing marks."""
+    tail = F.length(F.substring_index(F.translate(text, closing, closing[0] * len(closing)), closing[0], -1))
+    return F.concat(F.left(text, F.length(text) - tail), hide(F.right(text, tail)))
+
+
+def _hide_lone(text: Column) -> Column:
+    """Opening marks that nothing closes are set aside: for each, a search for its end would run to the text's end.
+
+    Those are the marks after the last closing one. A “ may also close a „: in the tail after the last ”, that is the
+    first “ after each „.
+    """
+    lone = dict(zip(_OPENING, _LONE, strict=True))
+
+    def rest(tail: Column) -> Column:
+        return F.array_join(F.transform(F.split(tail, "„", -1), lambda piece, i: bind(F.split(piece, "“", -1), lambda p: F.when(
+            i == 0, F.array_join(p, lone["“"])).when(F.size(p) < 3, piece).otherwise(
+                F.concat(p[0], F.lit("“"), F.array_join(F.slice(p, 2, F.size(p)), lone["“"]))))), "„")
+
+    text = F.when(text.contains("«"), _after_last(text, "»", lambda t: F.translate(t, "«", lone["«"]))).otherwise(text)
+    text = F.when(text.contains("“"), _after_last(text, "”", rest)).otherwise(text)
+    return F.when(text.contains("„"), _after_last(text, "“”", lambda t: F.translate(t, "„", lone["„"]))).otherwise(text)
+
+
 def blank_quoted(text: Column) -> Column:
     """Quoted speech becomes spaces of the same length (sentence marks inside it stay)."""
-    aside = F.regexp_replace(text, _INNER_APOSTROPHE, _ASIDE)
+    aside = _hide_lone(F.regexp_replace(text, _INNER_APOSTROPHE, _ASIDE))
 
     def blanked(t: Column) -> Column:
         between, quoted = F.split(t, _QUOTED, -1), F.regexp_extract_all(t, F.lit(_QUOTED), F.lit(0))
         return bind(quoted, lambda spans: F.array_join(F.transform(between, lambda piece, i: F.concat(
             piece, F.regexp_replace(F.coalesce(F.get(spans, i), F.lit("")), f"[^{_MARK}]", " "))), ""))
 
-    return F.when(text.rlike(_QUOTE_MARKS), F.translate(bind(aside, blanked), _ASIDE, "'")).otherwise(text)
+    return F.when(text.rlike(_QUOTE_MARKS), F.translate(bind(aside, blanked), _ASIDE + _LONE, "'" + _OPENING)).otherwise(text)
 
 
 def _pieces(marked: Column) -> Column:
@@ -198,7 +223,7 @@ def _quiet(sentences: Column) -> Column:
 def judge_staged(staged: DataFrame) -> DataFrame:
     """Adds _kind, _evidence, _asks_money. Sentences are judged only where some phrase list could match at all."""
     forms = [F.col(c) for c in ("_raw", "_norm", "_latin", "_masked", "_masked_latin")]
-    gates = {f"_can_{name}": either_passes_gate(F.col("_norm"), F.col("_latin"), name) for name in _SENTENCE_PHRASES}
+    gates = {f"_can_{name}": may_occur(F.col("_norm"), F.col("_latin"), name) for name in _SENTENCE_PHRASES}
     sentences = stage(staged, {"_sentences": sentence_forms(*forms), **gates})
     triggered = reduce(lambda a, b: a | b, [F.col(g) for g in gates])
     judge = lambda s: judge_sentences(s, lambda name: F.col(f"_can_{name}"))
