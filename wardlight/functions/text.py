@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,36 +143,64 @@ def evidence_snippet(sentence: Column, limit: int = V.EVIDENCE_CHARS) -> Column:
     )
 
 
-_NAMED_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
+#: References that may stand without a semicolon, the longer of two with the same start first.
+_LOOSE = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
+_COMMON = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "nbsp;": "\xa0", "#39;": "'"}
+_REPLACED = 0xFFFD
+
+
+def windows_character(code: int) -> str:
+    """What numbers 128 to 159 mean in pages: the characters of the Windows code page, where it has any."""
+    try:
+        return bytes([code]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(code)
+
+
+def _numbered(name: Column) -> Column:
+    """The character of a numeric reference: out of range and surrogates as U+FFFD, numbers that are no characters as nothing."""
+    digits = F.regexp_extract(name, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+    sixteen = name.rlike("^#[xX]")
+    read = F.coalesce(F.when(sixteen, F.conv(digits, 16, 10)).otherwise(digits).try_cast("long"), F.lit(0))
+    code = F.when(F.length(digits) > 7, _REPLACED).when((read == 0) | (read > 0x10FFFF) | read.between(0xD800, 0xDFFF), _REPLACED).otherwise(read)
+    windows = F.create_map(*[F.lit(x) for c in range(128, 160) for x in (c, windows_character(c))])
+    nothing = (code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF)
+               | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE))
+    return F.when(code.between(128, 159), F.try_element_at(windows, code.cast("int"))).when(code == 13, "\r").when(nothing, "").otherwise(
+        F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def _named(name: Column) -> Column:
+    table = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    loose = F.regexp_extract(name, "^(?:" + "|".join(_LOOSE) + ")", 0)
+    known = F.try_element_at(table, name)
+    prefix = F.when(loose != "", F.concat(F.try_element_at(table, loose), F.substr(name, F.length(loose) + 1)))
+    return F.coalesce(known, prefix, F.concat(F.lit("&"), name))
 
 
 def unescape_entities(text: Column) -> Column:
-    """Numeric character references and the named ones that escaping functions write."""
-    number = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-    between = F.split(text, number, -1)
-    found = F.regexp_extract_all(text, F.lit(number), F.lit(0))
-
-    def decoded(ref: Column) -> Column:
-        digits = F.regexp_extract(ref, "([0-9a-fA-F]+);", 1)
-        code = F.when(F.lower(ref).startswith("&#x"), F.conv(digits, 16, 16)).otherwise(F.conv(digits, 10, 16))
-        return F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
-
-    pieces = F.transform(
-        between, lambda piece, i: F.concat(piece, F.coalesce(decoded(F.get(found, i)), F.lit("")))
-    )
-    out = F.when(text.rlike(number), F.array_join(pieces, "")).otherwise(text)
-    for name, char in _NAMED_ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """Character references, numeric and named, as browsers read them. No reference can make a row fail."""
+    between = F.split(text, _REFERENCE, -1)
+    found = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+
+    def decoded(reference: Column) -> Column:
+        name = F.substr(reference, F.lit(2))
+        common = reduce(lambda c, item: c.when(name == item[0], item[1]), list(_COMMON.items())[1:], F.when(name == "amp;", "&"))
+        return common.when(name.startswith("#"), _numbered(name)).otherwise(_named(name))
+
+    pieces = F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(F.when(F.get(found, i).isNotNull(), decoded(F.get(found, i))), F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
 
 
 def strip_tags(html: Column) -> Column:
     return strip(unescape_entities(F.regexp_replace(html, "<[^>]+>", "")))
 
 
-def encoder_text(text: Column) -> Column:
-    """Input of a sentence encoder: masked, squeezed, at most 2000 characters."""
-    return F.substring(squeeze(mask_private(text)), 1, V.ENCODER_CHARS)
+def encoder_text(text: Column, chars: int | None = None) -> Column:
+    """Input of a sentence encoder: masked and squeezed; only the first `chars` characters where an encoder takes no more."""
+    clean = squeeze(mask_private(text))
+    return clean if chars is None else F.substring(clean, 1, chars)
 
 
 def clean_ocr_text(text: Column) -> Column:

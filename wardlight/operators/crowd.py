@@ -132,14 +132,15 @@ def blocked_count(counts: DataFrame, threshold: int = V.REPORT_THRESHOLD) -> Dat
 
 
 def community_sites(reports: DataFrame, as_of: Column, threshold: int = V.REPORT_THRESHOLD,
-                    limit: int = V.FEED_MAX) -> DataFrame:
-    """Sites enough different people reported: preview, first report day, reporters; newest first."""
+                    limit: int | None = None) -> DataFrame:
+    """Sites enough different people reported: preview, first report day, reporters; newest first, `limit` of them or all."""
     people = within_days(reports.filter("kind = 'site'"), as_of).groupBy("ind", "reporter").agg(
         F.min("preview").alias("preview"), F.max("ts").alias("ts"))
     sites = people.groupBy("ind").agg(
         F.min("preview").alias("preview"), F.to_date(F.min("ts")).alias("first_day"),
         F.count("*").alias("reporters"), F.max("ts").alias("last_ts"))
-    return sites.filter(F.col("reporters") >= threshold).orderBy(F.desc("last_ts"), "preview").limit(limit)
+    listed = sites.filter(F.col("reporters") >= threshold).orderBy(F.desc("last_ts"), "preview")
+    return listed if limit is None else listed.limit(limit)
 
 
 def similar_hits(similar: DataFrame, key: str, threshold: int = V.REPORT_THRESHOLD) -> DataFrame:

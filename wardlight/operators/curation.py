@@ -51,8 +51,9 @@ def validate_eval(rows: DataFrame) -> DataFrame:
 
 
 def scheme_split(group: Column) -> Column:
-    number = F.regexp_extract(group, r"^g(\d+)", 1).cast("int")
-    return F.when((number <= 7) | (number % 2 == 1), "dev").otherwise("test")
+    """dev or test by the number of the scheme group; NULL for a group without a number."""
+    number = F.regexp_extract(group, r"^g(\d+)", 1).try_cast("long")
+    return F.when((number <= 7) | (number % 2 == 1), "dev").when(number.isNotNull(), "test")
 
 
 def review_progress(rows: DataFrame, draft: str = V.DRAFT_REVIEWER) -> DataFrame:

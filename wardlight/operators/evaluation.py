@@ -74,13 +74,14 @@ def three_way_report(rows: DataFrame) -> DataFrame:
     return prf(long, F.col("label") == 1, F.col("flagged_it"), "system")
 
 
-def listed_errors(rows: DataFrame, order: str, n: int = 10) -> DataFrame:
-    """The first n missed scams and the first n false alarms, as shown under a report."""
+def listed_errors(rows: DataFrame, order: str, n: int | None = None) -> DataFrame:
+    """Missed scams and false alarms, numbered in `order`: the first n of each, as shown under a report, or all."""
     flagged = F.col("full_level") != "safe"
     kind = F.when((F.col("label") == 1) & ~flagged, "missed").when((F.col("label") == 0) & flagged, "false_alarm")
     wrong = rows.withColumn("error", kind).filter(F.col("error").isNotNull())
     w = Window.partitionBy("error").orderBy(order)
-    return wrong.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    ranked = wrong.withColumn("rank", F.row_number().over(w))
+    return ranked if n is None else ranked.filter(F.col("rank") <= n)
 
 
 def stratified_folds(df: DataFrame, key: str, label: str = "label", k: int = V.FOLDS, seed: int = 42) -> DataFrame:

@@ -137,7 +137,10 @@ def _sequential(events: DataFrame, keys: list[str], ts: str, gap: float, tie: st
                 added: list[T.StructField], step) -> DataFrame:
     """Runs `step` over each burst in time order, streaming over sorted rows."""
     schema = T.StructType([*events.schema.fields, *added])
-    names, wanted = [f.name for f in added], events.columns
+    # A key may be null, which pandas turns into a value that differs from itself: rows are grouped by a text of their keys.
+    events = events.withColumn("_key", F.to_json(F.struct(*keys)))
+    keys = ["_key"]
+    names, wanted = [f.name for f in added], [c for c in events.columns if c != "_key"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, []
@@ -221,26 +224,26 @@ def managed_groups(managers: DataFrame, groups: DataFrame, chat: str = "chat_id"
 
 
 def removal_log(removals: DataFrame, as_of: Column, chat: str = "chat_id", order: str = "event_id",
-                rows: int = V.LOG_ROWS) -> DataFrame:
-    """The newest 15 removals of each group within 30 days; top-k per group is cut before the shuffle."""
+                rows: int | None = None, reason_chars: int | None = None) -> DataFrame:
+    """The removals of each group within 30 days, newest first: all, or the newest `rows` (cut before the shuffle)."""
     recent = within_days(removals, as_of, V.LOG_DAYS)
     w = Window.partitionBy(chat).orderBy(F.desc("ts"), F.desc(order))
-    ranked = recent.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= rows)
-    return ranked.withColumn("reason", F.left(defang_text(F.col("reason")), F.lit(V.LOG_REASON_CHARS)))
+    ranked = recent.withColumn("rank", F.row_number().over(w))
+    if rows is not None:
+        ranked = ranked.filter(F.col("rank") <= rows)
+    reason = defang_text(F.col("reason"))
+    return ranked.withColumn("reason", reason if reason_chars is None else F.left(reason, F.lit(reason_chars)))
 
 
-def training_candidates(removals: DataFrame, limit: int = V.MAX_CANDIDATES) -> DataFrame:
-    """Masked copies of removed messages from groups that opted in, one per content key, with repeats counted.
-
-    The table keeps the first 20 000 different messages it saw, as the feature says.
-    """
+def training_candidates(removals: DataFrame) -> DataFrame:
+    """Masked copies of removed messages from groups that opted in, one per content key, with repeats counted."""
     masked = removals.filter(F.col("train") & (F.col("level") != "safe")).select(
         mask_for_dataset(F.col("text")).alias("text"), F.col("level").alias("verdict"), "ts").filter(F.length("text") >= V.MIN_CONTENT_CHARS)
     keyed = masked.withColumn("fp", content_fingerprint(F.col("text")))
     first = F.struct("ts", "text", "verdict")
     folded = keyed.groupBy("fp").agg(F.min(first).alias("first"), F.max("ts").alias("last"), F.count("*").alias("hits"))
-    return folded.orderBy("first.ts", "fp").limit(limit).select(
-        "fp", F.left("first.text", F.lit(V.CANDIDATE_CHARS)).alias("text"), "first.verdict", F.lit("group").alias("source"),
+    return folded.select(
+        "fp", "first.text", "first.verdict", F.lit("group").alias("source"),
         F.to_date("first.ts").alias("first_seen"), F.to_date("last").alias("last_seen"), "hits")
 
 
@@ -257,14 +260,14 @@ def counted_once(messages: DataFrame) -> DataFrame:
 
 def moderate(verdicts: DataFrame, settings: DataFrame, joins: DataFrame, admins: DataFrame,
              can_delete: Column) -> DataFrame:
-    """Scored messages to actions. Harmless messages leave before anything is looked up about admins."""
+    """Scored messages to actions. Harmless messages leave before anything is looked up about joins or admins."""
     rows = with_settings(verdicts, settings)
-    rows = flag_newcomers(rows, joins)
-    broke = F.col("newcomers") & ~F.col("is_channel") & F.col("is_newcomer") & breaks_newcomer_rule(
+    may_break = F.col("newcomers") & ~F.col("is_channel") & breaks_newcomer_rule(
         F.col("level"), F.col("signals"), F.col("has_link"), F.col("from_chat"))
-    wanted = decide(F.col("level"), F.col("signals"), F.col("mode"), F.col("strict"), F.lit(True))
-    todo = rows.withColumn("newcomer_hit", broke).filter((wanted != "none") | F.col("newcomer_hit"))
-    todo = drop_exempt(todo, admins)
+    wanted = decide(F.col("level"), F.col("signals"), F.col("mode"), F.col("strict"), F.lit(True)) != "none"
+    suspects = rows.withColumn("_may_break", F.coalesce(may_break, F.lit(False))).withColumn("_wanted", wanted).filter("_wanted OR _may_break")
+    flagged = flag_newcomers(suspects, joins).withColumn("newcomer_hit", F.col("_may_break") & F.col("is_newcomer"))
+    todo = drop_exempt(flagged.filter("_wanted OR newcomer_hit").drop("_may_break", "_wanted"), admins)
     action = decide(F.col("level"), F.col("signals"), F.col("mode"), F.col("strict"), can_delete)
     for_newcomer = (action == "none") & F.col("newcomer_hit") & (F.col("mode") == "delete") & can_delete
     return todo.withColumn("action", F.when(for_newcomer, "delete").otherwise(action)).withColumn(

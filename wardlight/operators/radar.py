@@ -75,16 +75,20 @@ def flagged_with_people(sightings: DataFrame) -> DataFrame:
         F.bool_or("confirmed").alias("confirmed"), F.count("person").alias("people"))
 
 
-def feed_domains(sightings: DataFrame, min_people: int = V.FEED_MIN_PEOPLE, limit: int = V.FEED_MAX) -> DataFrame:
-    """Domains one may publish: confirmed by a service, or seen by enough different people."""
+def newest(rows: DataFrame, then: list[str], limit: int | None) -> DataFrame:
+    """Sorted by last_seen and the two columns after it; a top-k only if asked for."""
+    ordered = rows.orderBy(F.desc("last_seen"), F.desc(then[0]), then[1])
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def feed_domains(sightings: DataFrame, min_people: int = V.FEED_MIN_PEOPLE, limit: int | None = None) -> DataFrame:
+    """Domains one may publish: confirmed by a service, or seen by enough different people; the newest `limit`, or all."""
     listed = flagged_with_people(sightings).filter(F.col("confirmed") | (F.col("people") >= min_people))
-    return listed.select("domain", "first_seen", "last_seen", "hits").orderBy(
-        F.desc("last_seen"), F.desc("hits"), "domain").limit(limit)
+    return newest(listed.select("domain", "first_seen", "last_seen", "hits"), ["hits", "domain"], limit)
 
 
-def recent_domains(flagged: DataFrame, limit: int) -> DataFrame:
-    return flagged.select("domain", "first_seen", "last_seen", "hits").orderBy(
-        F.desc("last_seen"), F.desc("hits"), "domain").limit(limit)
+def recent_domains(flagged: DataFrame, limit: int | None = None) -> DataFrame:
+    return newest(flagged.select("domain", "first_seen", "last_seen", "hits"), ["hits", "domain"], limit)
 
 
 def daily_series(daily: DataFrame, today: Column, days: int = V.TREND_DAYS) -> DataFrame:
@@ -121,8 +125,11 @@ def gate_totals(numbers: DataFrame, blocked: DataFrame, minimum: int = V.SHOW_TO
         "checks", (F.col("suspicious") + F.col("dangerous")).alias("scams"), "blocked", "users")).alias("totals"))
 
 
-def threat_feed(feed: DataFrame, community: DataFrame, limit: int = V.FEED_MAX) -> DataFrame:
-    """Flagged and reported sites merged by name; neither official sites nor shorteners are ever listed."""
+def threat_feed(feed: DataFrame, community: DataFrame, limit: int | None = None) -> DataFrame:
+    """Flagged and reported sites merged by name; neither official sites nor shorteners are ever listed.
+
+    Newest first; a publisher who wants a short list gives a `limit`.
+    """
     auto = feed.filter(~H.never_listed(F.col("domain"))).select(
         F.col("domain").alias("indicator"), "first_seen", "last_seen", F.col("hits").alias("detections"))
     value = H.without_www(F.lower(F.col("preview")))
@@ -142,18 +149,19 @@ def threat_feed(feed: DataFrame, community: DataFrame, limit: int = V.FEED_MAX)
         F.coalesce("last_seen", "newest_day").alias("last_seen"),
         F.coalesce("detections", F.lit(0)).alias("detections"), F.coalesce("reporters", F.lit(0)).alias("reporters"),
         F.when(F.col("detections").isNull(), "community").when(F.col("reporters").isNull(), "auto").otherwise("both").alias("source"))
-    return merged.orderBy(F.desc("last_seen"), F.desc(F.col("detections") + F.col("reporters")), "indicator").limit(limit)
+    return merged.orderBy(F.desc("last_seen"), F.desc(F.col("detections") + F.col("reporters")), "indicator").transform(lambda df: df if limit is None else df.limit(limit))
 
 
-def radar_sites(recent: DataFrame, community: DataFrame, limit: int = V.PAGE_SITES) -> DataFrame:
-    """The page's short list: defanged, twelve of the newest."""
+def radar_sites(recent: DataFrame, community: DataFrame, limit: int | None = None) -> DataFrame:
+    """The page's list: defanged, newest first, the first `limit` or all."""
     auto = recent.filter(~H.never_listed(F.col("domain"))).select(
         F.col("domain").alias("key"), "first_seen", "last_seen", "hits")
     reported = community.groupBy(F.col("preview").alias("key")).agg(
         F.max_by("first_day", "last_ts").alias("first_day"), F.min_by("reporters", "last_ts").alias("reporters"))
     both = auto.join(reported, "key", "full_outer")
-    return both.select(
+    sites = both.select(
         defang(F.col("key")).alias("site"), F.coalesce("first_seen", "first_day").alias("first_seen"),
         F.coalesce("last_seen", "first_day").alias("last_seen"), F.coalesce("hits", F.lit(0)).alias("hits"), "reporters",
         F.when(F.col("hits").isNull(), "community").when(F.col("reporters").isNull(), "auto").otherwise("both").alias("source"),
-    ).orderBy(F.desc("last_seen"), F.desc("hits"), "site").limit(limit)
+    )
+    return newest(sites, ["hits", "site"], limit)

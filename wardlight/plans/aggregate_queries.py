@@ -9,7 +9,7 @@ from wardlight.functions.text import mask_for_dataset
 from wardlight.operators import crowd, moderation, radar
 from wardlight.plans import datasets as D
 from wardlight.plans import sql as S
-from wardlight.plans.catalog import query
+from wardlight.plans.catalog import ORACLES, query
 from wardlight.plans.message_queries import COMMUNITY, END
 from wardlight.sources import sinks
 
@@ -60,7 +60,7 @@ def domain_people(spark, d):
     return radar.domain_people(_seen(spark, d))
 
 
-_FEED = f"feed AS (SELECT domain, first_seen, last_seen, hits FROM flagged d WHERE confirmed OR (SELECT count(DISTINCT person) FROM seen s WHERE s.domain = d.domain) >= 3 ORDER BY last_seen DESC, hits DESC, domain LIMIT {V.FEED_MAX})"
+_FEED = f"feed AS (SELECT domain, first_seen, last_seen, hits FROM flagged d WHERE confirmed OR (SELECT count(DISTINCT person) FROM seen s WHERE s.domain = d.domain) >= 3)"
 
 
 @query("feed_domains", S.select([S.CHECKS, _FLAGGED, _FEED], "SELECT * FROM feed"))
@@ -68,9 +68,9 @@ def feed_domains(spark, d):
     return radar.feed_domains(_seen(spark, d))
 
 
-@query("recent_domains", S.select([S.CHECKS, _FLAGGED], "SELECT domain, first_seen, last_seen, hits FROM flagged ORDER BY last_seen DESC, hits DESC, domain LIMIT 20"))
+@query("recent_domains", S.select([S.CHECKS, _FLAGGED], "SELECT domain, first_seen, last_seen, hits FROM flagged"))
 def recent_domains(spark, d):
-    return radar.recent_domains(radar.flagged_domains(_seen(spark, d)), 20)
+    return radar.recent_domains(radar.flagged_domains(_seen(spark, d)))
 
 
 @query("daily_series", S.select([S.CHECKS, _DAILY, "cal AS (SELECT CAST(unnest(generate_series(DATE '2024-01-06', DATE '2024-02-04', INTERVAL 1 DAY)) AS DATE) AS day)"],
@@ -104,14 +104,14 @@ def gate_totals(spark, d):
 
 
 _MERGED = f"""auto AS (SELECT domain AS indicator, first_seen, last_seen, hits FROM feed WHERE NOT {S.never_listed('domain')}),
-com0 AS (SELECT {S.without_www('lower(preview)')} AS indicator, first_day, reporters, last_ts FROM (SELECT * FROM community ORDER BY last_ts DESC, preview LIMIT {V.FEED_MAX})),
+com0 AS (SELECT {S.without_www('lower(preview)')} AS indicator, first_day, reporters, last_ts FROM community),
 com AS (SELECT indicator, min(first_day) AS first_day, min_by(reporters, last_ts) AS reporters, max_by(first_day, last_ts) AS newest FROM com0
   WHERE NOT {S.never_listed("split_part(indicator, '/', 1)")} GROUP BY indicator)"""
 _THREATS = [S.CHECKS, _FLAGGED, _FEED, S.REPORTS.replace(S.EVENTS + ", ", ""), COMMUNITY, _MERGED,
             f"""threats AS (SELECT coalesce(a.indicator, c.indicator) AS indicator, CASE WHEN contains(coalesce(a.indicator, c.indicator), '/') THEN 'url' ELSE 'domain' END AS type,
  least(coalesce(first_seen, first_day), coalesce(first_day, first_seen)) AS first_seen, coalesce(last_seen, newest) AS last_seen, coalesce(hits, 0) AS detections, coalesce(reporters, 0) AS reporters,
  CASE WHEN a.indicator IS NULL THEN 'community' WHEN c.indicator IS NULL THEN 'auto' ELSE 'both' END AS source FROM auto a FULL JOIN com c ON a.indicator = c.indicator
- ORDER BY last_seen DESC, detections + reporters DESC, indicator LIMIT {V.FEED_MAX})"""]
+)"""]
 
 
 @query("threat_feed", S.select(_THREATS, "SELECT * FROM threats"))
@@ -135,20 +135,23 @@ def feed_document(spark, d):
 
 
 @query("radar_sites", S.select([S.CHECKS, _FLAGGED, S.REPORTS.replace(S.EVENTS + ", ", ""), COMMUNITY,
-       f"recent AS (SELECT * FROM (SELECT domain, first_seen, last_seen, hits FROM flagged ORDER BY last_seen DESC, hits DESC, domain LIMIT 20) WHERE NOT {S.never_listed('domain')})",
-       "com AS (SELECT preview, max_by(first_day, last_ts) AS first_day, min_by(reporters, last_ts) AS reporters FROM (SELECT * FROM community ORDER BY last_ts DESC, preview LIMIT 20) GROUP BY preview)"],
+       f"recent AS (SELECT * FROM (SELECT domain, first_seen, last_seen, hits FROM flagged) WHERE NOT {S.never_listed('domain')})",
+       "com AS (SELECT preview, max_by(first_day, last_ts) AS first_day, min_by(reporters, last_ts) AS reporters FROM community GROUP BY preview)"],
        """SELECT replace(coalesce(domain, preview), '.', '[.]') AS site, coalesce(first_seen, first_day) AS first_seen, coalesce(last_seen, first_day) AS last_seen, coalesce(hits, 0) AS hits, reporters,
- CASE WHEN domain IS NULL THEN 'community' WHEN preview IS NULL THEN 'auto' ELSE 'both' END AS source FROM recent FULL JOIN com ON domain = preview ORDER BY last_seen DESC, hits DESC, site LIMIT 12"""))
+ CASE WHEN domain IS NULL THEN 'community' WHEN preview IS NULL THEN 'auto' ELSE 'both' END AS source FROM recent FULL JOIN com ON domain = preview"""))
 def radar_sites(spark, d):
-    return radar.radar_sites(recent_domains(spark, d), crowd.community_sites(D.reports(spark, d), _end(), limit=V.PAGE_CANDIDATES))
+    return radar.radar_sites(recent_domains(spark, d), crowd.community_sites(D.reports(spark, d), _end()))
 
 
-@query("radar_document", S.select([S.CHECKS, _DAILY, _CATS], "SELECT (SELECT sum(checks) FROM daily)::BIGINT AS checks, (SELECT count(DISTINCT category) FROM cats) AS categories, 30 AS days, 12 AS sites"))
+@query("radar_document", S.select([S.CHECKS, _DAILY, _CATS, f"places AS ({ORACLES['radar_sites']})"], f"""SELECT (SELECT sum(checks) FROM daily)::BIGINT AS checks, (SELECT count(DISTINCT category) FROM cats) AS categories,
+ {V.TREND_DAYS} AS days, (SELECT count(*) FROM places) AS sites, (SELECT sum(hits) FROM places)::BIGINT AS hits,
+ (SELECT site FROM places ORDER BY last_seen DESC, hits DESC, site DESC LIMIT 1) AS newest"""))
 def radar_document(spark, d):
     doc = sinks.radar_document(_gated(spark, d, V.SHOW_TOTALS_FROM), radar.daily_series(daily_counts(spark, d), _today()),
                                radar.category_counts(daily_categories(spark, d), F.to_date(F.lit("2024-01-01"))), radar_sites(spark, d), F.lit(TODAY))
-    parsed = doc.select(F.from_json("document", "totals struct<checks:bigint>, categories array<struct<id:string>>, daily array<struct<day:string>>, sites array<struct<site:string>>").alias("j"))
-    return parsed.select("j.totals.checks", F.size("j.categories").cast("long").alias("categories"), F.size("j.daily").alias("days"), F.size("j.sites").alias("sites"))
+    parsed = doc.select(F.from_json("document", "totals struct<checks:bigint>, categories array<struct<id:string>>, daily array<struct<day:string>>, sites array<struct<site:string,hits:bigint>>").alias("j"))
+    return parsed.select("j.totals.checks", F.size("j.categories").cast("long").alias("categories"), F.size("j.daily").alias("days"), F.size("j.sites").alias("sites"),
+                         F.aggregate("j.sites.hits", F.lit(0).cast("long"), lambda s, h: s + h).alias("hits"), F.get("j.sites.site", F.lit(0)).alias("newest"))
 
 
 @query("upsert_keyed", S.select(S.REPORTS, "SELECT ind, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS hits, max_by(preview, ts) AS preview FROM reports GROUP BY ind"))
@@ -250,7 +253,7 @@ def managed_groups(spark, d):
 
 
 @query("removal_log", f"SELECT user_id % 25 AS chat_id, event_id, row_number() OVER (PARTITION BY user_id % 25 ORDER BY ts DESC, event_id DESC) AS rank, 'site' || event_id || '[.]xyz' AS reason FROM events "
-       f"WHERE event_type = 'error' AND ts >= TIMESTAMP '{END}' - INTERVAL 30 DAYS QUALIFY rank <= 15")
+       f"WHERE event_type = 'error' AND ts >= TIMESTAMP '{END}' - INTERVAL 30 DAYS")
 def removal_log(spark, d):
     removals = D.events(spark, d).filter("event_type = 'error'").select(
         (F.col("user_id") % 25).alias("chat_id"), "event_id", "ts", F.concat(F.lit("site"), F.col("event_id").cast("string"), F.lit(".xyz")).alias("reason"))
@@ -297,7 +300,7 @@ def moderate(spark, d):
 
 @query("training_candidates", S.select([S.MESSAGES, f"m AS (SELECT msg_id, ts, {S.mask_dataset('text')} AS text FROM messages WHERE msg_id % 2 = 0)",
        f"f AS (SELECT *, {S.fingerprint('text')} AS fp FROM m WHERE length(text) >= 8)"],
-       "SELECT fp, CAST(min(ts) AS DATE) AS first_seen, CAST(max(ts) AS DATE) AS last_seen, count(*) AS hits FROM f GROUP BY fp ORDER BY min(ts), fp LIMIT 20000"))
+       "SELECT fp, CAST(min(ts) AS DATE) AS first_seen, CAST(max(ts) AS DATE) AS last_seen, count(*) AS hits FROM f GROUP BY fp"))
 def training_candidates(spark, d):
     removals = D.messages(spark, d).select("text", "ts", (F.col("msg_id") % 2 == 0).alias("train"), F.lit("dangerous").alias("level"))
     return moderation.training_candidates(removals).select("fp", "first_seen", "last_seen", "hits")

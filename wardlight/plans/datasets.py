@@ -44,11 +44,8 @@ HOSTS = [
 ]
 
 
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}   # work per row is high: small files are spread over all cores
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_message_table(spark, f"{sf_dir}/{name}.parquet", TEXT_TABLES.get(name))
+    return read_message_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def pick(values: list[str], index: Column) -> Column:

@@ -314,9 +314,9 @@ COMMUNITY = f"""site_rows AS (SELECT ind, reporter, min(preview) AS preview, max
 community AS (SELECT min(preview) AS preview, CAST(min(ts) AS DATE) AS first_day, count(*) AS reporters, max(ts) AS last_ts FROM site_rows GROUP BY ind HAVING count(*) >= 2)"""
 
 
-@query("community_sites", S.select([S.REPORTS, COMMUNITY], "SELECT preview, first_day, reporters FROM community ORDER BY last_ts DESC, preview LIMIT 20"))
+@query("community_sites", S.select([S.REPORTS, COMMUNITY], "SELECT preview, first_day, reporters FROM community"))
 def community_sites(spark, d):
-    return crowd.community_sites(D.reports(spark, d), F.expr(f"TIMESTAMP '{END}'"), limit=20).select("preview", "first_day", "reporters")
+    return crowd.community_sites(D.reports(spark, d), F.expr(f"TIMESTAMP '{END}'")).select("preview", "first_day", "reporters")
 
 
 @query("report_to_feedback", S.select([S.MESSAGES, "a AS (SELECT *, ['report', 'agree', 'disagree'][msg_id % 3 + 1] AS action, ['safe', 'suspicious', 'dangerous'][msg_id % 7 % 3 + 1] AS level FROM messages)"],

@@ -29,7 +29,7 @@ def _labelled(spark, d):
 # evaluation rows: every document as a row of an evaluation set, some of them faulty
 _EVAL = ("ev AS (SELECT doc_id + 2 AS line, CASE WHEN doc_id % 50 = 7 THEN '' ELSE 'p' || (doc_id - doc_id % 31 // 30) END AS id, CASE WHEN doc_id % 41 = 3 THEN 'x1' ELSE 'g' || (doc_id % 37) || '-slug' END AS \"group\", "
          "['request', 'warning', 'report', 'quote', 'info', 'other'][doc_id % 6 + 1] AS intent, ['scam', 'safe', 'needs_context'][doc_id % 3 + 1] AS label, ['latn', 'cyrl', 'mixed', 'ru', 'en', ''][doc_id % 6 + 1] AS script, "
-         "text, CASE WHEN doc_id % 29 = 5 THEN text || '#' ELSE text END AS evidence, ['written', 'real'][doc_id % 2 + 1] AS source, CASE WHEN doc_id % 4 = 0 THEN 'claude-draft' ELSE 'ann' END AS reviewer, '' AS note, doc_id FROM documents), "
+         "text, CASE WHEN doc_id % 29 = 5 THEN text || '#' ELSE text END AS evidence, ['written', 'real'][doc_id % 2 + 1] AS source, CASE WHEN doc_id % 4 = 0 THEN '" + V.DRAFT_REVIEWER + "' ELSE 'ann' END AS reviewer, '' AS note, doc_id FROM documents), "
          "res AS (SELECT *, ['safe', 'suspicious', 'dangerous'][doc_id * 7 % 11 % 3 + 1] AS level FROM ev), "
          "oc AS (SELECT *, CASE label WHEN 'scam' THEN CASE WHEN level <> 'safe' THEN 'ok' ELSE 'MISSED' END WHEN 'safe' THEN CASE WHEN level = 'safe' THEN 'ok' ELSE 'FALSE ALARM' END "
          "ELSE CASE WHEN level = 'suspicious' THEN 'ok' ELSE upper(level) || ' (want suspicious)' END END AS outcome FROM res)")
@@ -62,9 +62,9 @@ def validate_eval(spark, d):
     return curation.validate_eval(_eval(spark, d)).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("scheme_split", S.select(_EVAL, "SELECT doc_id, CASE WHEN doc_id % 37 <= 7 OR doc_id % 37 % 2 = 1 THEN 'dev' ELSE 'test' END AS split FROM ev WHERE doc_id % 41 <> 3"))
+@query("scheme_split", S.select(_EVAL, "SELECT doc_id, CASE WHEN doc_id % 41 = 3 THEN NULL WHEN doc_id % 37 <= 7 OR doc_id % 37 % 2 = 1 THEN 'dev' ELSE 'test' END AS split FROM ev"))
 def scheme_split(spark, d):
-    return _eval(spark, d).filter(F.col("group").startswith("g")).select("doc_id", curation.scheme_split(F.col("group")).alias("split"))
+    return _eval(spark, d).select("doc_id", curation.scheme_split(F.col("group")).alias("split"))
 
 
 @query("outcome", S.select(_EVAL, "SELECT doc_id, outcome FROM oc"))
@@ -90,7 +90,7 @@ def pairs_fully_right(spark, d):
 
 @query("mistakes", S.select(_EVAL, "SELECT doc_id, outcome FROM oc WHERE outcome <> 'ok' AND doc_id % 41 <> 3 AND (doc_id % 37 <= 7 OR doc_id % 37 % 2 = 1)"))
 def mistakes(spark, d):
-    rows = _eval(spark, d).filter(F.col("group").startswith("g")).withColumn("split", curation.scheme_split(F.col("group")))
+    rows = _eval(spark, d).withColumn("split", curation.scheme_split(F.col("group")))
     return evaluation.mistakes(rows).select("doc_id", "outcome")
 
 
@@ -101,7 +101,7 @@ def golden_violations(spark, d):
     return evaluation.golden_violations(rows).select("doc_id")
 
 
-@query("review_progress", S.select(_EVAL, "SELECT label, count(*) AS n, count(*) FILTER (reviewer = 'claude-draft') AS unreviewed FROM ev GROUP BY label"))
+@query("review_progress", S.select(_EVAL, "SELECT label, count(*) AS n, count(*) FILTER (reviewer = '" + V.DRAFT_REVIEWER + "') AS unreviewed FROM ev GROUP BY label"))
 def review_progress(spark, d):
     return curation.review_progress(_eval(spark, d))
 
@@ -138,7 +138,7 @@ def three_way_report(spark, d):
 
 
 @query("listed_errors", S.select([_LAB, "w AS (SELECT doc_id, CASE WHEN label = 1 AND full_level = 'safe' THEN 'missed' WHEN label = 0 AND full_level <> 'safe' THEN 'false_alarm' END AS error FROM lab)"],
-       "SELECT error, doc_id, row_number() OVER (PARTITION BY error ORDER BY doc_id) AS rank FROM w WHERE error IS NOT NULL QUALIFY rank <= 10"))
+       "SELECT error, doc_id, row_number() OVER (PARTITION BY error ORDER BY doc_id) AS rank FROM w WHERE error IS NOT NULL"))
 def listed_errors(spark, d):
     return evaluation.listed_errors(_labelled(spark, d), "doc_id").select("error", "doc_id", "rank")
 
@@ -189,13 +189,12 @@ tc AS (SELECT doc_id, gram, sum(m)::BIGINT AS n FROM g GROUP BY ALL),
 df AS (SELECT gram, count(*) AS df FROM tc GROUP BY gram)"""
 
 
-@query("term_frequency", S.select(_WORDS, "SELECT gram, df, round(ln((1 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1, 6) AS idf FROM df ORDER BY df DESC, gram LIMIT 500"))
+@query("term_frequency", S.select(_WORDS, "SELECT gram, df, round(ln((1 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1, 6) AS idf FROM df"))
 def term_frequency(spark, d):
     docs = D.table(spark, d, "documents")
     counts = models.document_frequency(models.term_counts(docs, "doc_id"))
     total = docs.agg(F.count("*").alias("n_docs")).withColumn("_one", F.lit(1))
-    top = counts.orderBy(F.desc("df"), "gram").limit(500).withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
-    return top.select("gram", "df", F.round(models.smooth_idf(F.col("df"), F.col("n_docs")), 6).alias("idf"))
+    return counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").select("gram", "df", F.round(models.smooth_idf(F.col("df"), F.col("n_docs")), 6).alias("idf"))
 
 
 @query("tfidf_weights", S.select([_WORDS, "x AS (SELECT doc_id, tc.gram, (1 + ln(n)) * (ln((1 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS w FROM tc JOIN df USING (gram))"],

@@ -65,14 +65,14 @@ def stream_flagged_domains(spark, d):
 @query("stream_scored", ORACLES["score_messages"])
 def stream_scored(spark, d):
     messages = _as_stream(spark, d, "documents", D.messages_from)
-    cores = spark.sparkContext.defaultParallelism
-    return _flat(_collected(spark, jobs.score_stream(messages.repartition(cores, "msg_id")), "scored"))
+    return _flat(_collected(spark, jobs.score_stream(messages), "scored"))
 
 
 @query("stream_wave_dedupe", f"SELECT count(DISTINCT {S.fingerprint('text')}) AS waves FROM documents")
 def stream_wave_dedupe(spark, d):
-    docs = _as_stream(spark, d, "documents", lambda s, p, source: source.select("doc_id", "text", F.timestamp_seconds(F.lit(1704067200)).alias("ts")))
-    return _collected(spark, jobs.drop_wave_copies(docs).select("doc_id", "fp"), "waves").agg(F.count_distinct("fp").alias("waves"))
+    docs = _as_stream(spark, d, "documents", lambda s, p, source: source.select(
+        "doc_id", "text", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 1440 * 60).alias("ts")))   # all within one day
+    return _collected(spark, jobs.drop_wave_copies(docs).select("doc_id", "fp"), "waves").agg(F.count("*").alias("waves"))
 
 
 @query("stream_newcomers", S.select([S.EVENTS, A._NEW], "SELECT event_id AS msg_id FROM nc JOIN e USING (event_id) WHERE event_type <> 'signup'"))

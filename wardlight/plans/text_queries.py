@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from wardlight import values as V
@@ -107,7 +109,16 @@ def detect_script(spark, d):
     return D.messages(spark, d).groupBy(X.detect_script(F.col("text")).alias("script")).agg(F.count("*").alias("n"))
 
 
-@query("strip_tags", f"""SELECT page_id, {S.strip("replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&')")} AS plain FROM pages""")
+_HTML5 = "MAP {" + ", ".join(f"'{name}': {' || '.join(f'chr({ord(c)})' for c in value)}" for name, value in html5.items()) + "}"
+_LOOSE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+
+@query("strip_tags", rf"""WITH names AS (SELECT {_HTML5} AS known),
+p AS (SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS t FROM pages),
+r AS (SELECT page_id, string_split_regex(t, '&[A-Za-z][A-Za-z0-9]*;?') AS between, regexp_extract_all(t, '&[A-Za-z][A-Za-z0-9]*;?') AS refs FROM p),
+d AS (SELECT page_id, between, list_transform(refs, lambda x: coalesce(known[x[2:]], known[nullif(regexp_extract(x[2:], '^(?:{_LOOSE})'), '')]
+ || substr(x, length(regexp_extract(x[2:], '^(?:{_LOOSE})')) + 2), x)) AS said FROM r, names)
+SELECT page_id, {S.strip("array_to_string(list_transform(between, lambda b, i: b || coalesce(said[i], '')), '')")} AS plain FROM d""")
 def strip_tags(spark, d):
     return D.table(spark, d, "pages").select("page_id", X.strip_tags(F.col("html")).alias("plain"))
 
@@ -118,13 +129,22 @@ def ocr_clean(spark, d):
     return D.table(spark, d, "documents").select("doc_id", X.clean_ocr_text(F.col("text")).alias("clean"))
 
 
-@query("defang_text", S.select(S.LINKS, r"SELECT page_id, replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '.', '[.]') AS defanged_host FROM links"))
+_HOST = rf"(?i)\b(?:[{S.WORD}-]+\.){{1,126}}[a-z]{{2,}}\b"
+
+
+@query("defang_text", S.select(S.LINKS, f"""SELECT page_id, array_to_string(list_transform(string_split_regex('see ' || url || ' now', '{_HOST}'),
+ lambda piece, i: piece || coalesce(replace(regexp_extract_all('see ' || url || ' now', '{_HOST}')[i], '.', '[.]'), '')), '') AS defanged FROM links"""))
+def defang_text(spark, d):
+    return D.links(spark, d).select("page_id", X.defang_text(F.concat(F.lit("see "), F.col("url"), F.lit(" now"))).alias("defanged"))
+
+
+@query("defang_hosts", S.select(S.LINKS, r"SELECT page_id, replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '.', '[.]') AS defanged_host FROM links"))
 def defang_hosts(spark, d):
     return D.links(spark, d).select(
         "page_id", X.defang(F.regexp_extract("url", "^https?://([^/?#]*)", 1)).alias("defanged_host"))
 
 
-@query("encoder_text", f"SELECT doc_id, substr({S.squeeze(S.mask('text'))}, 1, {V.ENCODER_CHARS}) AS encoder_text FROM documents")
+@query("encoder_text", f"SELECT doc_id, {S.squeeze(S.mask('text'))} AS encoder_text FROM documents")
 def encoder_text(spark, d):
     return D.table(spark, d, "documents").select("doc_id", X.encoder_text(F.col("text")).alias("encoder_text"))
 

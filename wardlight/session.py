@@ -1,10 +1,10 @@
-"""Session settings the jobs count on, and the two places where data may be cut off its lineage."""
+"""Session settings the jobs count on, and the folder for streams' state and outputs."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -36,9 +36,3 @@ def shared_folder(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so lost executors do not replay the lineage."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()

@@ -36,20 +36,9 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
     return found.coalesce(1).withColumn("line", F.monotonically_increasing_id() + 2)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """More tasks for a small scan: checking a text costs milliseconds, and a small file is one row group, one task.
-
-    Only for plain scans. A large table already has far more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
-def read_message_table(spark: SparkSession, path: str, key: str | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """A table of messages; with a key, small tables are spread over all cores."""
-    reader = spark.read.schema(schema) if schema else spark.read
-    found = reader.parquet(path)
-    return spread(found, key) if key else found
+def read_message_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A table of messages."""
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
 def read_message_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:

@@ -75,7 +75,7 @@ def feed_document(feed: DataFrame, name: str, updated: Column) -> DataFrame:
 
 def radar_document(gated: DataFrame, series: DataFrame, categories: DataFrame, sites: DataFrame, updated: Column,
                    threshold: int = V.REPORT_THRESHOLD) -> DataFrame:
-    """One row with the whole public document. Every part is short by construction (days, categories, 12 sites)."""
+    """One row with the whole public document. It lists the sites it is given: a page that shows a few passes a few."""
     one = F.lit(1).alias("_one")
     text = lambda c: F.col(c).cast("string").alias(c)
     daily = series.agg(F.array_sort(F.collect_list(F.struct(text("day"), "checks", "scams"))).alias("daily")).select("daily", one)

@@ -29,7 +29,7 @@ def daily_count_stream(checks: DataFrame, late: str = LATE) -> DataFrame:
     """Tumbling days: day, checks, safe, suspicious, dangerous."""
     level = radar.public_level(F.col("level"), F.col("signals"))
     return (
-        checks.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"))
+        checks.filter(F.col("level").isin(V.LEVELS)).withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"))
         .agg(F.count("*").alias("checks"), *[F.count_if(level == x).alias(x) for x in V.LEVELS])
         .select(F.to_date("w.start").alias("day"), "checks", *V.LEVELS)
     )
