@@ -32,8 +32,8 @@ def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
     found = read_csv(spark, path)
     if found.columns != V.EVAL_COLUMNS:
         raise ValueError(f"columns must be exactly {','.join(V.EVAL_COLUMNS)}; found {','.join(found.columns)}")
-    # A reviewed evaluation set is a hand-made file: one split, so the id is the row number.
-    return found.coalesce(1).withColumn("line", F.monotonically_increasing_id() + 2)
+    # A reviewed evaluation set is one hand-made file. With line breaks inside fields it is one split, so ids count its rows.
+    return found.withColumn("line", F.monotonically_increasing_id() + 2)
 
 
 def read_message_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardlight import values as V
 
+CSV = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 FEED_HEAD = [
     "# Sources: detected automatically (rules + link analysis + online reputation)",
     "#          or reported by at least {threshold} different users.",
@@ -35,13 +36,12 @@ def training_rows(feedback: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def export_training_csv(feedback: DataFrame, candidates: DataFrame, path: str) -> None:
-    training_rows(feedback, candidates).write.mode("overwrite").options(header="true", quote='"', escape='"').csv(path)
+    training_rows(feedback, candidates).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def export_feedback_csv(feedback: DataFrame, path: str) -> None:
     feedback.select("text", "label", "predicted", F.col("user_agreed").cast("int").alias("user_agreed"),
-                    F.col("ts").cast("string").alias("timestamp")).write.mode("overwrite").options(
-        header="true", quote='"', escape='"').csv(path)
+                    F.col("ts").cast("string").alias("timestamp")).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def feed_lines(feed: DataFrame, title: str, updated: Column, threshold: int = V.REPORT_THRESHOLD) -> DataFrame:
