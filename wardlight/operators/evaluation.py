@@ -101,9 +101,38 @@ def stratified_folds(df: DataFrame, key: str, label: str = "label", k: int = V.F
         "_h", "_range", "_inside", "_before")
 
 
+def ranked_scores(df: DataFrame, proba: str, label: str, ranges: int = 256) -> DataFrame:
+    """One row per distinct score: _p, _pos and _neg (rows of either label with it), _below (normal rows with less).
+
+    Counts per distinct score come first, so copies fold. The running count goes over ranges that hold about as many
+    distinct scores each, wherever scores pile up, then inside each range: no window sorts the whole table.
+    """
+    per_score = df.groupBy(F.col(proba).cast("double").alias("_p")).agg(
+        F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")).filter("_p IS NOT NULL")
+    bounds = sorted(set(per_score.approxQuantile("_p", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
+    place = F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda b: b <= F.col("_p"))) if bounds else F.lit(0)
+    placed = per_score.withColumn("_range", place)
+    sums = placed.groupBy("_range").agg(F.sum("_neg").alias("_n"))       # at most one row per range
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("_neg").over(Window.partitionBy("_range").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("_inside", inside).join(sums.withColumn("_before", before).drop("_n"), "_range").select(
+        "_p", "_pos", "_neg", (F.col("_before") + F.col("_inside")).alias("_below"))
+
+
+def false_alarm_threshold(df: DataFrame, rate: float, proba: str, label: str) -> DataFrame:
+    """One row: the score that `rate` of normal messages exceed, between two scores in proportion."""
+    ranked = ranked_scores(df, proba, label).filter("_neg > 0")
+    at = (F.col("_all") - 1) * F.lit(1 - rate)
+    whole = ranked.agg(F.sum("_neg").alias("_all")).select("_all", at.alias("_at"))
+    holds = lambda i: (F.col("_below") <= i) & (i < F.col("_below") + F.col("_neg"))
+    ends = ranked.withColumn("_one", F.lit(1)).join(F.broadcast(whole.withColumn("_one", F.lit(1))), "_one").agg(   # one row
+        F.max(F.when(holds(F.floor("_at")), F.col("_p"))).alias("low"), F.max(F.when(holds(F.ceil("_at")), F.col("_p"))).alias("high"), F.max("_at").alias("_at"))
+    return ends.select((F.col("low") + (F.col("high") - F.col("low")) * (F.col("_at") - F.floor("_at"))).alias("threshold"))
+
+
 def caught_at_fpr(df: DataFrame, rate: float = V.FALSE_ALARM_RATE, proba: str = "proba", label: str = "label") -> DataFrame:
     """One row: the score that `rate` of normal messages exceed, and the share of scams strictly above it."""
-    threshold = df.filter(F.col(label) == 0).agg(F.percentile(proba, F.lit(1 - rate)).alias("threshold")).withColumn("_one", F.lit(1))
+    threshold = false_alarm_threshold(df, rate, proba, label).withColumn("_one", F.lit(1))
     scams = df.filter(F.col(label) == 1).select(F.col(proba).alias("_p"), F.lit(1).alias("_one"))
     return scams.join(F.broadcast(threshold), "_one").groupBy("threshold").agg(
         F.avg((F.col("_p") > F.col("threshold")).cast("double")).alias("caught"))
@@ -111,26 +140,13 @@ def caught_at_fpr(df: DataFrame, rate: float = V.FALSE_ALARM_RATE, proba: str =
 
 def caught_by_category(df: DataFrame, category: str, rate: float = V.FALSE_ALARM_RATE, proba: str = "proba",
                        label: str = "label") -> DataFrame:
-    threshold = df.filter(F.col(label) == 0).agg(F.percentile(proba, F.lit(1 - rate)).alias("_t")).withColumn("_one", F.lit(1))
+    threshold = false_alarm_threshold(df, rate, proba, label).withColumn("_one", F.lit(1))
     scams = df.filter(F.col(label) == 1).select(category, F.col(proba).alias("_p"), F.lit(1).alias("_one"))
     return scams.join(F.broadcast(threshold), "_one").groupBy(category).agg(
-        F.count("*").alias("n"), F.avg((F.col("_p") > F.col("_t")).cast("double")).alias("caught"))
-
+        F.count("*").alias("n"), F.avg((F.col("_p") > F.col("threshold")).cast("double")).alias("caught"))
 
-def auc(df: DataFrame, proba: str = "proba", label: str = "label", ranges: int = 4096) -> DataFrame:
-    """One row: the chance that a scam scores above a normal message, ties counting half.
 
-    Counts per distinct score come first (copies fold), then a running count over score ranges and one inside
-    each range, so no window ever sorts the whole table.
-    """
-    per_score = df.groupBy(F.col(proba).alias("_p")).agg(
-        F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
-    placed = per_score.withColumn("_range", F.floor(F.col("_p") * ranges)).withColumn("_one", F.lit(1))
-    sums = placed.groupBy("_range").agg(F.sum("_neg").alias("_n"))
-    earlier = sums.withColumn("_below", F.coalesce(F.sum("_n").over(
-        Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = F.coalesce(F.sum("_neg").over(Window.partitionBy("_range").orderBy("_p").rowsBetween(
-        Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = placed.withColumn("_inside", inside).join(earlier, "_range")
-    wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_inside") + F.col("_neg") / 2.0))
-    return ranked.agg(F.try_divide(wins, (F.sum("_pos") * F.sum("_neg")).cast("double")).alias("auc"))
+def auc(df: DataFrame, proba: str = "proba", label: str = "label") -> DataFrame:
+    """One row: the chance that a scam scores above a normal message, ties counting half."""
+    wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0))
+    return ranked_scores(df, proba, label).agg(F.try_divide(wins, (F.sum("_pos") * F.sum("_neg")).cast("double")).alias("auc"))
