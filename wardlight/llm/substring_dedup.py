@@ -8,6 +8,7 @@ shard's automaton is built in the one task that streams the shard's passages.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,14 +55,19 @@ def group_hashes(h: np.ndarray, group: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
-def passages(h: np.ndarray, window: int = WINDOW, group: int = GROUP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer hash, its place, first window, windows) of runs of windows that share a minimizer.
+def passages(h: np.ndarray, ends: np.ndarray, window: int = WINDOW, group: int = GROUP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, minimizer hash, first window, windows) of runs of windows that share a minimizer.
 
-    Equal windows have equal minimizer hashes, whatever stands around them.
+    `h` holds the words of several documents in a row, `ends` their ends; no window spans two of them. Equal windows
+    have equal minimizer hashes, whatever stands around them.
     """
     n = len(h) - window + 1
-    if n <= 0:
-        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+    starts = np.concatenate([[0], ends[:-1]])
+    doc = np.repeat(np.arange(len(ends)), np.maximum(0, ends - starts - window + 1))
+    if not len(doc):
+        return (doc, np.zeros(0, np.uint64), doc, doc)
+    per = np.maximum(0, ends - starts - window + 1)
+    first = np.arange(len(doc)) + np.repeat(starts - (np.cumsum(per) - per), per)
     g, low = group_hashes(h, group), np.uint64((1 << 20) - 1)
     least = (g & ~low) | (np.arange(len(g), dtype=np.uint64) & low)
     span, width = window - group + 1, 1
@@ -69,23 +75,21 @@ def passages(h: np.ndarray, window: int = WINDOW, group: int = GROUP) -> tuple[n
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     if width < span:
-        least = np.minimum(least[: n], least[span - width : span - width + n])
-    first = np.arange(n)
-    place = first + (((least & low).astype(np.int64) - first) & ((1 << 20) - 1))
-    start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return g[place[start]], place[start], start, np.diff(np.append(start, n))
+        least = np.minimum(least[:n], least[span - width : span - width + n])
+    place = first + (((least[first] & low).astype(np.int64) - first) & ((1 << 20) - 1))
+    start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))   # documents share no place
+    return doc[start], g[place[start]], (first - starts[doc])[start], np.diff(np.append(start, len(doc)))
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        held = [[], [], [], []]
-        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            g, place, first, n = passages(word_hashes(text.split()))
-            for kept, new in zip(held, (g.view(np.int64), np.full(len(g), row), first * 16 + n, place), strict=True):
-                kept.append(new)
-        columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in held]
-        for i in range(0, max(1, len(columns[0])), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000], pa.int64()) for c in columns[:3]], names=["shard", "row", "at"])
+        split = [t.split() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        ends = np.cumsum(list(map(len, split)), dtype=np.int64)
+        doc, g, first, n = passages(word_hashes(list(chain.from_iterable(split))), ends)
+        rows = batch.column("row").to_numpy()
+        columns = [g.view(np.int64), rows[doc] if len(doc) else doc, first * 16 + n]
+        for i in range(0, max(1, len(doc)), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000], pa.int64()) for c in columns], names=["shard", "row", "at"])
 
 
 class SuffixAutomaton:
@@ -260,7 +264,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = documents(docs).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     found = each_batch(rows, "shard long, row long, at long", _occurrences)
-    counts = found.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    counts = staged(found.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))   # a join of two scans can be split
     repeated = found.join(counts, "shard").select("row", F.struct("shard", "at", (F.col("n") > HOT).alias("hot")).alias("item"))
     listed = staged(repeated.groupBy("row").agg(F.collect_set("item").alias("listed")))
     brought = each_batch(rows.join(listed, "row"), PASSAGE, _bring_passages)
