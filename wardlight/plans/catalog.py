@@ -19,4 +19,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from wardlight.plans import aggregate_queries, message_queries, quality_queries, source_queries, stream_queries, text_queries  # noqa: F401
+    from wardlight.plans import aggregate_queries, guard_queries, message_queries, quality_queries, source_queries, stream_queries, text_queries  # noqa: F401

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -36,3 +37,9 @@ def shared_folder(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
+
+def staged(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read again: costly columns are computed once, and lineage starts there."""
+    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
