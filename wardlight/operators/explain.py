@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wardlight import values as V
 from wardlight.functions.hosts import top_level, without_www
 from wardlight.operators.verdict import by_weight, is_mention
-from wardlight.texts import LANGUAGES, REASONS
+from wardlight.texts import EVIDENCE, LANGUAGES, LOOKED_UP, REASONS
 
 
 def reason_table(spark: SparkSession) -> DataFrame:
@@ -31,6 +31,17 @@ def template(key: Column, lang: Column) -> Column:
     return F.element_at(_texts(), F.concat(key, F.lit("|"), known))
 
 
+def evidence_reasons(signals: Column, lang: Column, looked_up: Column | None = None) -> Column:
+    """One reason per signal of evidence from outside the text, in the signals' order; one for all lookups together."""
+    known = F.create_map(*[F.lit(x) for key, texts in EVIDENCE.items() for name, text in zip(LANGUAGES, texts) for x in (f"{key}|{name}", text)])
+    reader = F.when(lang.isin("ru", "en"), lang).otherwise("uz")
+    told = F.array_compact(F.transform(F.array_distinct(signals), lambda s: F.try_element_at(known, F.concat(s, F.lit("|"), reader))))
+    if looked_up is None:
+        return told
+    online = F.try_element_at(F.create_map(*[F.lit(x) for pair in zip(LANGUAGES, LOOKED_UP) for x in pair]), reader)
+    return F.when(looked_up, F.concat(told, F.array(online))).otherwise(told)
+
+
 def _fill(text: Column, **parts: Column) -> Column:
     for name, value in parts.items():
         text = F.replace(text, F.lit("{" + name + "}"), value)
@@ -51,7 +62,10 @@ def _link_reasons(link: Column, lang: Column) -> Column:
 
 
 def explain(verdicts: DataFrame, lang: Column) -> DataFrame:
-    """Adds reasons (why it is risky) and trust (why it is not), empty where they do not apply."""
+    """Adds reasons (why it is risky) and trust (why it is not), empty where they do not apply.
+
+    What the crowd, a file or an app's rights add to the verdict is said last, and one line for confirmed lookups.
+    """
     none = F.array().cast("array<string>")
     kind, evidence = F.col("intent.kind"), F.col("intent.evidence")
     one = lambda condition, key, **parts: F.when(condition, F.array(_fill(template(F.lit(key), lang), **parts))).otherwise(none)
@@ -70,9 +84,11 @@ def explain(verdicts: DataFrame, lang: Column) -> DataFrame:
         one(F.size(official) > 0, "official_sites", sites=sites),
         one((kind == "warning") & counted, "is_warning", evidence=evidence),
         one((kind == "report") & counted, "is_story", evidence=evidence))
+    looked_up = F.size("confirmed") > 0 if "confirmed" in verdicts.columns else None
+    outside = evidence_reasons(F.col("signals"), lang, looked_up)
+    own = F.when(asks_context, F.array(template(F.lit("needs_context"), lang))).when(F.col("level") != "safe", risky).otherwise(none)
     return (
-        verdicts.withColumn("reasons", F.when(asks_context, F.array(template(F.lit("needs_context"), lang)))
-                            .when(F.col("level") != "safe", risky).otherwise(none))
+        verdicts.withColumn("reasons", F.when(F.col("level") != "safe", F.concat(own, outside)).otherwise(own))
         .withColumn("trust", F.when(F.col("level") == "safe", trusted).otherwise(none))
     )
 

@@ -51,6 +51,24 @@ def explain_reasons(spark, d):
     return told.filter(F.size(own) > 0).select("msg_id", F.array_join(own, " | ").alias("rule_reasons"))
 
 
+_OUTSIDE = [("community", "m.msg_id % 2 = 0"), ("apk_reads_sms", "m.msg_id % 3 = 0"), ("file_program", "m.msg_id % 5 = 0")]
+
+
+@query("explain_evidence", S.select([S.MESSAGES, S.verdict_ctes()], "SELECT m.msg_id, concat_ws(' | ', " + ", ".join(
+       f"CASE WHEN {where} THEN CASE m.msg_id % 4 WHEN 0 THEN {S.q(explain.EVIDENCE[key][2])} WHEN 1 THEN {S.q(explain.EVIDENCE[key][1])} ELSE {S.q(explain.EVIDENCE[key][0])} END END"
+       for key, where in _OUTSIDE) + ", CASE WHEN m.msg_id % 7 = 0 THEN CASE m.msg_id % 4 WHEN 0 THEN " + S.q(explain.LOOKED_UP[2]) + " WHEN 1 THEN " + S.q(explain.LOOKED_UP[1])
+       + " ELSE " + S.q(explain.LOOKED_UP[0]) + " END END) AS told FROM messages m JOIN verdicts v USING (msg_id) WHERE v.level <> 'safe'"))
+def explain_evidence(spark, d):
+    """Reasons for evidence from outside the text, added to the scored messages."""
+    key, empty = F.col("msg_id"), F.array().cast("array<string>")
+    add = F.array_compact(F.array(F.when(key % 2 == 0, "community"), F.when(key % 3 == 0, "apk_reads_sms"), F.when(key % 5 == 0, "file_program")))
+    scored = verdict.score_messages(D.messages(spark, d)).withColumn("signals", F.concat("signals", add)).withColumn(
+        "confirmed", F.when(key % 7 == 0, F.array(F.lit("evil.site"))).otherwise(empty)).filter("level <> 'safe'")
+    told = explain.explain(scored, F.when(key % 4 == 0, "ru").when(key % 4 == 1, "en").otherwise("uz"))
+    texts = [t for three in [*explain.EVIDENCE.values(), explain.LOOKED_UP] for t in three]
+    return told.select("msg_id", F.array_join(F.filter("reasons", lambda r: r.isin(texts)), " | ").alias("told"))
+
+
 @query("explain_trust")
 def explain_trust(spark, d):
     told = explain.explain(verdict.score_messages(D.messages(spark, d)), F.when(F.col("msg_id") % 2 == 0, "ru").otherwise("uz"))

@@ -126,12 +126,33 @@ REASONS = {
         "Bu bo'lib o'tgan voqea haqida hikoya — xabar sizdan hech narsa so'ramayapti: «{evidence}»",
         "This describes something that already happened — it doesn't ask you for anything: «{evidence}»",
         "Это рассказ о случившемся — сообщение ничего у вас не просит: «{evidence}»"),
-    "newcomer": (
-        "yangi a'zo: guruhga qo'shilganiga hali 24 soat bo'lmagan, birinchi kuni havola, kanal forwardi va shubhali "
-        "xabarlar mumkin emas",
-        "new member: joined less than 24 hours ago, and on the first day links, forwards from channels and suspicious "
-        "messages aren't allowed",
-        "новый участник: в группе меньше 24 часов, а в первый день ссылки, репосты из каналов и подозрительные "
-        "сообщения нельзя"),
 }
+# What evidence from outside the text says: the crowd, an attached file, what an app may do, looked-up answers.
+EVIDENCE = {
+    "community": (
+        "Bir necha kishi shu havola, raqam, akkaunt yoki shunga o'xshash xabar ustidan shikoyat qilgan",
+        "Several people have reported this link, number, account or a message like it",
+        "Несколько человек пожаловались на эту ссылку, номер, аккаунт или похожее сообщение"),
+    "file_program": (
+        "Biriktirilgan fayl — dastur: notanish odamdan kelgan bo'lsa, ochmang",
+        "The attached file is a program: do not open it if it comes from a stranger",
+        "Вложенный файл — программа: не открывайте, если его прислал незнакомец"),
+    "apk_reads_sms": ("Ilova SMS xabarlarni o'qiydi, bank kodlarini ham", "The app reads text messages, bank codes among them", "Приложение читает SMS, в том числе коды банка"),
+    "apk_accessibility": ("Ilova ekranni ko'radi va siz uchun bosadi", "The app sees the screen and can tap for you", "Приложение видит экран и может нажимать за вас"),
+    "apk_notifications": ("Ilova barcha bildirishnomalarni o'qiydi", "The app reads all notifications", "Приложение читает все уведомления"),
+    "apk_overlay": ("Ilova boshqa ilovalar ustida oyna ochadi", "The app shows windows over other apps", "Приложение показывает окна поверх других"),
+    "apk_device_admin": ("Ilova qurilma administratori bo'lmoqchi", "The app wants to administer the device", "Приложение хочет управлять устройством"),
+    "apk_sends_sms": ("Ilova sizning nomingizdan SMS yuboradi", "The app sends text messages in your name", "Приложение отправляет SMS от вашего имени"),
+    "apk_calls": ("Ilova qo'ng'iroqlarni boshqaradi", "The app controls phone calls", "Приложение управляет звонками"),
+    "apk_installs_apps": ("Ilova boshqa ilovalarni o'rnatadi", "The app installs other apps", "Приложение устанавливает другие приложения"),
+    "apk_contacts": ("Ilova kontaktlarni o'qiydi", "The app reads the contacts", "Приложение читает контакты"),
+    "apk_sees_apps": ("Ilova o'rnatilgan bank ilovalarini ko'radi", "The app sees which bank apps are installed", "Приложение видит, какие банковские приложения установлены"),
+    "apk_hidden_icon": ("Ilova bosh ekranda ko'rinmaydi", "The app does not show on the home screen", "Приложения не видно на главном экране"),
+    "apk_evasion": ("Fayl tekshirib bo'lmasligi uchun buzilgan", "The file is damaged so that it cannot be examined", "Файл испорчен так, чтобы его нельзя было проверить"),
+}
+#: Signals of online lookups share one text.
+LOOKED_UP = (
+    "Onlayn tekshiruv bu sayt yoki havolani xavfli deb topdi",
+    "An online check found this site or link to be dangerous",
+    "Онлайн-проверка считает этот сайт или ссылку опасной")
 LANGUAGES = ("uz", "en", "ru")
