@@ -59,7 +59,8 @@ def stream_daily_categories(spark, d):
 def stream_flagged_domains(spark, d):
     path = _work(spark, "flagged")
     jobs.maintain_flagged_domains(_checks(spark, d), path + "/out", path + "/checkpoint").awaitTermination()
-    return jobs.latest_version(spark, path + "/out")
+    jobs.compact_totals(spark, path + "/out", ["domain"], path + "/compact")
+    return jobs.read_totals(spark, path + "/compact", ["domain"])
 
 
 @query("stream_scored", ORACLES["score_messages"])

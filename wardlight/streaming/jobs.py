@@ -16,7 +16,6 @@ from wardlight import values as V
 from wardlight.functions.text import content_fingerprint
 from wardlight.operators import radar
 from wardlight.operators.verdict import score_messages
-from wardlight.sources.sinks import upsert_keyed
 
 LATE = "1 day"
 
@@ -58,45 +57,12 @@ def newcomer_stream(messages: DataFrame, joins: DataFrame, late: str = LATE) ->
     return m.join(j, near).select("m.*").dropDuplicatesWithinWatermark(["msg_id"])
 
 
-def latest_version(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest complete version of a table kept as path/version=N (written by `keep_versions`)."""
-    try:
-        versions = spark.read.parquet(path)
-    except Exception as error:   # nothing written yet
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
-    newest = versions.select("version").distinct().agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == newest).drop("version")
-
-
-def keep_versions(path: str, keys: list[str], merge: dict[str, str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer: version N = version before N + this batch. Replaying a batch rewrites the same version."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            older = spark.read.parquet(path).filter(F.col("version") < batch_id)
-            last = older.agg(F.max("version")).first()[0]
-            before = older.filter(F.col("version") == last).drop("version") if last is not None else None
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            before = None
-        merged = batch if before is None else upsert_keyed(before, batch, keys, merge)
-        merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    return write
-
-
 def maintain_flagged_domains(checks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps domain, first_seen, last_seen, hits, confirmed up to date while checks stream in."""
-    merge = {"first_seen": "min", "last_seen": "max", "hits": "sum", "confirmed": "max"}
-    upsert = keep_versions(path, ["domain"], merge)
-    return (
-        radar.domain_sightings(checks).writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, n: upsert(radar.flagged_domains(batch), n)).trigger(availableNow=True).start()
-    )
+    """Keeps domain, first_seen, last_seen, hits, confirmed up to date while checks stream in.
+
+    The totals are the stream's state; a micro-batch writes only the domains that it changed. Read with `read_totals`.
+    """
+    return maintain_totals(radar.flagged_domains(radar.domain_sightings(checks)), path, checkpoint)
 
 
 def maintain_totals(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -114,6 +80,11 @@ def read_totals(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
 
 
+def compact_totals(spark: SparkSession, path: str, keys: list[str], into: str) -> None:
+    """The newest totals as one batch of a new folder, for a table that has gathered many batches."""
+    read_totals(spark, path, keys).write.parquet(f"{into}/batch=0")
+
+
 def with_fresh_side(stream: DataFrame, read_side: Callable[[SparkSession], DataFrame],
                     apply: Callable[[DataFrame, DataFrame], DataFrame], write: Callable[[DataFrame, int], None],
                     checkpoint: str) -> StreamingQuery:
