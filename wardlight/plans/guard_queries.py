@@ -1,11 +1,11 @@
-"""Text to action over the documents, as messages of groups."""
+"""Text to action, and evaluation of real verdicts, over the documents as messages of groups."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from wardlight import values as V
-from wardlight.operators import crowd, guard
+from wardlight.operators import crowd, evaluation, guard, verdict
 from wardlight.plans import datasets as D
 from wardlight.plans import sql as S
 from wardlight.plans.aggregate_queries import _SETTINGS, _settings
@@ -59,3 +59,33 @@ def moderate_messages(spark, d):
                     F.lit(7).alias("linked_chat"), (F.col("chat_id") % 5 == 0).alias("test"), (key % 29 == 0).alias("from_chat"))
     acted = guard.moderate_messages(rows, files, hits, similar, _settings(spark, d).drop("test"), joins, admins, key % 4 != 0, resets=False)
     return acted.select("msg_id", "action", "reason", "strikes")
+
+
+_JUDGED = ("oc AS (SELECT m.msg_id, ['scam', 'safe', 'needs_context'][m.msg_id % 3 + 1] AS label, v.kind AS intent, v.level, CASE m.msg_id % 3 WHEN 0 THEN CASE WHEN v.level <> 'safe' THEN 'ok' ELSE 'MISSED' END "
+           "WHEN 1 THEN CASE WHEN v.level = 'safe' THEN 'ok' ELSE 'FALSE ALARM' END ELSE CASE WHEN v.level = 'suspicious' THEN 'ok' ELSE upper(v.level) || ' (want suspicious)' END END AS outcome, "
+           "CASE WHEN m.msg_id % 3 = 0 THEN 'flag' ELSE 'safe' END AS expect FROM messages m JOIN verdicts v USING (msg_id))")
+
+
+def _evaluated(spark, d):
+    """Every message as a row of an evaluation set, with the level and intent that scoring gives it."""
+    scored = verdict.score_messages(D.messages(spark, d))
+    rows = scored.select("msg_id", D.pick(["scam", "safe", "needs_context"], F.col("msg_id")).alias("label"), F.col("intent.kind").alias("intent"), "level",
+                         F.when(F.col("msg_id") % 3 == 0, "flag").otherwise("safe").alias("expect"), F.array().cast("array<string>").alias("reasons"))
+    return rows.withColumn("outcome", evaluation.outcome(F.col("label"), F.col("level")))
+
+
+@query("evaluate_verdicts", S.select([S.MESSAGES, S.verdict_ctes(), _JUDGED], """SELECT count(*) FILTER (label = 'scam' AND outcome = 'ok') AS scams_caught, count(*) FILTER (label = 'scam') AS scams,
+ count(*) FILTER (label = 'safe' AND outcome <> 'ok') AS false_alarms, count(*) FILTER (label = 'safe') AS safe, count(*) FILTER (label = 'needs_context' AND outcome = 'ok') AS context_ok,
+ count(*) FILTER (label = 'needs_context') AS context FROM oc"""))
+def evaluate_verdicts(spark, d):
+    return evaluation.headline_metrics(_evaluated(spark, d))
+
+
+@query("evaluate_by_intent", S.select([S.MESSAGES, S.verdict_ctes(), _JUDGED], "SELECT intent, count(*) FILTER (outcome = 'ok') AS ok, count(*) AS n FROM oc GROUP BY intent"))
+def evaluate_by_intent(spark, d):
+    return evaluation.by_intent(_evaluated(spark, d))
+
+
+@query("golden_verdicts", S.select([S.MESSAGES, S.verdict_ctes(), _JUDGED], "SELECT msg_id, level FROM oc WHERE (expect = 'safe') = (level <> 'safe')"))
+def golden_verdicts(spark, d):
+    return evaluation.golden_violations(_evaluated(spark, d)).select("msg_id", "level")
