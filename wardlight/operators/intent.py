@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wardlight import values as V
 from wardlight.functions.patterns import SPACE, bind, count_matches, one_of
-from wardlight.functions.phrases import found, found_in_either, may_occur, without
+from wardlight.functions.phrases import either_passes_gate, found, found_in_either, may_occur, without
 from wardlight.functions.staging import stage, stage_fields
 from wardlight.functions.text import evidence_snippet, normalize, squeeze, strip, to_latin
 
@@ -63,9 +63,15 @@ def _hide_lone(text: Column) -> Column:
             i == 0, F.array_join(p, lone["“"])).when(F.size(p) < 3, piece).otherwise(
                 F.concat(p[0], F.lit("“"), F.array_join(F.slice(p, 2, F.size(p)), lone["“"]))))), "„")
 
-    text = F.when(text.contains("«"), _after_last(text, "»", lambda t: F.translate(t, "«", lone["«"]))).otherwise(text)
-    text = F.when(text.contains("“"), _after_last(text, "”", rest)).otherwise(text)
-    return F.when(text.contains("„"), _after_last(text, "“”", lambda t: F.translate(t, "„", lone["„"]))).otherwise(text)
+    steps = [("«", "»", lambda t: F.translate(t, "«", lone["«"])), ("“", "”", rest), ("„", "“”", lambda t: F.translate(t, "„", lone["„"]))]
+
+    def step(opening: str, closing: str, hide: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda t: F.when(t.contains(opening), _after_last(t, closing, hide)).otherwise(t)
+
+    def hidden(t: Column) -> Column:
+        return reduce(lambda found, parts: bind(found, step(*parts)), steps, t)
+
+    return bind(text, lambda t: F.when(t.rlike(f"[{_OPENING}]"), hidden(t)).otherwise(t))
 
 
 def blank_quoted(text: Column) -> Column:
@@ -209,6 +215,7 @@ def unmarked(form: Column) -> Column:
     return squeeze(F.replace(form, F.lit(_MARK), F.lit("")))
 
 
+_MASKED_PHRASES = {"NEED", "RISKY_OBJECT", "WHO"}
 _SENTENCE_PHRASES = ["QUOTE", "NEED", "RISKY_OBJECT", "WARNING", "TELL_NOT", "WHO"]
 
 
@@ -223,7 +230,9 @@ def _quiet(sentences: Column) -> Column:
 def judge_staged(staged: DataFrame) -> DataFrame:
     """Adds _kind, _evidence, _asks_money. Sentences are judged only where some phrase list could match at all."""
     forms = [F.col(c) for c in ("_raw", "_norm", "_latin", "_masked", "_masked_latin")]
-    gates = {f"_can_{name}": may_occur(F.col("_norm"), F.col("_latin"), name) for name in _SENTENCE_PHRASES}
+    # Quotes, warnings and prohibitions are looked for in the text as it stands, the others in what blanking leaves of it.
+    gate = lambda name: (may_occur if name in _MASKED_PHRASES else either_passes_gate)(F.col("_norm"), F.col("_latin"), name)
+    gates = {f"_can_{name}": gate(name) for name in _SENTENCE_PHRASES}
     sentences = stage(staged, {"_sentences": sentence_forms(*forms), **gates})
     triggered = reduce(lambda a, b: a | b, [F.col(g) for g in gates])
     judge = lambda s: judge_sentences(s, lambda name: F.col(f"_can_{name}"))
