@@ -77,6 +77,18 @@ def test_cleaned_documents(spark):
     assert line_frequency.clean_documents(df).columns == df.columns
 
 
+@pytest.mark.parametrize("length", [25, 26, 400])
+def test_lines_of_any_length_are_frequent(spark, length):
+    prose = lambda i, n: " ".join(f"{chr(97 + i)}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n))
+    notice = " ".join(f"Notice{k}" for k in range(length))
+    rows = [(i, f"{prose(i, 600)}\n{notice} {i}", "h") for i in range(11)] + [(20, f"{notice} 7\n{prose(20, 60)}\n{notice} 8", "h"), (21, f"{prose(21, 70)}\n{notice} 9", "g")]
+    judged = {r.doc_id: (r.n_removed, r.kept) for r in line_frequency.judge(frame(spark, rows)).collect()}
+    depleted = 60 < 0.3 * (60 + 2 * (length + 1))
+    assert judged == {**{i: (length + 1, True) for i in range(11)}, 20: (2 * (length + 1), not depleted), 21: (0, True)}
+    cleaned = {r.doc_id: r.text for r in line_frequency.clean_documents(frame(spark, rows)).collect()}
+    assert cleaned == {**{i: prose(i, 600) for i in range(11)}, **({} if depleted else {20: prose(20, 60)}), 21: rows[-1][1]}
+
+
 def plain_exact(rows):
     groups = defaultdict(list)
     for n, (i, text, _) in enumerate(rows):
