@@ -89,6 +89,14 @@ def test_lines_of_any_length_are_frequent(spark, length):
     assert cleaned == {**{i: prose(i, 600) for i in range(11)}, **({} if depleted else {20: prose(20, 60)}), 21: rows[-1][1]}
 
 
+def test_a_large_host_has_the_same_limit(spark):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, " ".join(f"{name(i)}{name(k)}" for k in range(60)), "h") for i in range(1500)]
+    rows = [(i, t + ("\nAll rights reserved, 2024." if i < 11 else "\nIn ten documents." if i < 21 else ""), h) for i, t, h in rows]
+    judged = line_frequency.judge(frame(spark, rows)).filter("n_removed > 0").collect()
+    assert sorted((r.doc_id, r.n_removed) for r in judged) == [(i, 4) for i in range(11)]
+
+
 def plain_exact(rows):
     groups = defaultdict(list)
     for n, (i, text, _) in enumerate(rows):

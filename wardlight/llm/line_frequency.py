@@ -19,10 +19,11 @@ _WHITE = b" \t\n\x0b\x0c\r"
 _NUMBER = re.compile(r"[0-9]+")
 #: A text of fewer words, or with a larger share of words in repeated three-word windows, fails.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
-#: A line of a host is frequent if it stands in more documents than this, and than this share of the host's documents.
-MOST_DOCUMENTS, MOST_SHARE = 10, 0.01
-#: Only the SQL and its plain reading in the tests leave out lines of more words; the operator counts lines of any length.
-MOST_LINE_WORDS = 25
+#: A line of a host is frequent if it stands in more documents than this, however many the host has.
+MOST_DOCUMENTS = 10
+#: Only the SQL and its plain reading in the tests leave out lines of more words, and lines in a lesser share of a host's
+#: documents; the operator has neither limit.
+MOST_LINE_WORDS, MOST_SHARE = 25, 0.01
 #: A document is depleted if less than this share of its words is left.
 LEAST_LEFT = 0.3
 
@@ -91,30 +92,28 @@ def row_key(row: DataFrame, host: str = "host") -> Column:
                       F.coalesce(row["text"].cast("string"), F.lit("")))
 
 
-def frequent_lines(measured: DataFrame, most_documents: int = MOST_DOCUMENTS, most_share: float = MOST_SHARE) -> DataFrame:
-    """host, hash, n_documents of the lines above both limits.
+def frequent_lines(measured: DataFrame, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
+    """host, hash, n_documents of the lines above the limit.
 
     Documents are told apart by their text, so copies of one text are one document. (host, line, text) triples are made
     distinct before they are counted, so that a hot host or line is counted in parts.
     """
-    texts = measured.groupBy("host", "text_hash").agg(F.lit(1).alias("_")).groupBy("host").agg(F.count("_").alias("host_documents"))
     lines = measured.select("host", "text_hash", F.explode("lines.hash").alias("hash"))
-    counts = lines.groupBy("host", "hash", "text_hash").agg(F.lit(1).alias("_")).groupBy("host", "hash").agg(
+    return lines.groupBy("host", "hash", "text_hash").agg(F.lit(1).alias("_")).groupBy("host", "hash").agg(
         F.count("_").alias("n_documents")).filter(F.col("n_documents") > most_documents)
-    return counts.join(texts, "host").filter(F.col("n_documents") > most_share * F.col("host_documents")).drop("host_documents")
 
 
-def judge(docs: DataFrame, host: str = "source", most_documents: int = MOST_DOCUMENTS, most_share: float = MOST_SHARE) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", most_documents: int = MOST_DOCUMENTS) -> DataFrame:
     """One row per document: key, doc_id, the counts, base_failed, n_removed (words in frequent lines), removed_lines, kept.
 
     kept is false if the base rules fail, or if the lines that are left hold less than LEAST_LEFT of the words.
 
     Null or empty text: no words, so the base rules fail. A null host is the host ''. A null doc_id is a document like any
-    other. Repeated rows are judged each, and are one document in the counts. Lines at a limit stay. An empty table gives
+    other. Repeated rows are judged each, and are one document in the counts. Lines at the limit stay. An empty table gives
     no rows. Other columns are not read.
     """
     measured = staged(measure_documents(docs, host))
-    frequent = frequent_lines(measured, most_documents, most_share).select("host", "hash")
+    frequent = frequent_lines(measured, most_documents).select("host", "hash")
     lines = measured.select("key", "host", F.explode("lines").alias("line")).select("key", "host", "line.hash", "line.words")
     removed = split_join(lines, frequent, ["host", "hash"]).groupBy("key").agg(F.collect_set(F.struct("hash", "words")).alias("removed"))
     judged = measured.drop("lines").join(removed, "key", "left").withColumn(
