@@ -269,6 +269,19 @@ def test_rates_solve_the_least_squares_problem(spark):
     assert np.all(np.abs(slope[rate > 0]) < 1e-3) and np.all(slope[rate == 0] > -1e-3)
 
 
+def test_rates_are_the_best_to_the_tolerance(spark):
+    rng = np.random.default_rng(5)
+    for softness in (0.02, 0.4, 3.0):
+        p = rng.dirichlet([softness] * 3, 400)
+        n = rng.integers(1, 4000, 400)
+        df = spark.createDataFrame([(int(t), *map(float, x)) for t, x in zip(n, p, strict=True)], "n_tokens long, good double, poor double, toxic double")
+        rate = mixing.descend(p, mixing.fit_rates(df))[0]
+        share = np.array([mixing.WEIGHTS[d] for d in mixing.DOMAINS])
+        a = n[:, None] * p / n.sum()
+        slope = p @ (rate @ a - share / share[0] * a.sum(0)[0]) + mixing.NEARNESS * (rate - 1)
+        assert np.all(np.abs(slope[rate > 0]) < 2e-3 * mixing.NEARNESS) and np.all(slope[rate == 0] > -2e-3 * mixing.NEARNESS)
+
+
 def test_pipeline(spark, tmp_path):
     rows, labels = labelled(spark, 200)
     odd = [(i if i is None else i + 10_000, t, h) for i, t, h in ROWS]

@@ -22,8 +22,10 @@ WORD_FEATURES, FORM_FEATURES = 1 << 20, 16
 LEAST_ROWS, LEAST_DEVIATIONS = 5, 4.0
 #: Share of all tokens that each domain should have. The total is such that good documents are wanted as they are.
 WEIGHTS = {"good": 0.94, "poor": 0.05, "toxic": 0.01}
-#: Weight of the distance from a rate of 1, step and rounds of the descent, and the change of the residual that ends it.
-NEARNESS, STEP, ROUNDS, ENOUGH = 0.003, 0.99, 40, 2e-5
+#: Weight of the distance from a rate of 1, and the error of a rate (its slope by that weight) that ends the fit.
+NEARNESS, ENOUGH = 0.003, 1e-3
+#: Parts of a second-order step that a pass tries.
+STEPS = (1.0, 0.5, 0.2, 0.05, 0.01)
 #: A rate this near to a whole number is taken as that number when copies are drawn.
 SNAP = 0.1
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -149,65 +151,91 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return each_batch(rows, "doc_id long, row long, n_tokens long, " + ", ".join(f"{d} double" for d in DOMAINS), _predictor(model))
 
 
-def descend(posterior: np.ndarray, residuals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, the point ahead of them) of some documents, after steps down the slopes of the given residuals.
+def descend(posterior: np.ndarray, prices: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, which of them the last prices set) of some documents.
 
-    Projected gradient with momentum: each residual is that of the point ahead, from which the step is taken. A rate
-    follows from its document's posteriors and the residuals alone, and is never below zero.
+    A rate is 1 less the document's posteriors times the domains' prices, and never below zero. Those that are near to 1
+    at some prices are 1 at all later ones.
     """
-    rate = ahead = np.ones(len(posterior))
-    for k, e in enumerate(residuals):
-        before, rate = rate, np.maximum(0, ahead - STEP * (posterior @ e + NEARNESS * (ahead - 1)))
-        ahead = rate + k / (k + 3) * (rate - before)
-    return rate, ahead
+    rate, free = np.ones(len(posterior)), np.ones(len(posterior), bool)
+    for k, price in enumerate(prices):
+        if k:
+            free = free & (np.abs(rate - 1) > SNAP)
+        rate = np.where(free, np.maximum(0, 1 - posterior @ price), 1.0)
+    return rate, free
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(d).to_numpy() for d in DOMAINS], 1)
 
 
-def _totals(residuals: list[np.ndarray]):
+def _totals(prices: list[np.ndarray], tried: list[np.ndarray]):
+    k = len(DOMAINS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(DOMAINS))
+        sums = np.zeros((len(tried), 1 + k + k * k))
         for batch in batches:
-            p = _matrix(batch)
-            total += (p * (descend(p, residuals)[1] * batch.column("n_tokens").to_numpy())[:, None]).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=list(DOMAINS))
+            p, n = _matrix(batch), batch.column("n_tokens").to_numpy()
+            for i, price in enumerate(tried):
+                rate, free = descend(p, [*prices, price])
+                live = free & (rate > 0)
+                sums[i, 0] += n @ np.where(free, rate**2 / 2, -(p @ price))
+                sums[i, 1 : 1 + k] += (n * rate) @ p
+                sums[i, 1 + k :] += ((p[live] * n[live, None]).T @ p[live]).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums.ravel()], names=[f"s{i}" for i in range(sums.size)])
     return run
 
 
-def fit_rates(predicted: DataFrame, weights: dict[str, float] | None = None) -> list[np.ndarray]:
-    """The residuals of each round, from which any document's rate follows.
+def _summed(rows: DataFrame, step, *shape: int) -> np.ndarray:
+    """The sum of what `step` adds up in each task."""
+    names = [f"s{i}" for i in range(int(np.prod(shape)))]
+    row = rows.mapInArrow(step, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
+    return np.array([x or 0.0 for x in row]).reshape(shape)
+
+
+def fit_rates(predicted: DataFrame, weights: dict[str, float] | None = None, refit: bool = False) -> list[np.ndarray]:
+    """The prices of the domains, from which any document's rate follows.
 
     Minimised are the squared differences between expected domain totals and their targets, as shares of all tokens, and
-    NEARNESS times the documents' squared distances from a rate of 1, weighted by tokens. A round is one pass over the
-    table that adds up a number per domain in the tasks; only those come to the driver.
+    NEARNESS times the documents' squared distances from a rate of 1, weighted by tokens. Its dual has one price per
+    domain and is solved by second-order steps. A step is one pass over the table that adds up a few numbers per domain
+    in the tasks; only those come to the driver. It ends when no rate is further than ENOUGH from the best. With `refit`
+    the rates that came near to 1 are then 1, and all prices but that of good text are fitted again.
     """
-    share = np.array([{**WEIGHTS, **(weights or {})}[d] for d in DOMAINS])
-    schema = ", ".join(f"{d} double" for d in DOMAINS)
+    k, share = len(DOMAINS), np.array([{**WEIGHTS, **(weights or {})}[d] for d in DOMAINS])
 
-    def totals(residuals: list[np.ndarray]) -> np.ndarray:
-        row = predicted.select("n_tokens", *DOMAINS).mapInArrow(_totals(residuals), schema).agg(*[F.sum(d) for d in DOMAINS]).first()
-        return np.array([x or 0.0 for x in row])
+    def totals(prices: list[np.ndarray], tried: list[np.ndarray]) -> np.ndarray:
+        return _summed(predicted.select("n_tokens", *DOMAINS), _totals(prices, tried), len(tried), 1 + k + k * k)
 
-    now = totals([])
+    price = np.zeros(k)
+    now = totals([], [price])[0, 1 : 1 + k]
     whole = now.sum()
     if not whole:
         return []
-    target, residuals = share / share[0] * now[0] / whole, []
-    for _ in range(ROUNDS):
-        e = now / whole - target
-        if residuals and np.abs(e - residuals[-1]).max() < ENOUGH:
-            break
-        residuals.append(e)
-        now = totals(residuals)
-    return residuals
-
-
-def _rater(residuals: list[np.ndarray]):
+    target, prices = share / share[0] * now[0] / whole, []
+    for fixed in range(2 if refit else 1):
+        tried, best = [price], np.inf
+        while True:
+            sums = totals(prices, tried) / whole
+            values = sums[:, 0] + [target @ x + NEARNESS / 2 * (x @ x) for x in tried]
+            at = int(values.argmin())
+            if values[at] >= best:
+                break
+            price, best = tried[at], values[at]
+            slope = (NEARNESS * price + target - sums[at, 1 : 1 + k])[fixed:]
+            if np.abs(slope).max() <= NEARNESS * ENOUGH:
+                break
+            curve = sums[at, 1 + k :].reshape(k, k) + NEARNESS * np.eye(k)
+            step = np.append(np.zeros(fixed), np.linalg.solve(curve[fixed:, fixed:], slope))
+            tried = [price - part * step for part in STEPS]
+        prices.append(price)
+    return prices
+
+
+def _rater(prices: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(descend(_matrix(batch), residuals)[0])], names=[*batch.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(descend(_matrix(batch), prices)[0])], names=[*batch.schema.names, "rate"])
     return run
 
 
@@ -222,8 +250,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     gives no rows. Other columns are not read.
     """
     predicted = staged(predict(docs, train(docs, labels)))
-    residuals = fit_rates(predicted, weights)
-    rated = predicted.mapInArrow(_rater(residuals), predicted.schema.simpleString()[7:-1].replace(":", " ") + ", rate double")
+    prices = fit_rates(predicted, weights)
+    rated = predicted.mapInArrow(_rater(prices), predicted.schema.simpleString()[7:-1].replace(":", " ") + ", rate double")
     drawn = F.pmod(F.xxhash64("row", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
     whole = F.abs(F.col("rate") - F.round("rate")) <= SNAP
     return rated.withColumn("copies", F.when(whole, F.round("rate")).otherwise(F.floor(F.col("rate") + drawn)).cast("long"))
