@@ -282,6 +282,30 @@ def test_rates_are_the_best_to_the_tolerance(spark):
         assert np.all(np.abs(slope[rate > 0]) < 2e-3 * mixing.NEARNESS) and np.all(slope[rate == 0] > -2e-3 * mixing.NEARNESS)
 
 
+def test_a_long_toxic_text_does_not_hide_the_target(spark):
+    rows, labels = labelled(spark)
+    docs = frame(spark, [*rows, (5001, "nasty " * 30_000, "s")])
+    out = mixing.mix(docs, spark.createDataFrame([x[:3] for x in labels], "doc_id long, quality int, toxic int")).collect()
+    good = sum(r.n_tokens * r.good for r in out)
+    for d in mixing.DOMAINS:
+        want = mixing.WEIGHTS[d] / mixing.WEIGHTS["good"] * good
+        assert abs(sum(r.n_tokens * r.rate * r[d] for r in out) / want - 1) < 0.03, d
+
+
+def test_copies_have_the_target_totals(spark):
+    rows, labels = labelled(spark, 4000)
+    docs = frame(spark, rows, clash=False)
+    out = mixing.mix(docs, spark.createDataFrame([x[:3] for x in labels[:1000]], "doc_id long, quality int, toxic int")).collect()
+    good = sum(r.n_tokens * r.good for r in out)
+    for d in mixing.DOMAINS:
+        want = mixing.WEIGHTS[d] / mixing.WEIGHTS["good"] * good
+        assert abs(sum(r.n_tokens * r.rate * r[d] for r in out) / want - 1) < 0.02, d
+        assert abs(sum(r.n_tokens * r.copies * r[d] for r in out) / want - 1) < 0.1, d
+    kinds = {i: k for i, _, _, k in labels}
+    assert sum(r.copies for r in out if kinds[r.doc_id] == 2) > 0
+    assert all(r.copies == 1 for r in out if kinds[r.doc_id] == 0 and r.good > 0.95)
+
+
 def test_pipeline(spark, tmp_path):
     rows, labels = labelled(spark, 200)
     odd = [(i if i is None else i + 10_000, t, h) for i, t, h in ROWS]

@@ -23,11 +23,13 @@ LEAST_ROWS, LEAST_DEVIATIONS = 5, 4.0
 #: Share of all tokens that each domain should have. The total is such that good documents are wanted as they are.
 WEIGHTS = {"good": 0.94, "poor": 0.05, "toxic": 0.01}
 #: Weight of the distance from a rate of 1, and the error of a rate (its slope by that weight) that ends the fit.
-NEARNESS, ENOUGH = 0.003, 1e-3
+NEARNESS, ENOUGH = 1e-5, 1e-3
 #: Parts of a second-order step that a pass tries.
 STEPS = (1.0, 0.5, 0.2, 0.05, 0.01)
-#: A rate this near to a whole number is taken as that number when copies are drawn.
+#: A rate this near to 1 is 1, and the others are fitted again.
 SNAP = 0.1
+#: Starts of the draw that are compared.
+STARTS = 64
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 KEPT_WORDS = 1_000_000
@@ -239,22 +241,38 @@ def _rater(prices: list[np.ndarray]):
     return run
 
 
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = np.zeros((STARTS + 1, len(DOMAINS)))
+    for batch in batches:
+        p, n, rate, draw = _matrix(batch), *(batch.column(c).to_numpy() for c in ("n_tokens", "rate", "draw"))
+        sums[STARTS] += (n * rate) @ p
+        for i in range(STARTS):
+            sums[i] += (n * np.floor(rate + (draw + i / STARTS) % 1)) @ p
+    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums.ravel()], names=[f"s{i}" for i in range(sums.size)])
+
+
+def draw_start(rated: DataFrame) -> float:
+    """What is added to all draws: of STARTS values, that whose copies come nearest to the fitted totals."""
+    sums = _summed(rated.select("n_tokens", *DOMAINS, "rate", "draw"), _drawn, STARTS + 1, len(DOMAINS))
+    return int(np.abs(sums[:STARTS] / np.maximum(sums[STARTS], 1e-9) - 1).max(1).argmin()) / STARTS
+
+
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """One row per document: doc_id, row, n_tokens, the domain posteriors, its rate and the copies drawn at that rate.
 
-    A rate is drawn by a hash of the row: its whole part, and one more with the probability of the rest. Rates near to a
-    whole number are that number.
+    A rate is drawn by a hash of the row: its whole part, and one more with the probability of the rest. Rates near to 1
+    are 1, so that clean documents stay, and the others are fitted again.
 
     Null or empty text: no tokens, posteriors from the form of an empty text. A null doc_id is a document like any other.
     Without labelled rows all domains are equally likely. Repeated rows get the same rate and copies each. An empty table
     gives no rows. Other columns are not read.
     """
     predicted = staged(predict(docs, train(docs, labels)))
-    prices = fit_rates(predicted, weights)
+    prices = fit_rates(predicted, weights, refit=True)
     rated = predicted.mapInArrow(_rater(prices), predicted.schema.simpleString()[7:-1].replace(":", " ") + ", rate double")
-    drawn = F.pmod(F.xxhash64("row", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    whole = F.abs(F.col("rate") - F.round("rate")) <= SNAP
-    return rated.withColumn("copies", F.when(whole, F.round("rate")).otherwise(F.floor(F.col("rate") + drawn)).cast("long"))
+    rated = rated.withColumn("draw", F.pmod(F.xxhash64("row", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30))
+    drawn = (F.col("draw") + draw_start(rated)) % 1.0
+    return rated.withColumn("copies", F.floor(F.col("rate") + drawn).cast("long")).drop("draw")
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
