@@ -159,6 +159,19 @@ def test_main_text(spark):
     assert html_content.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_no_part_of_the_main_text_is_lost():
+    told = ["Some text, long enough to count. It goes on, and on, with marks. " * 6 + f"Part {i}." for i in range(12)]
+    long = "".join(f"<p>{t}</p>" for t in told)
+    menu, end = "<div id=menu><a href=/>Home</a></div>", "<footer>Us</footer>"
+    short = "A short one, of a few words. It ends here, soon, with marks."
+    pages = [(f"{menu}<div class=page><h1>The title</h1><p>A lead, of one line.</p><div class=text>{long}</div></div>{end}",
+              ["The title", "A lead, of one line.", *told]),
+             (f"{menu}<div class=text>{long}</div><div class=end><p>{short * 3}</p></div>{end}", [*told, short * 3]),
+             (f"{menu}<div><article>{long}</article><article><h2>Second</h2><p>{short}</p></article></div>{end}", [*told, "Second", short])]
+    for page, want in pages:
+        assert html_content.main_text(f"<html><body>{page}</body></html>") == "\n".join(want)
+
+
 def plain_chat(rows):
     out = {}
     for conv in {r[0] for r in rows}:

@@ -41,10 +41,10 @@ CLOSES = {"li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "dt": (fro
           "option": (frozenset(["option"]), frozenset(["select"]))}
 _PARAGRAPH = (frozenset(["p"]), frozenset(["td", "th", "table", "button", "object"]))
 
+#: Blocks beside the content root that belong to it.
+BESIDE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: Steps of the smoothing kernel to either side, in text nodes.
 SMOOTH = 2
-#: Share of the selected text that the content root must hold.
-ROOT_SHARE = 0.9
 
 
 class Element:
@@ -126,7 +126,8 @@ def select(nodes: list[tuple[Element, int, str]]) -> list[bool]:
     Per tag path: text length and punctuation per node. Both ratios, smoothed over neighbouring nodes by a Gaussian
     kernel, are multiplied; paths whose mean product reaches the threshold (the standard deviation of the nodes'
     products, or half the greatest mean where that is less) are content paths. The content root is the lowest container
-    with nearly all their text, or the article or main element around it; everything under it belongs to the text but
+    with all their text, or the article or main element around it, or else the highest element around it that adds only
+    headings and paragraphs, as a title or lead beside the text; everything under it belongs to the text but
     what is marked as no part of an article and, outside of article elements, blocks of nothing but links on other paths.
     """
     live = [i for i, (e, _, t) in enumerate(nodes) if not e.outside and t and not t.isspace()]
@@ -167,13 +168,15 @@ def select(nodes: list[tuple[Element, int, str]]) -> list[bool]:
             while e:
                 held[e] = held.get(e, 0) + len(text)
                 e = e.up
-    roots = [e for e, n in held.items() if (e.name in CONTAINERS or e.up is None) and n >= ROOT_SHARE * total]
+    roots = [e for e, n in held.items() if (e.name in CONTAINERS or e.up is None) and n == total]
     root = max(roots, key=lambda e: e.depth)
     e = root
     while e:
         if e.name in ("article", "main"):
             root = e
         e = e.up
+    if root.name not in ("article", "main"):
+        root = widened(root, [nodes[i][0] for i in live])
     keep = [False] * len(nodes)
     said = {block for e, block, text in nodes if not e.link and not text.isspace()}
     for i, (e, block, _) in enumerate(nodes):
@@ -185,6 +188,24 @@ def select(nodes: list[tuple[Element, int, str]]) -> list[bool]:
     return keep
 
 
+def widened(root: Element, elements: list[Element]) -> Element:
+    """The highest element around the root that adds only headings and paragraphs, which are not links."""
+    around, e = {root}, root
+    while e.up:
+        e = e.up
+        around.add(e)
+    bounds = set()
+    for element in elements:
+        if element.link or element.block.name not in BESIDE:
+            e = element
+            while e not in around:
+                e = e.up
+            bounds.add(e)
+    while root.up and root.up not in bounds:
+        root = root.up
+    return root
+
+
 def main_text(page: str) -> str:
     """The selected blocks in page order, white space in a block as one space, one line feed between blocks."""
     nodes = text_nodes(page)
