@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import chat, exact_dedup, html_content, line_frequency, mixing, pii, simhash, substring_dedup, tier_packing, token_packing
+from wardlight.llm import chat, exact_dedup, html_content, line_frequency, mixing, ngram_join, pii, simhash, substring_dedup, tier_packing, token_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -194,3 +194,31 @@ SELECT conv_id, count(*) AS n_turns,
            AS formatted_chars
 FROM marked GROUP BY conv_id
 """
+
+
+@query
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_ngram_join"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS k, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT k, md5_number(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM docs WHERE len(w) > 4)
+    UNION ALL SELECT k, md5_number(array_to_string(w, ' ') || chr(10)) FROM docs WHERE len(w) BETWEEN 1 AND 4
+), sizes AS (
+    SELECT k, count(*) AS n FROM shingles GROUP BY k
+), shared AS (
+    SELECT a.k AS u, b.k AS v, count(*) AS n FROM shingles a JOIN shingles b USING (s) GROUP BY u, v
+), links AS (
+    SELECT u, v FROM shared JOIN sizes a ON a.k = u JOIN sizes b ON b.k = v WHERE 100 * shared.n >= 80 * (a.n + b.n - shared.n)
+), reach AS (
+    WITH RECURSIVE r AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM r JOIN links l ON r.v = l.u) SELECT * FROM r
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(min(o.doc_id), d.doc_id), d.doc_id) AS component_id
+FROM docs d LEFT JOIN sizes USING (k) LEFT JOIN reach ON u = d.k LEFT JOIN docs o ON o.k = v
+GROUP BY d.k, d.doc_id, n
+"""
