@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import chat, exact_dedup, html_content, line_frequency, mixing, ngram_join, pii, simhash, substring_dedup, tier_packing, token_packing
+from wardlight.llm import chat, exact_dedup, html_content, line_frequency, mixing, ngram_join, pii, simhash, spelling, substring_dedup, tier_packing, token_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -222,3 +222,47 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(min(o.doc_id), d.d
 FROM docs d LEFT JOIN sizes USING (k) LEFT JOIN reach ON u = d.k LEFT JOIN docs o ON o.k = v
 GROUP BY d.k, d.doc_id, n
 """
+
+
+@query
+def op13_spelling_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_spelling_trees"] = r"""
+WITH table_of AS (
+    SELECT list(list_reduce(range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+    FROM (SELECT unnest(range(256)) AS i)
+), runs AS (
+    SELECT doc_id, run, count(*) AS n FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+    WHERE length(run) > 6 GROUP BY doc_id, run
+), coded AS (
+    SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs
+), hashed AS (
+    SELECT run, n, xor(list_reduce(range(len(x) // 2), lambda c, j: xor(c >> 8, t[1 + (xor(c, ('0x' || x[2 * j + 1:2 * j + 2])::BIGINT) & 255)]),
+                                   4294967295), 4294967295) AS h
+    FROM coded, table_of
+), words AS (
+    SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % 31 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed)
+    WHERE length(word) > 6 GROUP BY word HAVING sum(n) > 1
+), less AS (
+    SELECT word, n, i, word[1:i] || word[i + 2:] AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM words)
+), near AS (
+    SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.rest, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+    UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, (list({'o': other, 'n': n} ORDER BY n DESC, encode(other)))[1] AS b FROM near GROUP BY word
+), formed AS (
+    SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 10 * w.n THEN b.o END AS form, CASE WHEN b.n >= 10 * w.n THEN b.n END AS form_n
+    FROM words w LEFT JOIN best USING (word)
+), follow AS (
+    WITH RECURSIVE f AS (
+        SELECT word, word AS root, form AS next FROM formed UNION ALL SELECT f.word, f.next, g.form FROM f JOIN formed g ON g.word = f.next)
+    SELECT word, root FROM f WHERE next IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN follow USING (word)
+"""
