@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import chat, exact_dedup, html_content, line_frequency, mixing, ngram_join, pii, simhash, spelling, substring_dedup, tier_packing, token_packing
+from wardlight.llm import chat, exact_dedup, html_content, line_frequency, mixing, ngram_join, pii, simhash, spelling, substring_dedup, tier_packing, token_packing, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -196,6 +196,46 @@ FROM marked GROUP BY conv_id
 """
 
 
+@query
+def op11_anchor_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(rounds: int = vector_codes.ROUNDS, width: int = 8) -> str:
+    """Assignments and codebooks of all rounds, one after the other, for parts of eight components."""
+    away = " + ".join(f"(a.v[{i}] - c.v[{i}]) * (a.v[{i}] - c.v[{i}])" for i in range(1, width + 1))
+    floor = ", ".join(f"(sum(a.v[{i}])::BIGINT - ((sum(a.v[{i}])::BIGINT % count(*)) + count(*)) % count(*)) // count(*)" for i in range(1, width + 1))
+    steps = ""
+    for r in range(rounds + 1):
+        steps += f"""
+), near{r} AS MATERIALIZED (
+    SELECT a.k, a.p, min({{'d': {away}, 'e': c.e}}) AS best FROM parts a JOIN book{r} c USING (p) GROUP BY a.k, a.p"""
+        if r < rounds:
+            steps += f"""
+), book{r + 1} AS MATERIALIZED (
+    SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM book{r} c LEFT JOIN (
+        SELECT p, n.best.e AS e, [{floor}] AS v FROM parts a JOIN near{r} n USING (k, p) GROUP BY p, n.best.e) m USING (p, e)"""
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x)::BIGINT) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+    SELECT k, p, v[{width} * p + 1:{width} * p + {width}] AS v FROM kept, range({vector_codes.PARTS}) t(p)
+), book0 AS (
+    SELECT p, k - 1 AS e, v FROM parts WHERE k <= {vector_codes.ENTRIES}{steps}
+), coded AS (
+    SELECT k, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM near{rounds} GROUP BY k
+), digest AS (
+    SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (k), digest
+"""
+
+
+ORACLES["op11_anchor_codes"] = _codes_sql()
+
+
 @query
 def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
