@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +29,11 @@ BLOCK_DOCS, BLOCK_BYTES = 2000, 4_000_000
 #: A key in so many documents of one block is counted there and asked for once.
 BLOCK_HOT = 64
 #: Bits of a key, ranges of the keys for each shuffle partition, ranges of a suffix that are compared by their sizes.
-KEY_BITS, RANGES, SUFFIXES = 56, 8, 8
-#: Rows of a prefix key that are compared in one tile; larger groups are cut into several.
-TILE = 2000
-#: Stars go on while all pairs between different components are more than so many a prefix row.
-PAIRS_A_ROW = 4
+KEY_BITS, RANGES, SUFFIXES = 48, 8, 8
+#: Rows of a prefix key up to which all its pairs are looked at; those of larger ones are, after stars, in tiles of two sides.
+SMALL, TILE = 48, 1000
+#: Rows and columns of the blocks in which a tile counts what its documents share.
+BLOCK_ROWS, BLOCK_COLUMNS = 256, 4096
 INFO, HELD = -1, -2
 
 
@@ -65,12 +66,13 @@ def shingles(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes; sorted keys compress once their bytes stand by place."""
+    """Arrays as compressed bytes; sorted keys compress once their bytes stand by place."""
     head = np.array([len(a) for a in arrays], np.uint32).tobytes()
-    return head + b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"" for a in arrays)
+    return zstandard.compress(head + b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"" for a in arrays), 1)
 
 
 def unpack(data: bytes, *types: str) -> list[np.ndarray]:
+    data = zstandard.decompress(data)
     sizes, at, out = np.frombuffer(data, np.uint32, len(types)), 4 * len(types), []
     for n, kind in zip(sizes.tolist(), types, strict=True):
         width = np.dtype(kind).itemsize
@@ -148,8 +150,14 @@ def _groups(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[list[dict]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block, those of its entries whose key stands in two documents or more, with the number of documents."""
+    """For each block, those of its entries whose key stands in two documents or more, with the number of documents.
+
+    Rows that ask for nothing go on as they are.
+    """
     for rows in _groups(batches, "part"):
+        if rows[0]["part"] < 0:
+            yield from (_asked([(r["block"], r["part"], r["data"])]) for r in rows)
+            continue
         found = [unpack(r["data"], "u8", "u2", "u8", "u4") for r in rows]
         keys = np.concatenate([k for f in found for k in (f[0], f[2])])
         weight = np.concatenate([w for f in found for w in (np.ones(len(f[0])), f[3])])
@@ -222,21 +230,21 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = np.frombuffer(keys, np.int64)
             m = int(prefix_length(n)) - single
             sizes = np.bincount(keys & (SUFFIXES - 1), minlength=SUFFIXES) - np.cumsum(np.eye(SUFFIXES, dtype=np.int64)[keys[:m] & (SUFFIXES - 1)], axis=0)
-            suffix = np.ascontiguousarray(sizes.astype(np.uint32)).tobytes()
+            suffix = pa.ListArray.from_arrays(np.arange(0, SUFFIXES * m + 1, SUFFIXES, dtype=np.int32), pa.array(sizes.ravel().astype(np.int32)))
             same = lambda x: pa.array(np.full(m, x))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:m]), same(node), same(n), same(single), pa.array(single + np.arange(m)), pa.array(
-                [suffix[4 * SUFFIXES * i : 4 * SUFFIXES * (i + 1)] for i in range(m)], pa.binary())], names=["key", "node", "n", "single", "place", "suffix"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:m]), same(node), same(n), same(single), pa.array(single + np.arange(m)), suffix],
+                                             names=["key", "node", "n", "single", "place", "suffix"])
+
+
+PREFIX = "key long, node long, n long, single long, place long, suffix array<int>"
 
 
 class Rows:
     """Prefix rows as arrays."""
 
     def __init__(self, table: pa.Table):
-        self.key, self.node, self.n, self.single, self.place, self.label = (table.column(c).to_numpy() for c in (
-            "key", "node", "n", "single", "place", "label"))
-        self.suffix = np.frombuffer(b"".join(table.column("suffix").to_pylist()), np.uint32).reshape(-1, SUFFIXES).astype(np.int64)
-        if "tile" in table.column_names:
-            self.tile, self.side = table.column("tile").to_numpy(), table.column("side").to_numpy()
+        self.key, self.node, self.n, self.place, self.label = (table.column(c).to_numpy() for c in ("key", "node", "n", "place", "label"))
+        self.suffix = table.column("suffix").combine_chunks().flatten().to_numpy().reshape(-1, SUFFIXES).astype(np.int64)
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the rows a and b of one key, the pairs that the filters leave: other components, lengths, places, suffixes."""
@@ -244,78 +252,124 @@ class Rows:
         a, b = a[live], b[live]
         x, y, p, q = self.n[a], self.n[b], self.place[a], self.place[b]
         shared = least_overlap(x + y)
-        live = (5 * np.minimum(x, y) >= 4 * np.maximum(x, y)) & (np.minimum(p, q) + 1 + np.minimum(x - p, y - q) - 1 >= shared)
+        live = (5 * np.minimum(x, y) >= 4 * np.maximum(x, y)) & (np.minimum(p, q) + np.minimum(x - p, y - q) >= shared)
         a, b, most = a[live], b[live], (x + y - 2 * shared)[live]
         apart = np.abs(self.place[a] - self.place[b]) + np.abs(self.suffix[a] - self.suffix[b]).sum(1)
-        a, b = self.node[a[apart <= most]], self.node[b[apart <= most]]
-        return np.minimum(a, b), np.maximum(a, b)
+        return a[apart <= most], b[apart <= most]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
-def star_pairs(rows: Rows, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each row with two others of its key: the one with the fewest shingles of its own, and one by a hash of the node."""
-    out = []
-    group = np.flatnonzero(np.append(True, rows.key[1:] != rows.key[:-1]))
-    size = np.diff(np.append(group, len(rows.key)))
-    hashed = _mixed(rows.node ^ ((rows.key & 3) + 4 * turn))
-    for order in (np.lexsort((rows.node, rows.single / rows.n, rows.key)), np.lexsort((hashed, rows.key))):
-        out.append(rows.pairs(np.arange(len(rows.key)), np.repeat(order[group], size)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def all_pairs(rows: Rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All rows of a key and tile with each other; in a tile of two sides (numbers from zero) those of different sides."""
-    here = np.arange(len(rows.key))
+def small_pairs(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of one key; rows are sorted by key."""
+    us, vs, here = [], [], np.arange(len(rows.key))
     for step in range(1, len(here)):
         a = here[: len(here) - step]
-        a = a[(rows.key[a] == rows.key[a + step]) & (rows.tile[a] == rows.tile[a + step])]
+        a = a[rows.key[a] == rows.key[a + step]]
         if not len(a):
-            return
-        a = a[(rows.side[a] != rows.side[a + step]) | (rows.side[a] < 0)]
-        yield rows.pairs(a, a + step)
+            break
+        u, v = rows.pairs(a, a + step)
+        us.append(rows.node[u])
+        vs.append(rows.node[v])
+    return (np.concatenate(us), np.concatenate(vs)) if us else (here[:0], here[:0])
+
+
+def star_pairs(large: DataFrame) -> DataFrame:
+    """u, v: each row with two others of its key, if the filters leave them: that with the least share of shingles of its own,
+    and one by a hash of the node. A key's two are found by partial aggregation, so it may have any number of rows."""
+    other = F.struct("node", "n", "place", "suffix")
+    hub = F.struct((F.col("single") / F.col("n")).alias("by"), other.alias("row"))
+    drawn = F.struct(F.xxhash64("node", F.col("key") % 4).alias("by"), other.alias("row"))
+    pivots = large.groupBy("key").agg(F.array(F.min(hub).getField("row"), F.min(drawn).getField("row")).alias("pivots"))
+    both = split_join(large, pivots, ["key"]).select("*", F.explode("pivots").alias("o")).select(
+        "node", "n", "place", "suffix", F.col("o.node").alias("node_"), F.col("o.n").alias("n_"), F.col("o.place").alias("place_"), F.col("o.suffix").alias("suffix_"))
+    apart = F.abs(F.col("place") - F.col("place_")) + F.aggregate(F.zip_with("suffix", "suffix_", lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda t, x: t + x)
+    return both.withColumn("shared", F.floor((4 * (F.col("n") + F.col("n_")) + 8) / 9)).filter("node <> node_ AND 5 * least(n, n_) >= 4 * greatest(n, n_)").filter(
+        F.least("place", "place_") + F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_")) >= F.col("shared")).filter(
+        apart <= F.col("n") + F.col("n_") - 2 * F.col("shared")).select(F.least("node", "node_").alias("u"), F.greatest("node", "node_").alias("v"))
+
+
+def shared_keys(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """The number of keys that the sets a and b have in common, for all pairs, by products of blocks of their incidence."""
+    out, used = np.zeros(len(a), np.int64), np.unique(np.concatenate([a, b]))
+    keys = np.concatenate([sets[i] for i in used.tolist()])
+    row = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used.tolist()])
+    names, at, times = np.unique(keys, return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    live = times[at] > 1
+    row, at = row[live], column[at[live]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    a, b = np.searchsorted(used, a), np.searchsorted(used, b)
+    block = a // BLOCK_ROWS
+    for low in range(0, int(column[-1]) + 1 if len(names) else 0, BLOCK_COLUMNS):
+        i, j = np.searchsorted(at, [low, low + BLOCK_COLUMNS])
+        dense = np.zeros((len(used), BLOCK_COLUMNS), np.float32)
+        dense[row[i:j], at[i:j] - low] = 1
+        for k in np.unique(block).tolist():
+            mine = np.flatnonzero(block == k)
+            product = dense[k * BLOCK_ROWS : (k + 1) * BLOCK_ROWS] @ dense.T
+            out[mine] += product[a[mine] - k * BLOCK_ROWS, b[mine]].astype(np.int64)
+    return out
+
+
+def tile_links(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the rows of one key and tile; in a tile of two sides (numbers from zero) those of different sides.
+
+    Pairs that have a key before this one in both prefixes are left to that key. What the others share is counted here.
+    """
+    rows, side = Rows(table), table.column("side").to_numpy()
+    sets = [np.frombuffer(k, np.int64) for k in table.column("keys").to_pylist()]
+    before = [s[: p - x] for s, p, x in zip(sets, rows.place.tolist(), table.column("single").to_pylist(), strict=True)]
+    us, vs, here = [], [], np.arange(len(sets))
+    for i in range(0, len(sets), BLOCK_ROWS):
+        a, b = (x.ravel() for x in np.meshgrid(here[i : i + BLOCK_ROWS], here, indexing="ij"))
+        live = (a < b) & ((side[a] != side[b]) | (side[a] < 0))
+        u, v = rows.pairs(a[live], b[live])
+        us.append(u)
+        vs.append(v)
+    u, v = np.concatenate(us), np.concatenate(vs)
+    for held in (before, sets):
+        if len(u):
+            n = shared_keys(u, v, held)
+            live = n == 0 if held is before else 100 * n >= 80 * (rows.n[u] + rows.n[v] - n)
+            u, v = u[live], v[live]
+    return rows.node[u], rows.node[v]
 
 
 def _pair_rows(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    pair = np.unique(np.stack([u, v], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
+    pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.Table]:
-    """Some whole groups of sorted rows at a time."""
+def _chunks(batches: Iterator[pa.RecordBatch], least: int, *names: str) -> Iterator[pa.Table]:
+    """Some whole groups of sorted rows at a time, of so many rows at least."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        group = [batch.column(c) for c in names]
         changed = np.zeros(max(0, batch.num_rows - 1), bool)
-        for c in group:
-            changed |= np.diff(c.to_numpy()) != 0
-        if rows >= 50_000 and changed.any():
-            cut = rows - batch.num_rows + int(np.flatnonzero(changed)[-1]) + 1
-            table = pa.Table.from_batches(held)
+        for c in names:
+            changed |= np.diff(batch.column(c).to_numpy()) != 0
+        edges = np.flatnonzero(changed) + 1 + rows - batch.num_rows
+        if rows >= least and len(edges):
+            table, cut = pa.Table.from_batches(held), int(edges[-1])
             yield table.slice(0, cut)
             held, rows = table.slice(cut).combine_chunks().to_batches(), rows - cut
     if rows:
         yield pa.Table.from_batches(held)
 
 
-def _stars(turn: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _chunks(batches, "key"):
-            yield _pair_rows(*star_pairs(Rows(table), turn))
-    return run
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in _chunks(batches, 50_000, "key"):
+        yield _pair_rows(*small_pairs(Rows(table)))
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in _chunks(batches, "key", "tile"):
-        for u, v in all_pairs(Rows(table)):
-            if len(u):
-                yield _pair_rows(u, v)
+    for table in _chunks(batches, 1, "key", "tile"):
+        key, tile = table.column("key").to_numpy(), table.column("tile").to_numpy()
+        edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(tile) != 0)) + 1
+        for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
+            yield _pair_rows(*tile_links(table.slice(i, j - i)))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,17 +387,24 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return staged(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_verify, "u long, v long, good boolean"))
 
 
+def replayable(df: DataFrame) -> DataFrame:
+    """`df` if it only scans files, whose rows come in the same order when a lost task runs again, or a staged copy."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return df if "Exchange" not in plan and "Scan" in plan else staged(df)
+
+
 def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, doc_id, n, digest of every document; node, n, single, keys of one document per set that can have a partner)."""
     spark = docs.sparkSession
     parts = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = staged(documents(docs).mapInArrow(_ask(parts), ASKED))
-    info = staged(asked.filter(F.col("part") == INFO).mapInArrow(_read_info, "node long, doc_id long, n long, digest binary"))
+    asked = replayable(documents(docs)).mapInArrow(_ask(parts), ASKED)
+    to = F.when(F.col("part") < 0, F.hash("block")).otherwise(F.col("part"))
+    sent = staged(asked.repartition(to).sortWithinPartitions("part").mapInArrow(_count, ASKED))
+    info = staged(sent.filter(F.col("part") == INFO).mapInArrow(_read_info, "node long, doc_id long, n long, digest binary"))
     first = info.filter("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.first("n").alias("n"))
     chosen = first.groupBy(F.shiftright("node", 16).alias("block")).agg(F.collect_list(F.struct("node", "n")).alias("chosen"))
-    answers = asked.filter("part >= 0").repartition("part").sortWithinPartitions("part").mapInArrow(_count, ASKED)
     none = F.lit(None).cast("array<struct<node:long,n:long>>").alias("chosen")
-    sent = answers.union(asked.filter(F.col("part") == HELD)).select("*", none).unionByName(chosen.select(
+    sent = sent.filter(F.col("part") != INFO).select("*", none).unionByName(chosen.select(
         "block", F.lit(0).alias("part"), F.lit(None).cast("binary").alias("data"), "chosen"))
     return info, staged(sent.repartition("block").sortWithinPartitions("block").mapInArrow(_gather, "node long, n long, single long, keys binary"))
 
@@ -351,46 +412,29 @@ def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def links(held: DataFrame) -> DataFrame:
     """(u, v): links whose components are those of all links between the sets of `held`.
 
-    Rounds of stars first: rows of a prefix key are compared with few of it, so that near copies of one text, however many,
-    fall into one component without all their pairs. Then all pairs of a key that are still in different components are
-    compared, large groups in tiles.
+    All pairs of a prefix key with few rows that pass the filters are verified. In a key with many, each row is compared with
+    two of them first, so that near copies of one text, however many, fall into one component without all their pairs; then
+    pairs that are still in different components are looked at in tiles of bounded size, which hold the sets themselves.
     """
-    rows = staged(held.mapInArrow(_prefixes, "key long, node long, n long, single long, place long, suffix binary"))
-    kinds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    rows = held.mapInArrow(_prefixes, PREFIX)
+    rows = staged(rows)
+    kinds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     rows = staged(split_join(rows, kinds, ["key"]))
-    label, found, failed, before = rows.withColumn("label", F.col("node")), None, None, None
-    turn = 0
-    while True:
-        per = label.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
-            F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-        per = staged(per)
-        size, crossing = per.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.lit(0))).first()
-        open_ = split_join(label, per.select("key", "m"), ["key"])
-        last = crossing <= PAIRS_A_ROW * size or crossing == before
-        before = crossing
-        if last:
-            n = F.greatest(F.lit(1), F.ceil(F.col("m") / TILE)).cast("int")
-            own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-            tiled = open_.withColumn("tiles", n).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-            tile = F.least("own", "other").cast("long") * F.col("tiles") + F.greatest("own", "other")
-            side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
-            tiled = tiled.select("*", tile.alias("tile"), side.alias("side"))
-            pairs = tiled.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_tiles, "u long, v long")
-        else:
-            pairs = open_.repartition("key").sortWithinPartitions("key").mapInArrow(_stars(turn), "u long, v long")
-        pairs = pairs.distinct()
-        if failed is not None:
-            pairs = pairs.join(failed, ["u", "v"], "left_anti")
-        done = verified(pairs, held)
-        good, bad = done.filter("good").select("u", "v"), done.filter("NOT good").select("u", "v")
-        found = good if found is None else found.union(good)
-        if last:
-            return found
-        failed = bad if failed is None else failed.union(bad)
-        roots = staged(connected(found))
-        label = split_join(rows, roots.withColumnRenamed("node", "_node").withColumnRenamed("root", "label").select(F.col("_node").alias("node"), "label"), ["node"], "left")
-        label = staged(label.withColumn("label", F.coalesce("label", "node")))
-        turn += 1
+    small, large = rows.filter(F.col("m") <= SMALL).withColumn("label", F.col("node")), rows.filter(F.col("m") > SMALL)
+    pairs = small.repartition("key").sortWithinPartitions("key").mapInArrow(_small, "u long, v long")
+    found = verified(pairs.union(star_pairs(large)).distinct(), held).filter("good").select("u", "v")
+    if not large.head(1):
+        return found
+    roots = connected(found).select("node", F.col("root").alias("label"))
+    labelled = staged(split_join(large, roots, ["node"], "left").withColumn("label", F.coalesce("label", "node")))
+    open_ = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    tiles = F.greatest(F.lit(1), F.ceil(F.col("m") / TILE)).cast("int")
+    dealt = split_join(labelled, open_, ["key"]).withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tile = F.least("own", "other").cast("long") * F.col("tiles") + F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
+    dealt = dealt.select("key", "node", "n", "single", "place", "suffix", "label", tile.alias("tile"), side.alias("side")).join(held.select("node", "keys"), "node")
+    return found.union(dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_tiles, "u long, v long"))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -399,8 +443,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     A document's set holds its distinct shingles of five lower-case words (A-Z only; with fewer words the whole sequence).
     Documents link at a Jaccard similarity of 4/5; component_id is the least doc_id that links reach, itself included.
 
-    Shingles are compared by 56 bits of their hashes, whole sets by 128. Each pair of different sets is verified at most
-    once, and pairs that links connect already are not verified. Equal sets are one node of the join.
+    Shingles are compared by 48 bits of their hashes, whole sets by 128. Each pair of different sets is verified at most
+    once, and pairs of a large group that links connect already are not. Equal sets are one node of the join.
 
     Null or empty texts, and texts of white space: an empty set, linked with nothing; component_id is the doc_id. Null ids
     count only where a component has no other. Repeated rows are documents with equal sets. An empty table gives no rows.

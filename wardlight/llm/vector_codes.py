@@ -259,7 +259,7 @@ def compress(vectors: DataFrame, entries: int = ENTRIES, rounds: int = ROUNDS) -
     first = rows.orderBy(F.col("vec_id").isNull(), "vec_id", "v").select("v").limit(entries).collect()
     width = rows.agg(F.max(F.size("v"))).first()[0] or 0
     width = max(PARTS, -(-width // PARTS) * PARTS)
-    books = whole([v for (v,) in first], width).reshape(len(first), PARTS, -1).transpose(1, 0, 2)
+    books = whole([v for (v,) in first], width).reshape(len(first), PARTS, width // PARTS).transpose(1, 0, 2)
     chunks = staged(rows.mapInArrow(_chunks(width), "vec_ids array<long>, labels array<string>, trees array<binary>"))
     if first:
         books = fit_codebooks(chunks, np.ascontiguousarray(books), rounds)
