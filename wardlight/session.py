@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="wardlight-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -41,5 +41,16 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read again: costly columns are computed once, and lineage starts there."""
     path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._staged_at = path
+    return held
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, "_staged_at", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
