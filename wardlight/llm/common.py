@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.session import drop_staged, shared_folder, staged  # noqa: F401
+
 #: The six ASCII white-space characters, as in the class [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 BLANK = r"[\x20\x09-\x0D]"
-#: Rows of an Arrow batch. Texts may be long, so a batch is kept well under the default of 10,000 rows.
-BATCH_ROWS = 1000
+#: Rows and bytes of what is worked on at once; texts may be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
 
 
 def documents(df: DataFrame, *columns: str) -> DataFrame:
@@ -23,28 +23,31 @@ def documents(df: DataFrame, *columns: str) -> DataFrame:
                      *columns)
 
 
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of bounded rows and, by their mean row, bounded bytes."""
+    for batch in batches:
+        step = max(1, min(BATCH_ROWS, BATCH_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for start in range(0, max(1, batch.num_rows), step):
+            yield batch.slice(start, step)
+
+
 def each_batch(df: DataFrame, schema: str, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """`step` over the Arrow batches of every partition."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(step, schema)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only a local session that names none gets a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: computed once, and its plan starts there."""
-    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`step` over the Arrow batches of every partition, in bounded pieces."""
+    return df.mapInArrow(lambda batches: step(bounded(batches)), schema)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever the case of its own."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """A staged copy of the rows with a number each, and the name of that column: rows are told apart, equal ones too."""
+    name = fresh_name(docs, "row_number")
+    return staged(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def without_white(text: Column) -> Column:

@@ -261,9 +261,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Null text: no words. Texts of fewer words than a window stay. Repeated rows have the same places, none of which is
     earlier than the other. An empty table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
     rows = documents(docs).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    found = each_batch(rows, "shard long, row long, at long", _occurrences)
+    found = staged(each_batch(rows, "shard long, row long, at long", _occurrences))
     counts = staged(found.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))   # a join of two scans can be split
     repeated = found.join(counts, "shard").select("row", F.struct("shard", "at", (F.col("n") > HOT).alias("hot")).alias("item"))
     listed = staged(repeated.groupBy("row").agg(F.collect_set("item").alias("listed")))
@@ -271,7 +270,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     brought = staged(brought.withColumn("order", F.coalesce("doc_id", F.lit((1 << 63) - 1))))
     shards = brought.filter("NOT hot").select("shard", "order", "at", "passage", "row", "words")
     streamed = shards.repartition("shard").sortWithinPartitions("shard", "order", "at")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     spans = streamed.mapInArrow(_stream_shards, "row long, first long, bits long")
     hot = brought.filter("hot").select("passage", "row", F.struct("order", "at").alias("place"))
     least = hot.groupBy("passage").agg(F.min("place").alias("least"))
