@@ -25,13 +25,12 @@ def sha(text):
 
 
 def plain_lines(rows):
-    n_of, lines_of = {}, defaultdict(set)
+    lines_of = defaultdict(set)
     for _, text, host in {(t or "", t or "", h or "") for _, t, h in rows}:
-        n_of[host] = n_of.get(host, 0) + 1
         for line in text.split("\n"):
-            if 0 < len(words(line)) <= line_frequency.MOST_LINE_WORDS:
+            if words(line):
                 lines_of[host, re.sub("[0-9]+", "0", " ".join(words(line)).lower())].add(text)
-    return {k for k, texts in lines_of.items() if len(texts) > line_frequency.MOST_DOCUMENTS and len(texts) > line_frequency.MOST_SHARE * n_of[k[0]]}
+    return {k for k, texts in lines_of.items() if len(texts) > line_frequency.MOST_DOCUMENTS}
 
 
 def plain_quality(rows):
@@ -47,7 +46,7 @@ def plain_quality(rows):
             if n:
                 again += line in seen
                 seen.add(line)
-            if 0 < n <= line_frequency.MOST_LINE_WORDS and (host, re.sub("[0-9]+", "0", " ".join(words(line)).lower())) in frequent:
+            if n and (host, re.sub("[0-9]+", "0", " ".join(words(line)).lower())) in frequent:
                 gone += n
         failed = len(w) < 50 or 100 * len(repeated) > 50 * len(w)
         out.append((i, len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), again, len(repeated), failed,

@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import each_batch, split_join, staged
+from wardlight.llm.common import each_batch, fresh_name, numbered, split_join, staged
 
 SYMBOLS = b"#*$%&|<>"
 _WHITE = b" \t\n\x0b\x0c\r"
@@ -21,9 +21,6 @@ _NUMBER = re.compile(r"[0-9]+")
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: A line of a host is frequent if it stands in more documents than this, however many the host has.
 MOST_DOCUMENTS = 10
-#: Only the SQL and its plain reading in the tests leave out lines of more words, and lines in a lesser share of a host's
-#: documents; the operator has neither limit.
-MOST_LINE_WORDS, MOST_SHARE = 25, 0.01
 #: A document is depleted if less than this share of its words is left.
 LEAST_LEFT = 0.3
 
@@ -77,19 +74,15 @@ def _measurer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           long(repeated), long(text_hash), pa.array(lines, line)], names=names)
 
 
-def measure_documents(docs: DataFrame, host: str = "source") -> DataFrame:
+def measure_documents(docs: DataFrame, host: str = "source", number: str | None = None) -> DataFrame:
     """key, doc_id, host, the counts of each whole text, a hash of the text, hash and words of its normalised lines.
 
-    The key is a hash of the row: rows with the same key are the same.
+    The key is the row's number, if it has one, or else a hash of the row: rows with the same key are then the same.
     """
     row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"),
-                      F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return each_batch(row.select(row_key(row).alias("key"), "*"), f"key long, doc_id long, host string, {MEASURES}", _measurer)
-
-
-def row_key(row: DataFrame, host: str = "host") -> Column:
-    return F.xxhash64(row["doc_id"].cast("long"), F.coalesce(row[host].cast("string"), F.lit("")),
-                      F.coalesce(row["text"].cast("string"), F.lit("")))
+                      F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *([F.col(number).alias("number")] if number else []))
+    key = F.col("number") if number else F.xxhash64("doc_id", "host", "text")
+    return each_batch(row.select(key.alias("key"), "doc_id", "host", "text"), f"key long, doc_id long, host string, {MEASURES}", _measurer)
 
 
 def frequent_lines(measured: DataFrame, most_documents: int = MOST_DOCUMENTS) -> DataFrame:
@@ -103,7 +96,7 @@ def frequent_lines(measured: DataFrame, most_documents: int = MOST_DOCUMENTS) ->
         F.count("_").alias("n_documents")).filter(F.col("n_documents") > most_documents)
 
 
-def judge(docs: DataFrame, host: str = "source", most_documents: int = MOST_DOCUMENTS) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", most_documents: int = MOST_DOCUMENTS, number: str | None = None) -> DataFrame:
     """One row per document: key, doc_id, the counts, base_failed, n_removed (words in frequent lines), removed_lines, kept.
 
     kept is false if the base rules fail, or if the lines that are left hold less than LEAST_LEFT of the words.
@@ -112,7 +105,7 @@ def judge(docs: DataFrame, host: str = "source", most_documents: int = MOST_DOCU
     other. Repeated rows are judged each, and are one document in the counts. Lines at the limit stay. An empty table gives
     no rows. Other columns are not read.
     """
-    measured = staged(measure_documents(docs, host))
+    measured = staged(measure_documents(docs, host, number))
     frequent = frequent_lines(measured, most_documents).select("host", "hash")
     lines = measured.select("key", "host", F.explode("lines").alias("line")).select("key", "host", "line.hash", "line.words")
     removed = split_join(lines, frequent, ["host", "hash"]).groupBy("key").agg(F.collect_set(F.struct("hash", "words")).alias("removed"))
@@ -125,23 +118,32 @@ def judge(docs: DataFrame, host: str = "source", most_documents: int = MOST_DOCU
                          F.coalesce("removed.hash", F.array().cast("array<long>")).alias("removed_lines"))
 
 
-def _cleaner(column: str):
+def _cleaner(text: str, removed: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(column).to_pylist()
-            for i, gone in enumerate(batch.column("_removed").to_pylist()):
+            texts = batch.column(text).to_pylist()
+            for i, gone in enumerate(batch.column(removed).to_pylist()):
                 if gone:
                     gone = set(gone)
                     texts[i] = "\n".join(line for line in texts[i].split("\n") if not (
                         (raw := line.encode().split()) and xxhash.xxh64_intdigest(normal_line(b" ".join(raw))) - (1 << 63) in gone))
-            held = [pa.array(texts, pa.string()) if name == column else batch.column(name) for name in batch.schema.names if name != "_removed"]
-            yield pa.RecordBatch.from_arrays(held, names=[n for n in batch.schema.names if n != "_removed"])
+            names = [name for name in batch.schema.names if name != removed]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if name == text else batch.column(name) for name in names], names=names)
     return run
 
 
 def clean_documents(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The documents that are kept, without their frequent lines; all their columns, n_chars (if there) set anew."""
-    verdict = judge(docs, host).filter("kept").select(F.col("key").alias("_key"), F.col("removed_lines").alias("_removed")).dropDuplicates(["_key"])
-    held = docs.withColumn("_key", row_key(docs, host)).join(verdict, "_key").drop("_key")
-    out = each_batch(held.select(*docs.columns, "_removed"), docs.schema, _cleaner("text"))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    """The documents that are kept, without their frequent lines; all their columns, n_chars (if there) set anew.
+
+    Rows are told apart by number: repeated rows are judged and kept each. Null and empty texts have no words and go. A null
+    host is the host ''. Lines at the limit stay; a text keeps its other lines as they are, of any length. An empty table
+    gives no rows. Columns of any name are kept. Only texts that lose lines pass through Python.
+    """
+    rows, number = numbered(docs)
+    removed = fresh_name(rows, "removed_lines")
+    verdict = judge(rows, host, number=number).filter("kept").select(F.col("key").alias(number), F.col("removed_lines").alias(removed))
+    held = rows.join(verdict, number).drop(number)
+    kept = each_batch(held.filter(F.size(removed) > 0), docs.schema, _cleaner("text", removed))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return held.filter(F.size(removed) == 0).select(*docs.columns).union(kept.select(*docs.columns))

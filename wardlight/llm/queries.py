@@ -63,18 +63,15 @@ WITH docs AS (
     FROM (SELECT k, host, text, unnest(string_split(text, chr(10))) AS line FROM docs)
 ), doubled AS (
     SELECT k, (count(*) - count(DISTINCT line))::BIGINT AS n FROM lines WHERE n > 0 GROUP BY k
-), short AS (
+), normal AS (
     SELECT k, host, text, n,
            regexp_replace(lower(trim(regexp_replace(line, '[ 	-
 ]+', ' ', 'g'))), '[0-9]+', '0', 'g') AS line
-    FROM lines WHERE n BETWEEN 1 AND {line_frequency.MOST_LINE_WORDS}
-), hosts AS (
-    SELECT host, count(DISTINCT text) AS texts FROM docs GROUP BY host
+    FROM lines WHERE n > 0
 ), frequent AS (
-    SELECT host, line FROM short JOIN hosts USING (host) GROUP BY host, line, texts
-    HAVING count(DISTINCT text) > {line_frequency.MOST_DOCUMENTS} AND count(DISTINCT text) > {line_frequency.MOST_SHARE} * texts
+    SELECT host, line FROM normal GROUP BY host, line HAVING count(DISTINCT text) > {line_frequency.MOST_DOCUMENTS}
 ), removed AS (
-    SELECT k, sum(n) AS n FROM short JOIN frequent USING (host, line) GROUP BY k
+    SELECT k, sum(n) AS n FROM normal JOIN frequent USING (host, line) GROUP BY k
 ), measured AS (
     SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[ 	-
 ]', '', 'g')) AS word_chars,
