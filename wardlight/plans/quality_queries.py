@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from wardlight import values as V
-from wardlight.operators import curation, evaluation, models, similarity
+from wardlight.operators import curation, evaluation, models, similarity, textmodel
 from wardlight.plans import datasets as D
 from wardlight.plans import sql as S
 from wardlight.plans.catalog import query
+from wardlight.session import shared_folder
+from wardlight.streaming import jobs
 
 # labelled rows: toxic is the positive class, the score is a function of the id
 _P = "(doc_id * 37 % 101) / 100.0"
@@ -182,11 +187,16 @@ def pair_stats(spark, d):
 
 
 # ---------------------------------------------------------------- features and models
-_WORDS = f"""w AS (SELECT doc_id, unnest(string_split(t, ' ')) AS word FROM (SELECT doc_id, {S.latin(S.norm('text'))} AS t FROM documents)),
-pw AS (SELECT doc_id, word, count(*) AS m FROM w WHERE word <> '' GROUP BY ALL),
-g AS (SELECT doc_id, m, unnest(flatten(list_transform([2, 3, 4, 5], lambda n: list_transform(range(1, length(word) + 2 - n + 2), lambda i: substr(' ' || word || ' ', i, n))))) AS gram FROM pw),
-tc AS (SELECT doc_id, gram, sum(m)::BIGINT AS n FROM g GROUP BY ALL),
-df AS (SELECT gram, count(*) AS df FROM tc GROUP BY gram)"""
+def _words(docs: str = "documents", p: str = "") -> str:
+    """Grams of texts as tables w, pw, g, tc (doc_id, gram, n) and df (gram, df), with a prefix before their names."""
+    return f"""{p}w AS (SELECT doc_id, unnest(string_split(t, ' ')) AS word FROM (SELECT doc_id, {S.latin(S.norm('text'))} AS t FROM {docs})),
+{p}pw AS (SELECT doc_id, word, count(*) AS m FROM {p}w WHERE word <> '' GROUP BY ALL),
+{p}g AS (SELECT doc_id, m, unnest(flatten(list_transform([2, 3, 4, 5], lambda n: list_transform(range(1, length(word) + 2 - n + 2), lambda i: substr(' ' || word || ' ', i, n))))) AS gram FROM {p}pw),
+{p}tc AS (SELECT doc_id, gram, sum(m)::BIGINT AS n FROM {p}g GROUP BY ALL),
+{p}df AS (SELECT gram, count(*) AS df FROM {p}tc GROUP BY gram)"""
+
+
+_WORDS = _words()
 
 
 @query("term_frequency", S.select(_WORDS, "SELECT gram, df, round(ln((1 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1, 6) AS idf FROM df"))
@@ -235,3 +245,49 @@ def train_char_lr(spark, d):
     vectors = models.ngram_vectors(models.char_wb_tfidf(docs, "doc_id"), "doc_id").join(docs.select("doc_id", F.col("toxic").alias("label")), "doc_id")
     scored = models.batch_score(vectors, models.fit_logreg_balanced(vectors))
     return evaluation.prf(scored, F.col("label") == 1, F.col("proba") >= 0.5)
+
+
+# ---------------------------------------------------------------- a saved character model
+def _labelled_texts(spark, d):
+    return D.table(spark, d, "documents").select("doc_id", "text").join(
+        D.table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+
+
+def _saved_model(spark, d, regression: bool = True) -> str:
+    """A folder with a model that was fitted on the labelled documents of even id."""
+    folder = f"{shared_folder(spark)}/char-model-{uuid.uuid4().hex}"
+    rows = _labelled_texts(spark, d).filter("doc_id % 2 = 0")
+    fitted = textmodel.fit_character_model(rows, "doc_id") if regression else Pipeline(stages=[textmodel.CharTfidf(keyCol="doc_id")]).fit(rows)
+    textmodel.save_version(fitted, folder, spark)
+    return folder
+
+
+_PART = "(SELECT doc_id, text FROM documents JOIN labels USING (doc_id) WHERE doc_id % 2 = 0)"
+_FITTED = [_words(_PART), f"fit AS (SELECT gram, df, ln((1 + (SELECT count(*) FROM {_PART})) / (1.0 + df)) + 1 AS idf FROM df)"]
+
+
+@query("char_model_idf", S.select(_FITTED, "SELECT gram, df, round(idf, 6) AS idf FROM fit"))
+def char_model_idf(spark, d):
+    return textmodel.load_version(spark, _saved_model(spark, d, False)).stages[0].idf.withColumn("idf", F.round("idf", 6))
+
+
+@query("char_model_weights", S.select([*_FITTED, _words(p="all_"), "x AS (SELECT doc_id, (1 + ln(n)) * idf AS w FROM all_tc JOIN fit USING (gram))"],
+       "SELECT doc_id, count(*) AS grams, round(max(w) / sqrt(sum(w * w)), 5) AS top, round(sum(w) / sqrt(sum(w * w)), 3) AS total FROM x GROUP BY doc_id"))
+def char_model_weights(spark, d):
+    """Weights of all documents by the document frequencies of the part that the model was fitted on."""
+    weights = textmodel.load_version(spark, _saved_model(spark, d, False)).stages[0].weights(D.table(spark, d, "documents"))
+    return weights.groupBy("doc_id").agg(F.count("*").alias("grams"), F.round(F.max("weight"), 5).alias("top"), F.round(F.sum("weight"), 3).alias("total"))
+
+
+@query("stream_char_model", "SELECT count(*) AS scored, 0::BIGINT AS different FROM documents")
+def stream_char_model(spark, d):
+    """All documents scored by a loaded model in batch and as a stream: how many, and how many with different scores."""
+    folder, path = _saved_model(spark, d), f"{shared_folder(spark)}/char-stream-{uuid.uuid4().hex}"
+    docs = D.table(spark, d, "documents").select("doc_id", "text")
+    source = spark.readStream.schema(D.table(spark, d, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(d).select("doc_id", "text")
+    jobs.model_score_stream(source, folder, lambda batch, i: batch.drop("text").write.mode("overwrite").parquet(f"{path}/out/batch={i}"), f"{path}/checkpoint").awaitTermination()
+    streamed = spark.read.parquet(f"{path}/out").select("doc_id", F.col("char_proba").alias("streamed"))
+    batch = textmodel.char_proba(docs, textmodel.load_version(spark, folder))
+    both = batch.join(streamed, "doc_id", "full")
+    same = F.abs(F.col("char_proba") - F.col("streamed")) < 1e-9
+    return both.agg(F.count(F.lit(1)).alias("scored"), F.count_if(~F.coalesce(same, F.lit(False))).alias("different"))

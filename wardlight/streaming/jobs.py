@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wardlight import values as V
 from wardlight.functions.text import content_fingerprint
-from wardlight.operators import radar
+from wardlight.operators import radar, textmodel
 from wardlight.operators.verdict import score_messages
 
 LATE = "1 day"
@@ -93,3 +94,18 @@ def with_fresh_side(stream: DataFrame, read_side: Callable[[SparkSession], DataF
         write(apply(batch, read_side(batch.sparkSession)), batch_id)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
+
+
+def model_score_stream(messages: DataFrame, folder: str, write: Callable[[DataFrame, int], None], checkpoint: str,
+                       out: str = "char_proba") -> StreamingQuery:
+    """Scores every micro-batch with the newest saved model of a folder; a new version counts from the next batch on."""
+    held: dict[int, PipelineModel] = {}
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        newest = textmodel.versions(batch.sparkSession, folder)[-1]
+        if newest not in held:
+            held.clear()
+            held[newest] = textmodel.load_version(batch.sparkSession, folder, newest)
+        write(textmodel.char_proba(batch, held[newest], out), batch_id)
+
+    return messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
