@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"train_char_lr", "cross_validation", "leave_one_category_out", "stream_rate_limit", "stream_strikes", "stream_notices",
+SLOW = {"train_char_lr", "stream_char_model", "out_of_fold_report", "stream_rate_limit", "stream_strikes", "stream_notices",
         "stream_scored", "score_messages_with_model", "verdict_document", "apply_enrichment", "apply_attachments", "explain_trust"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
 

@@ -8,11 +8,12 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from wardlight import values as V
-from wardlight.operators import curation, evaluation, models, similarity, textmodel
+from wardlight.operators import curation, evaluation, folds, models, similarity, textmodel
+from wardlight.operators.verdict import score_messages
 from wardlight.plans import datasets as D
 from wardlight.plans import sql as S
 from wardlight.plans.catalog import query
-from wardlight.session import shared_folder
+from wardlight.session import shared_folder, staged
 from wardlight.streaming import jobs
 
 # labelled rows: toxic is the positive class, the score is a function of the id
@@ -229,14 +230,40 @@ def train_embedding_lr(spark, d):
 @query("cross_validation")
 def cross_validation(spark, d):
     rows = evaluation.stratified_folds(_vectors(spark, d), "vec_id")
-    scored = models.held_out(rows, "fold", models.fit_embedding_classifier)
-    return evaluation.prf(scored, F.col("label") == 1, F.col("proba") >= 0.5)
+    return evaluation.prf(folds.out_of_fold_vectors(rows, "vec_id"), F.col("label") == 1, F.col("proba") >= 0.5)
 
 
 @query("leave_one_category_out")
 def leave_one_category_out(spark, d):
-    scored = models.leave_one_category_out(_vectors(spark, d), "category")
-    return evaluation.auc(scored).select(F.round("auc", 3).alias("auc"))
+    rows, many = folds.category_folds(_vectors(spark, d), "category")
+    return evaluation.auc(folds.out_of_fold_vectors(rows, "vec_id", many)).select(F.round("auc", 3).alias("auc"))
+
+
+def _out_of_fold(spark, d):
+    """Labelled texts in folds, and the out-of-fold probabilities of the character, vector and averaged model."""
+    rows = staged(evaluation.stratified_folds(_labelled_texts(spark, d), "doc_id"))
+    vectors = D.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    char = staged(folds.out_of_fold_texts(rows, "doc_id"))
+    vector = staged(folds.out_of_fold_vectors(rows.join(vectors, "doc_id"), "doc_id"))
+    return rows, {"char": char, "vector": vector, "both": staged(folds.averaged("doc_id", char, vector))}
+
+
+@query("out_of_fold_report")
+def out_of_fold_report(spark, d):
+    """Rules only, model only and everything, each text by models that have not seen it."""
+    rows, proba = _out_of_fold(spark, d)
+    texts = rows.join(proba["both"].select("doc_id", "proba"), "doc_id")
+    rules = score_messages(texts.select("doc_id", "text")).select("doc_id", F.col("level").alias("rules_level"))
+    full = score_messages(texts.select("doc_id", "label", "proba", "text"), proba="proba").select("doc_id", "label", "proba", F.col("level").alias("full_level"))
+    return evaluation.three_way_report(full.join(rules, "doc_id"))
+
+
+@query("out_of_fold_ranking")
+def out_of_fold_ranking(spark, d):
+    """How the models rank texts that they have not seen, and what they catch at five percent false alarms."""
+    parts = [evaluation.auc(p).crossJoin(F.broadcast(evaluation.caught_at_fpr(p))).select(F.lit(name).alias("model"), F.round("auc", 3).alias("auc"), F.round("caught", 3).alias("caught"))
+             for name, p in _out_of_fold(spark, d)[1].items()]   # one row each
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("train_char_lr")
