@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wardlight import values as V
 from wardlight.functions.text import mask_for_dataset
-from wardlight.operators import crowd, moderation, radar
+from wardlight.operators import admission, crowd, moderation, radar
 from wardlight.plans import datasets as D
 from wardlight.plans import sql as S
 from wardlight.plans.catalog import ORACLES, query
@@ -238,6 +238,28 @@ def notice_throttle(spark, d):
     return moderation.notice_throttle(D.events(spark, d), ["event_type"], gap=3600).select("event_id", "notify")
 
 
+def _admitted(source: str, by: str, limit: int, window: int) -> list[str]:
+    """Tables acc (admitted times of each key), and the admitted rows of (by, event_id, t), those of one time in order."""
+    acc = (f"{source}_acc AS (SELECT {by}, list_reduce(list([t] ORDER BY t, event_id), lambda a, x: CASE WHEN len(a) < {limit} OR x[1] - a[len(a) - {limit - 1}] > {window} "
+           f"THEN list_append(a, x[1]) ELSE a END, []::DOUBLE[]) AS acc FROM {source} GROUP BY {by})")
+    rows = (f"{source}_in AS (SELECT r.* FROM (SELECT *, row_number() OVER (PARTITION BY {by}, t ORDER BY event_id) AS nth FROM {source}) r JOIN "
+            f"(SELECT {by}, t, count(*) AS n FROM (SELECT {by}, unnest(acc) AS t FROM {source}_acc) GROUP BY ALL) USING ({by}, t) WHERE nth <= n)")
+    return [acc, rows]
+
+
+_ADMISSION = S.select([f"first AS (SELECT event_id, user_id, 0 AS everybody, {_SECONDS}::DOUBLE AS t FROM events)", *_admitted("first", "user_id", 2, 21600),
+                       "second AS (SELECT event_id, everybody, t FROM first_in)", *_admitted("second", "everybody", 12, 3600)],
+                      """SELECT event_id, second_in.event_id IS NOT NULL AS admitted, CASE WHEN first_in.event_id IS NULL THEN 'visitor' WHEN second_in.event_id IS NULL THEN 'overall' END AS refused_by
+FROM first LEFT JOIN first_in USING (event_id) LEFT JOIN second_in USING (event_id)""")
+
+
+@query("admission", _ADMISSION)
+def admission_limits(spark, d):
+    """A limit per visitor and, behind it, one over everybody."""
+    decided = admission.admission(D.events(spark, d), ["user_id"], per_visitor=(2, 21600), overall=(12, 3600))
+    return decided.select("event_id", "admitted", "refused_by")
+
+
 @query("group_removal_counts", "SELECT user_id % 25 AS chat_id, count(*) AS deleted FROM events WHERE event_type = 'error' GROUP BY 1")
 def group_removal_counts(spark, d):
     return moderation.group_removal_counts(D.events(spark, d).filter("event_type = 'error'").select((F.col("user_id") % 25).alias("chat_id")))

@@ -12,13 +12,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wardlight import values as V
 from wardlight.operators import moderation as M
+from wardlight.session import STATE_STORE
 
 
 class _Steps(StatefulProcessor):
@@ -65,3 +66,36 @@ def strike_stream(removals: DataFrame, keys: list[str], tie: str = "event_id", u
 def notice_stream(events: DataFrame, keys: list[str], gap: float = V.NOTICE_GAP_SECONDS, tie: str = "event_id",
                   idle_seconds: float | None = 7 * V.DAY_SECONDS) -> DataFrame:
     return _stateful(events, keys, tie, None, M.NOTICE_FIELDS, M.notice_step(gap), idle_seconds)
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Keyed state needs the RocksDB store."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+REFUSED = [T.StructField("refused_by", T.StringType())]
+
+
+def _behind(limit: int, window: float):
+    """The second limit: rows that the first refused pass by and count for nothing."""
+    step = M.limit_step(limit, window)
+
+    def run(now: float, first, hits: list[float]):
+        if first:   # the seconds to wait
+            return (False, int(first), "visitor"), hits
+        (admitted, wait), hits = step(now, None, hits)
+        return (admitted, wait, None if admitted else "overall"), hits
+    return run
+
+
+def admission_stream(events: DataFrame, visitor: list[str], per_visitor: tuple[int, float], overall: tuple[int, float],
+                     tie: str = "event_id", idle_seconds: float | None = 7 * V.DAY_SECONDS) -> DataFrame:
+    """Two limits one behind the other: adds admitted, retry_after and refused_by, as `admission` does.
+
+    What passes a visitor's limit reaches the one over everybody in the same micro-batch. That state is a list of at most
+    the limit's times, and what reaches it is one task's work: as many rows as visitors are let through.
+    """
+    first = _stateful(events, visitor, tie, None, M.LIMIT_FIELDS, M.limit_step(*per_visitor), idle_seconds)
+    paired = first.select(*events.columns, F.col("retry_after").alias("first_"), F.lit("*").alias("everybody_"))
+    second = _stateful(paired, ["everybody_"], tie, "first_", [*M.LIMIT_FIELDS, *REFUSED], _behind(*overall), idle_seconds)
+    return second.drop("first_", "everybody_")
