@@ -147,7 +147,7 @@ def _sequential(events: DataFrame, keys: list[str], ts: str, gap: float, tie: st
         for batch in batches:
             out = []
             groups = zip(*[batch[k] for k in keys], batch["_burst"])
-            for group, now, more in zip(groups, batch["_t"], batch[extra] if extra else batch["_t"]):
+            for group, now, more in zip(groups, batch["_t"], batch[extra] if extra else [None] * len(batch)):
                 if group != current:
                     current, state = group, []
                 values, state = step(now, more, state)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wardlight import values as V
@@ -9,8 +11,10 @@ from wardlight.operators import crowd, evaluation, guard, verdict
 from wardlight.plans import datasets as D
 from wardlight.plans import sql as S
 from wardlight.plans.aggregate_queries import _SETTINGS, _settings
-from wardlight.plans.catalog import query
+from wardlight.plans.catalog import ORACLES, query
 from wardlight.plans.message_queries import END, SALT, _INDICATORS
+from wardlight.session import shared_folder, staged
+from wardlight.streaming import moderate, state
 
 _EVIDENCE = [
     "c AS (SELECT kind, value, count(DISTINCT sender_id) AS n FROM indicators JOIN messages USING (msg_id) GROUP BY ALL HAVING n >= 2)",
@@ -46,6 +50,19 @@ _ACTIONS = [
        """SELECT msg_id, action, reason, CASE WHEN action = 'delete' THEN count(*) FILTER (action = 'delete') OVER
  (PARTITION BY chat_id, sender_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) ELSE 0 END AS strikes FROM k"""))
 def moderate_messages(spark, d):
+    m, *tables = _moderation(spark, d)
+    acted = guard.moderate_messages(_flags(m), *tables, F.col("msg_id") % 4 != 0, resets=False)
+    return acted.select("msg_id", "action", "reason", "strikes")
+
+
+def _flags(m):
+    key = F.col("msg_id")
+    return m.select("*", (key % 19 == 0).alias("is_bot"), (key % 23 == 0).alias("auto_forward"), (key % 17 == 0).alias("is_channel"),
+                    F.lit(7).alias("linked_chat"), (F.col("chat_id") % 5 == 0).alias("test"), (key % 29 == 0).alias("from_chat"))
+
+
+def _moderation(spark, d):
+    """Messages, files, crowd hits, similar reports, settings, joins and admins."""
     m, key = D.messages(spark, d), F.col("msg_id")
     found = crowd.extract_indicators(m, "msg_id", "sender_id", "ts")
     counts = crowd.reporter_counts(crowd.report_rows(found, "sender_id", "ts", SALT), F.expr(f"TIMESTAMP '{END}'"))
@@ -55,10 +72,25 @@ def moderate_messages(spark, d):
                                           F.array().cast("array<string>").alias("app_signals"))
     joins = m.filter(key % 6 == 0).select("chat_id", "sender_id", (F.col("ts") - F.expr("INTERVAL 2 HOURS")).alias("ts"))
     admins = D.table(spark, d, "supplier").select(F.col("s_nationkey").alias("chat_id"), F.col("s_suppkey").alias("sender_id"))
-    rows = m.select("*", (key % 19 == 0).alias("is_bot"), (key % 23 == 0).alias("auto_forward"), (key % 17 == 0).alias("is_channel"),
-                    F.lit(7).alias("linked_chat"), (F.col("chat_id") % 5 == 0).alias("test"), (key % 29 == 0).alias("from_chat"))
-    acted = guard.moderate_messages(rows, files, hits, similar, _settings(spark, d).drop("test"), joins, admins, key % 4 != 0, resets=False)
-    return acted.select("msg_id", "action", "reason", "strikes")
+    return m, files, hits, similar, _settings(spark, d).drop("test"), joins, admins
+
+
+@query("stream_moderate", ORACLES["moderate_messages"])
+def stream_moderate(spark, d):
+    """The messages as a stream of three micro-batches, none of them in order of time, and a last row that moves time on."""
+    state.use_state_store(spark)
+    m, *tables = _moderation(spark, d)
+    path = f"{shared_folder(spark)}/moderate-{uuid.uuid4().hex}"
+    for part in range(3):
+        m.filter(F.col("msg_id") % 3 == part).write.parquet(f"{path}/in/{part}")
+    end = m.agg((F.max("ts") + F.expr("INTERVAL 40 DAYS")).alias("ts")).select(
+        F.lit(-1).cast("long").alias("msg_id"), F.lit(0).cast("long").alias("sender_id"), F.lit(0).cast("long").alias("chat_id"), "ts", F.lit("").alias("text"))
+    end.write.parquet(f"{path}/in/end")
+    tables[1:3] = [staged(tables[1]), staged(tables[2])]
+    source = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+    out = moderate.moderate_stream(_flags(source), *tables, F.col("msg_id") % 4 != 0, resets=False, late="31 days")
+    out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out").select("msg_id", "action", "reason", "strikes")
 
 
 _JUDGED = ("oc AS (SELECT m.msg_id, ['scam', 'safe', 'needs_context'][m.msg_id % 3 + 1] AS label, v.kind AS intent, v.level, CASE m.msg_id % 3 WHEN 0 THEN CASE WHEN v.level <> 'safe' THEN 'ok' ELSE 'MISSED' END "

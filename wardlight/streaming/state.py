@@ -36,7 +36,7 @@ class _Steps(StatefulProcessor):
         kept = self.times.get() if self.times.exists() else None
         state = list(kept[0]) if kept is not None and kept[0] is not None else []
         out = []
-        for now, more in zip(batch["seconds_"], batch[self.extra] if self.extra else batch["seconds_"]):
+        for now, more in zip(batch["seconds_"], batch[self.extra] if self.extra else [None] * len(batch)):
             values, state = self.step(float(now), more, state)
             out.append(values)
         self.times.update((state,))
