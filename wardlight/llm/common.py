@@ -32,8 +32,24 @@ def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def each_batch(df: DataFrame, schema: str, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """`step` over the Arrow batches of every partition, in bounded pieces."""
-    return df.mapInArrow(lambda batches: step(bounded(batches)), schema)
+    """`step` over the Arrow batches of every partition, in bounded pieces; what a task held is given back at its end."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(bounded(batches))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
+def staged_texts(df: DataFrame) -> DataFrame:
+    """`df`, which sends whole texts to Python, as a table in the shared folder. While it is written, rows go to Python in batches of bounded rows."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if int(before) <= 0 or int(before) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        return staged(df)
+    finally:
+        spark.conf.set(name, before)
 
 
 def fresh_name(df: DataFrame, name: str) -> str:

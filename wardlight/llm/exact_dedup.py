@@ -7,14 +7,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import documents, split_join, staged, without_white
+from wardlight.llm.common import documents, numbered, split_join, staged, without_white
 
 #: Digests of one part of the index. Digests are uniform, so parts are even.
 PART_DIGESTS = 20_000
 #: Bits per key that is still to be placed, on each level of the hash.
 GAMMA = 2
 
-BEST = "struct<less:long,no_id:boolean,id:long>"
+BEST = "struct<less:long,no_id:boolean,id:long,row:long>"
 INDEX = f"part int, level_bits array<int>, bits binary, digests binary, best array<{BEST}>, counts array<long>"
 
 
@@ -40,6 +40,8 @@ class PerfectHash:
     @classmethod
     def of(cls, keys: np.ndarray) -> PerfectHash:
         sizes, levels = [], []
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("keys are not distinct")
         while len(keys):
             size = GAMMA * len(keys) + 1
             at = (_mixed(keys, len(sizes)) % np.uint64(size)).astype(np.int64)
@@ -66,15 +68,16 @@ def keys_of(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(d[8:16] for d in digests), "<u8")
 
 
-def digested(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text without white space), chars (code points of the text itself)."""
-    return documents(docs).select("doc_id", F.unhex(F.sha2(without_white(F.col("text")), 256)).alias("digest"),
+def digested(docs: DataFrame, number: str | None = None) -> DataFrame:
+    """doc_id, row (its number, if it has one), digest (of the text without white space), chars (code points of the text itself)."""
+    row = (F.col(number) if number else F.lit(0)).cast("long").alias("row")
+    return documents(docs, row).select("doc_id", "row", F.unhex(F.sha2(without_white(F.col("text")), 256)).alias("digest"),
                                   F.length("text").cast("long").alias("chars"))
 
 
 def distinct_digests(rows: DataFrame, *keys: str) -> DataFrame:
     """One row per digest (and keys): its best row (most characters, then smallest id; a null id last) and the number of rows."""
-    best = F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))
+    best = F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row")
     return rows.groupBy(*keys, "digest").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n"))
 
 
@@ -110,7 +113,7 @@ def _look_up(index: pa.Table, rows: pa.Table) -> pa.Table:
         slots = PerfectHash(row["level_bits"], bits).slots(keys_of(digests)).tolist()
         held, best, counts = row["digests"], row["best"], row["counts"]
     member = [s >= 0 and held[32 * s : 32 * s + 32] == d for s, d in zip(slots, digests, strict=True)] if slots else [False] * len(digests)
-    order = lambda b: (b["less"], b["no_id"], b["id"] if b["id"] is not None else 0)
+    order = lambda b: (b["less"], b["no_id"], b["id"] if b["id"] is not None else 0, b["row"])
     new_best, new_n, seen = rows.column("best").to_pylist(), rows.column("n").to_pylist(), set()
     out = []
     for i, d in enumerate(digests):
@@ -122,7 +125,7 @@ def _look_up(index: pa.Table, rows: pa.Table) -> pa.Table:
             out.append((d, new_best[i], new_n[i], False))
     out += [(held[32 * s : 32 * s + 32], best[s], counts[s], True) for s in range(len(best)) if s not in seen]
     d, b, n, m = zip(*out, strict=True)
-    kind = pa.struct([("less", pa.int64()), ("no_id", pa.bool_()), ("id", pa.int64())])
+    kind = pa.struct([("less", pa.int64()), ("no_id", pa.bool_()), ("id", pa.int64()), ("row", pa.int64())])
     return pa.table({"digest": pa.array(d, pa.binary()), "best": pa.array(b, kind), "n": pa.array(n, pa.int64()),
                      "historical": pa.array(m, pa.bool_())})
 
@@ -167,11 +170,12 @@ def deduplicate(docs: DataFrame, historical: Column) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, historical: Column) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    rows = staged(digested(docs))
-    winners = digest_groups(rows, historical).select(F.col("digest").alias("_digest"), F.col("best.id").alias("_id"), (-F.col("best.less")).alias("_chars"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.select("*", F.unhex(F.sha2(without_white(text), 256)).alias("_digest"), F.length(text).cast("long").alias("_chars"))
-    same = F.expr("m._digest = w._digest AND m._chars = w._chars AND m.doc_id <=> w._id")
-    held = marked.alias("m").join(winners.alias("w"), same).select("m.*")
-    return held.dropDuplicates(["_digest", "_chars"]).select(*docs.columns)
+    """The rows that stay, with all their columns. `historical` marks by doc_id the rows seen before.
+
+    Rows are told apart by number, so of repeated rows, and of texts of one id, length and content without white space, one
+    stays. Whole texts are shuffled once, to the winners' numbers. Null text: empty, equal to other empty texts; one stays.
+    Null ids come last. An empty table gives no rows. Columns of any name are kept.
+    """
+    rows, number = numbered(docs)
+    winners = digest_groups(digested(rows, number), historical).select(F.col("best.row").alias(number))
+    return rows.join(winners, number, "left_semi").select(*docs.columns)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import each_batch, fresh_name, numbered, split_join, staged
+from wardlight.llm.common import each_batch, fresh_name, numbered, split_join, staged_texts
 
 SYMBOLS = b"#*$%&|<>"
 _WHITE = b" \t\n\x0b\x0c\r"
@@ -105,7 +105,7 @@ def judge(docs: DataFrame, host: str = "source", most_documents: int = MOST_DOCU
     other. Repeated rows are judged each, and are one document in the counts. Lines at the limit stay. An empty table gives
     no rows. Other columns are not read.
     """
-    measured = staged(measure_documents(docs, host, number))
+    measured = staged_texts(measure_documents(docs, host, number))
     frequent = frequent_lines(measured, most_documents).select("host", "hash")
     lines = measured.select("key", "host", F.explode("lines").alias("line")).select("key", "host", "line.hash", "line.words")
     removed = split_join(lines, frequent, ["host", "hash"]).groupBy("key").agg(F.collect_set(F.struct("hash", "words")).alias("removed"))

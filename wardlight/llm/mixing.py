@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import documents, each_batch, staged
+from wardlight.llm.common import documents, each_batch, fresh_name, numbered, staged_texts
 
 DOMAINS = ("good", "poor", "toxic")
 #: Labelled rows that the classifier is fitted on, at most: those with the least hash of their id.
@@ -32,7 +32,7 @@ SNAP = 0.1
 STARTS = 64
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 
 
 class _Buckets(dict):
@@ -142,15 +142,17 @@ def _predictor(model: Model):
         for batch in batches:
             found = [features(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             p = model.posteriors([f for _, f in found])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([n for n, _ in found], pa.int64()),
-                                              *[pa.array(p[:, j]) for j in range(p.shape[1])]], names=["doc_id", "row", "n_tokens", *DOMAINS])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "mark")), pa.array([n for n, _ in found], pa.int64()),
+                                              *[pa.array(p[:, j]) for j in range(p.shape[1])]], names=["doc_id", "row", "mark", "n_tokens", *DOMAINS])
+        _BUCKETS.clear()
     return run
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, row (a hash of both), n_tokens (words), and the posterior of each domain."""
-    rows = documents(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    return each_batch(rows, "doc_id long, row long, n_tokens long, " + ", ".join(f"{d} double" for d in DOMAINS), _predictor(model))
+def predict(docs: DataFrame, model: Model, number: str | None = None) -> DataFrame:
+    """doc_id, row (its number, if it has one, or else the mark), mark (a hash of both), n_tokens (words), domain posteriors."""
+    mark = F.xxhash64("doc_id", "text")
+    rows = documents(docs, *[number] * bool(number)).select("doc_id", (F.col(number) if number else mark).alias("row"), mark.alias("mark"), "text")
+    return each_batch(rows, "doc_id long, row long, mark long, n_tokens long, " + ", ".join(f"{d} double" for d in DOMAINS), _predictor(model))
 
 
 def descend(posterior: np.ndarray, prices: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +259,7 @@ def draw_start(rated: DataFrame) -> float:
     return int(np.abs(sums[:STARTS] / np.maximum(sums[STARTS], 1e-9) - 1).max(1).argmin()) / STARTS
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, number: str | None = None) -> DataFrame:
     """One row per document: doc_id, row, n_tokens, the domain posteriors, its rate and the copies drawn at that rate.
 
     A rate is drawn by a hash of the row: its whole part, and one more with the probability of the rest. Rates near to 1
@@ -267,17 +269,22 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     Without labelled rows all domains are equally likely. Repeated rows get the same rate and copies each. An empty table
     gives no rows. Other columns are not read.
     """
-    predicted = staged(predict(docs, train(docs, labels)))
+    predicted = staged_texts(predict(docs, train(docs, labels), number))
     prices = fit_rates(predicted, weights, refit=True)
     rated = predicted.mapInArrow(_rater(prices), predicted.schema.simpleString()[7:-1].replace(":", " ") + ", rate double")
-    rated = rated.withColumn("draw", F.pmod(F.xxhash64("row", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30))
+    rated = rated.withColumn("draw", F.pmod(F.xxhash64("mark", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30))
     drawn = (F.col("draw") + draw_start(rated)) % 1.0
-    return rated.withColumn("copies", F.floor(F.col("rate") + drawn).cast("long")).drop("draw")
+    return rated.withColumn("copies", F.floor(F.col("rate") + drawn).cast("long")).drop("draw", "mark")
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """The documents, each as often as drawn, with all their columns."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    drawn = mix(docs, labels, weights).groupBy("row").agg(F.first("copies").alias("_copies")).withColumnRenamed("row", "_row")
-    marked = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), text))
-    return marked.join(drawn.filter("_copies > 0"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """The documents, each as often as drawn, with all their columns.
+
+    Rows are told apart by number, so repeated rows are drawn each; whole texts are shuffled once. Null or empty texts have no
+    tokens and count for nothing in the totals, and are drawn like others. An empty table gives no rows. Columns of any name
+    are kept.
+    """
+    rows, number = numbered(docs)
+    copies, copy = fresh_name(rows, "copies"), fresh_name(rows, "copy")
+    drawn = mix(rows, labels, weights, number).filter("copies > 0").select(F.col("row").alias(number), F.col("copies").alias(copies))
+    return rows.join(drawn, number).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import documents, each_batch, split_join, staged
+from wardlight.llm.common import documents, each_batch, numbered, split_join, staged, staged_texts
 from wardlight.llm.components import connected, forest
 
 #: Words of a shingle, greatest distance of a link, segments of the fingerprint (bits of each, low bits first).
@@ -53,9 +53,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(found, pa.int64())], names=["doc_id", "row", "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of id and text), fp."""
-    rows = documents(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+def fingerprints(docs: DataFrame, number: str | None = None) -> DataFrame:
+    """doc_id, row (its number, if it has one, or else a hash of id and text), fp."""
+    row = F.col(number) if number else F.xxhash64("doc_id", "text")
+    rows = documents(docs, *[number] * bool(number)).select("doc_id", row.alias("row"), "text")
     return each_batch(rows, "doc_id long, row long, fp long", _fingerprints)
 
 
@@ -195,8 +196,6 @@ def _linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link_forest(prints: DataFrame) -> DataFrame:
     """(u, v): links whose components are those of all links between the distinct fingerprints `fp`."""
     rows = index_rows(prints).repartition("bucket").sortWithinPartitions("bucket", "probe")
-    spark = prints.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     return rows.mapInArrow(_linker, "u long, v long")
 
 
@@ -221,16 +220,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null or empty text: fingerprint zero, linked like any other. Repeated rows give repeated rows. An empty table gives
     no rows. Other columns are not read.
     """
-    prints = staged(fingerprints(docs))
+    prints = staged_texts(fingerprints(docs))
     return split_join(prints, classes(prints), ["fp"]).select("doc_id", "row", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, that with the least doc_id, with all its columns."""
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    prints = staged(fingerprints(docs))
+    """One row of each component, that with the least doc_id, with all its columns.
+
+    Rows are told apart by number, so of repeated rows one stays. Whole texts are shuffled once, to the numbers that stay.
+    Null and empty texts have fingerprint zero, linked like any other. Null ids come last. An empty table gives no rows.
+    Columns of any name are kept.
+    """
+    rows, number = numbered(docs)
+    prints = staged_texts(fingerprints(rows, number))
     found = split_join(prints, classes(prints, "root"), ["fp"])
-    winners = found.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.row").alias("_row"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), text))
-    return marked.join(winners, "_row").dropDuplicates(["_row"]).select(*docs.columns)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    winners = found.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.row").alias(number))
+    return rows.join(winners, number, "left_semi").select(*docs.columns)

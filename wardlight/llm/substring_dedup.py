@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import documents, each_batch, split_join, staged
+from wardlight.llm.common import documents, each_batch, split_join, staged, staged_texts
 
 WINDOW, GROUP = 20, 6
 #: Occurrences of a minimizer above which its windows are compared one by one instead of in one shard.
@@ -262,12 +262,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     earlier than the other. An empty table gives no rows. Other columns are not read.
     """
     rows = documents(docs).select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    found = staged(each_batch(rows, "shard long, row long, at long", _occurrences))
+    found = staged_texts(each_batch(rows, "shard long, row long, at long", _occurrences))
     counts = staged(found.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))   # a join of two scans can be split
     repeated = found.join(counts, "shard").select("row", F.struct("shard", "at", (F.col("n") > HOT).alias("hot")).alias("item"))
     listed = staged(repeated.groupBy("row").agg(F.collect_set("item").alias("listed")))
     brought = each_batch(rows.join(listed, "row"), PASSAGE, _bring_passages)
-    brought = staged(brought.withColumn("order", F.coalesce("doc_id", F.lit((1 << 63) - 1))))
+    brought = staged_texts(brought.withColumn("order", F.coalesce("doc_id", F.lit((1 << 63) - 1))))
     shards = brought.filter("NOT hot").select("shard", "order", "at", "passage", "row", "words")
     streamed = shards.repartition("shard").sortWithinPartitions("shard", "order", "at")
     spans = streamed.mapInArrow(_stream_shards, "row long, first long, bits long")

@@ -138,6 +138,7 @@ def _packer(path: str, end_id: int, tiers: tuple[int, ...]):
                 yield from flush()
         if docs:
             yield from flush()
+        tokenizer(path).forget()
 
     return run
 
