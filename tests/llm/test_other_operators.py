@@ -172,6 +172,56 @@ def test_no_part_of_the_main_text_is_lost():
         assert html_content.main_text(f"<html><body>{page}</body></html>") == "\n".join(want)
 
 
+STORY = [f"Paragraph {i} of the story, which is long enough to count. It goes on, with marks, and says a thing or two." for i in range(5)]
+STORY_HTML = "".join(f"<p>{p}</p>" for p in STORY)
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="layout has-sidebar"><article>{STORY_HTML}</article></div>', f'<div class="app header-fixed"><main>{STORY_HTML}</main></div>',
+    f'<article class="post share-enabled">{STORY_HTML}</article>', f'<form id="all"><div class="sidebar"><div>{STORY_HTML}</div></div></form>',
+    f'<div class="comments-off"><article>{STORY_HTML}<div class="zz9"><a href="/x">Buy this now!</a></div></article></div>',
+    f'<article>{STORY_HTML}<section class="comments"><p>A reader, who says things, at length. {STORY[0]}</p></section></article>'])
+def test_names_are_evidence_only(page):
+    assert html_content.main_text(f"<body><nav><a href=/>Home</a></nav>{page}<footer>Us</footer></body>") == "\n".join(STORY)
+
+
+def test_listed_words_inside_an_article():
+    parts = f'<article>{STORY_HTML}<blockquote class="reply">Quoted, said and done.</blockquote><section id="tracking-results"><p>Results, in short.</p></section></article>'
+    more = f'{STORY_HTML}<div class="search-help"><p>{STORY[0]}</p></div>'
+    assert html_content.main_text(parts).split("\n") == [*STORY, "Quoted, said and done.", "Results, in short."]
+    assert html_content.main_text(f"<article>{more}</article>").split("\n") == [*STORY, STORY[0]]
+    two = f"<body><article class=related-x>{STORY_HTML}</article><aside>No</aside><article>{STORY_HTML}</article></body>"
+    assert html_content.main_text(two).split("\n") == STORY * 2
+
+
+def test_path_scores_equal_a_plain_reading():
+    page = f"<body><div><h1>Title</h1>{STORY_HTML}<ul><li>one, <a href=1>two</a></li><li>three.</li></ul><p>End.</p></div><div><a href=2>x</a></div></body>"
+    live = [x for x in html_content.text_nodes(page)[0] if x[2].strip()]
+    paths = [x[0].block.path for x in live]
+    chars = [0 if e.link else len(t) for e, _, t in live]
+    marks = [0 if e.link else sum(c in ".,;:!?" for c in t) for e, _, t in live]
+    mean = lambda values: [np.mean([v for v, q in zip(values, paths, strict=True) if q == p]) for p in paths]
+
+    def smooth(values):
+        weight = [[np.exp(-(i - j) ** 2 / 2) * (abs(i - j) < 3) for j in range(len(values))] for i in range(len(values))]
+        return np.array([np.dot(w, values) / np.sum(w) for w in weight])
+
+    fused = smooth(mean(chars)) * (smooth(mean(marks)) + 0.1)
+    got, threshold = html_content.path_scores(live)
+    for p in set(paths):
+        assert got[p] == pytest.approx(np.mean([f for f, q in zip(fused, paths, strict=True) if q == p]))
+    assert threshold == pytest.approx(min(fused.std(), max(got.values()) / 2))
+
+
+@pytest.mark.parametrize("page,text", [("<div>word " * 60_000, "word"), ("<table><tr><td><p>" + "<span>x</b></i>" * 60_000, "x"), ("<p><table><tr><td>" * 20_000 + "deep", "deep")])
+def test_badly_nested_pages_take_time_in_proportion(page, text):
+    import time
+
+    start = time.process_time()
+    assert text in html_content.main_text(page)
+    assert time.process_time() - start < 15
+
+
 def plain_chat(rows):
     out = {}
     for conv in {r[0] for r in rows}:

@@ -34,6 +34,14 @@ OUTSIDE_WORDS = frozenset((
     "notices alert popup modal overlay dialog nav navbar navigation menu breadcrumb breadcrumbs sidebar aside complementary widget "
     "footer header masthead contentinfo comment comments commentlist disqus reply replies respond share sharing social related "
     "recommended newsletter subscribe subscription signup login search pagination pager toolbar skip copyright tracking").split())
+#: Of these words, those that also name parts of articles: running text outweighs them.
+WEAK_WORDS = frozenset("alert complementary header login reply replies respond search signup skip toolbar tracking widget".split())
+#: Words before a listed one, or after it, by which a name tells the state of an element and not what it is.
+STATE_BEFORE = frozenset("has with is no not without hide show js".split())
+STATE_AFTER = frozenset(("enabled disabled fixed sticky results open closed free visible hidden active ready on off layout page theme "
+                         "style padding margin offset height width size").split())
+#: Elements that hold a text of their own whatever they are called.
+TEXTS = frozenset("article main html body blockquote q figure figcaption table pre p h1 h2 h3 h4 h5 h6 li dd dt".split())
 #: A start tag that ends an open element of these names, up to the nearest of the bounds.
 CLOSES = {"li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
           "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])), "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"])),
@@ -47,41 +55,81 @@ BESIDE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 SMOOTH = 2
 
 
+#: The rules by which a start tag ends an open element, by number.
+RULES = [*dict.fromkeys(CLOSES.values()), _PARAGRAPH]
+#: Non-link characters, and characters a mark at most, of running text.
+RUNNING_CHARS, RUNNING_MARK = 80, 100
+
+
+def said_words(attributes: str) -> tuple[list[str], frozenset[str]]:
+    """(all words of class, id and role; those listed ones that say what the element is)."""
+    words, listed = [], set()
+    for names in _NAMES.findall(attributes) if "=" in attributes else ():
+        for name in names.strip("\"'").split():
+            parts = _WORD.findall(_CAMEL.sub(" ", name).lower())
+            words += parts
+            for i, part in enumerate(parts):
+                after = parts[i + 1] if i + 1 < len(parts) else ""
+                if part in OUTSIDE_WORDS and after not in STATE_AFTER and not (i and parts[i - 1] in STATE_BEFORE):
+                    listed.add(part)
+    return words, frozenset(listed)
+
+
 class Element:
-    __slots__ = ("name", "up", "path", "outside", "link", "block", "depth")
-
-    def __init__(self, name: str, up: Element | None, attributes: str = ""):
-        self.name, self.up, self.depth = name, up, up.depth + 1 if up else 0
-        said = " ".join(m.strip("\"'") for m in _NAMES.findall(attributes)) if "=" in attributes else ""
-        words = frozenset(_WORD.findall(_CAMEL.sub(" ", said).lower())) if said else frozenset()
-        within = up is not None and up.inside_article()
-        own = name in OUTSIDE and not (name == "header" and within) or bool(words & OUTSIDE_WORDS) or bool(
-            attributes and _HIDDEN.search(attributes))
-        self.outside = own and name not in ("html", "body") or up is not None and up.outside
+    """An open or closed element. `near` leads, for each rule, to the nearest element that the rule ends or stops at."""
+
+    __slots__ = ("name", "up", "path", "mark", "link", "block", "within", "near", "text", "marks", "links", "holds", "out", "live")
+
+    def __init__(self, name: str, up: Element | None, paths: dict, attributes: str = ""):
+        self.name, self.up = name, up
+        words, listed = said_words(attributes)
+        self.within = name in ("article", "main") or up is not None and up.within
         self.link = name == "a" or up is not None and up.link
-        self.path = f"{up.path if up else ''}/{name}" + (f".{'.'.join(sorted(words))}" if words else "")
+        self.path = paths.setdefault((up.path if up else -1, name, *sorted(set(words))), len(paths))
         self.block = self if name not in INLINE or up is None else up.block
+        self.near = tuple(self if name in n or name in limits else up.near[i] if up else self for i, (n, limits) in enumerate(RULES))
+        self.mark = ""
+        if attributes and _HIDDEN.search(attributes) and name not in ("html", "body"):
+            self.mark = "hidden"
+        elif name in OUTSIDE and not (name == "header" and self.within):
+            self.mark = "kind"
+        elif listed and name not in TEXTS:
+            self.mark = "name" if listed - WEAK_WORDS or not self.within else "weak"
+        self.text = self.marks = self.links = self.live = 0
+        self.holds = name in ("article", "main")
+        self.out = False
 
-    def inside_article(self) -> bool:
-        e = self
-        while e:
-            if e.name in ("article", "main"):
-                return True
-            e = e.up
-        return False
 
+def text_nodes(page: str) -> tuple[list[tuple[Element, int, str]], list[Element]]:
+    """((element, block number, raw text) in page order, all elements in page order). A block ends at tags that are not inline.
+
+    Each tag costs the elements that it closes, and no walk up the open ones.
+    """
+    paths: dict = {}
+    root = here = Element("", None, paths)
+    found, elements, block, at, open_ = [], [root], 0, 0, {"": 1}
+
+    def enter(name: str, attributes: str = "") -> Element:
+        e = Element(name, here, paths, attributes)
+        elements.append(e)
+        open_[name] = open_.get(name, 0) + 1
+        return e
+
+    def leave(last: Element) -> Element:
+        e = here
+        while True:
+            open_[e.name] -= 1
+            if e is last:
+                return e.up
+            e = e.up
 
-def text_nodes(page: str) -> list[tuple[Element, int, str]]:
-    """(element, block number, raw text) in page order. A block ends at every tag that is not inline."""
-    root = here = Element("", None)
-    found, block, at = [], 0, 0
     while True:
         m = _TAG.search(page, at)
         end = m.start() if m else len(page)
         if end > at:
             found.append((here, block, page[at:end]))
         if not m:
-            return found
+            return found, elements
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -89,14 +137,14 @@ def text_nodes(page: str) -> list[tuple[Element, int, str]]:
         if name not in INLINE:
             block += 1
         if m[1]:
-            e = here
+            e = here if open_.get(name) else root
             while e is not root and e.name != name:
                 if name in INLINE and e.name not in INLINE:   # an inline end tag does not close blocks
                     e = root
                     break
                 e = e.up
             if e is not root:
-                here = e.up
+                here = leave(e)
             continue
         if name == "br":
             found.append((here, block, " "))
@@ -106,41 +154,56 @@ def text_nodes(page: str) -> list[tuple[Element, int, str]]:
             close = re.compile(f"</{name}(?=[\\s/>]|\\Z)", re.I).search(page, at)
             at = close.start() if close else len(page)
             if close:
-                here = Element(name, here)
+                here = enter(name)
             continue
-        closes, bounds = CLOSES.get(name, _PARAGRAPH)
         if name not in INLINE:
-            for names, limits in {(closes, bounds), _PARAGRAPH}:
-                e = here
-                while e is not root and e.name not in limits and e.name not in names:
-                    e = e.up
-                if e.name in names:
-                    here = e.up
+            for rule in {CLOSES.get(name, _PARAGRAPH), _PARAGRAPH}:
+                e = here.near[RULES.index(rule)]
+                if e.name in rule[0]:
+                    here = leave(e)
         if not m[3].endswith("/") or name not in ("path", "g", "use"):
-            here = Element(name, here, m[3])
+            here = enter(name, m[3])
 
 
-def select(nodes: list[tuple[Element, int, str]]) -> list[bool]:
-    """Which text nodes belong to the main text.
+def mark_outside(nodes: list[tuple[Element, int, str]], elements: list[Element]) -> None:
+    """Which elements are no part of an article.
 
-    Per tag path: text length and punctuation per node. Both ratios, smoothed over neighbouring nodes by a Gaussian
-    kernel, are multiplied; paths whose mean product reaches the threshold (the standard deviation of the nodes'
-    products, or half the greatest mean where that is less) are content paths. The content root is the lowest container
-    with all their text, or the article or main element around it, or else the highest element around it that adds only
-    headings and paragraphs, as a title or lead beside the text; everything under it belongs to the text but
-    what is marked as no part of an article and, outside of article elements, blocks of nothing but links on other paths.
+    What an element is called is evidence. It does not count for one that holds an article, or most of the page's text, and a
+    word that also names parts of articles does not count for running text with few links.
     """
-    live = [i for i, (e, _, t) in enumerate(nodes) if not e.outside and t and not t.isspace()]
-    if not live:
-        return [False] * len(nodes)
-    sums: dict[str, list[float]] = {}
-    for i in live:
-        e, _, text = nodes[i]
+    for e, _, text in nodes:
+        n = len(text) - text.count(" ") - text.count("\n")
+        if e.link:
+            e.links += n
+        else:
+            e.text += n
+            e.marks += len(_PUNCTUATION.findall(text))
+    for e in reversed(elements[1:]):
+        e.up.text, e.up.marks, e.up.links, e.up.holds = e.up.text + e.text, e.up.marks + e.marks, e.up.links + e.links, e.up.holds or e.holds
+    most = elements[0].text / 2
+    for e in elements:
+        out = bool(e.mark)
+        if e.mark in ("kind", "name", "weak") and (e.holds or e.text > most and e.text >= RUNNING_CHARS and e.name not in ("nav", "footer")):
+            out = False
+        if e.mark == "weak" and e.text >= RUNNING_CHARS and e.marks * RUNNING_MARK >= e.text and e.links <= e.text / 2:
+            out = False
+        e.out = out or e.up is not None and e.up.out
+
+
+def path_scores(live: list[tuple[Element, int, str]]) -> tuple[dict[int, float], float]:
+    """(mean fused ratio of each tag path, threshold).
+
+    Per tag path: text length and punctuation per node, links left out. Both ratios, smoothed over neighbouring nodes by a
+    Gaussian kernel, are multiplied. The threshold is the standard deviation of the nodes' products, or half the greatest
+    mean where that is less.
+    """
+    sums: dict[int, list[float]] = {}
+    for e, _, text in live:
         s = sums.setdefault(e.block.path, [0, 0, 0])
         s[0] += 1
         s[1] += 0 if e.link else len(text)
         s[2] += 0 if e.link else len(_PUNCTUATION.findall(text))
-    length, marks = ([sums[nodes[i][0].block.path][k] / sums[nodes[i][0].block.path][0] for i in live] for k in (1, 2))
+    length, marks = ([sums[e.block.path][k] / sums[e.block.path][0] for e, _, _ in live] for k in (1, 2))
     kernel = [math.exp(-(d * d) / 2) for d in range(-SMOOTH, SMOOTH + 1)]
 
     def smooth(values: list[float]) -> list[float]:
@@ -153,39 +216,55 @@ def select(nodes: list[tuple[Element, int, str]]) -> list[bool]:
     fused = [a * (b + 0.1) for a, b in zip(smooth(length), smooth(marks), strict=True)]
     mean = sum(fused) / len(fused)
     deviation = math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
-    by_path: dict[str, list[float]] = {}
-    for i, f in zip(live, fused, strict=True):
-        by_path.setdefault(nodes[i][0].block.path, []).append(f)
+    by_path: dict[int, list[float]] = {}
+    for (e, _, _), f in zip(live, fused, strict=True):
+        by_path.setdefault(e.block.path, []).append(f)
     means = {p: sum(v) / len(v) for p, v in by_path.items()}
-    threshold = min(deviation, max(means.values()) / 2)
+    return means, min(deviation, max(means.values()) / 2)
+
+
+def select(nodes: list[tuple[Element, int, str]], elements: list[Element]) -> list[bool]:
+    """Which text nodes belong to the main text.
+
+    Paths whose mean fused ratio reaches the threshold are content paths. The content root is the lowest container with all
+    their text, or the article or main element around it, or else the highest element around it that adds only headings and
+    paragraphs, as a title or lead beside the text. Everything under it belongs to the text but what is marked as no part of
+    an article, and blocks of nothing but links on other paths: outside of article elements any, inside those that are a
+    division of their own.
+    """
+    mark_outside(nodes, elements)
+    live = [x for x in nodes if not x[0].out and x[2] and not x[2].isspace()]
+    if not live:
+        return [False] * len(nodes)
+    means, threshold = path_scores(live)
     content = {p for p, v in means.items() if v >= threshold}
-    held: dict[Element, int] = {}
+    worded = {e.block.path for e, _, _ in live if not e.link}
     total = 0
-    for i in live:
-        e, _, text = nodes[i]
+    for e, _, text in live:
         if e.block.path in content:
+            e.live += len(text)
             total += len(text)
-            while e:
-                held[e] = held.get(e, 0) + len(text)
-                e = e.up
-    roots = [e for e, n in held.items() if (e.name in CONTAINERS or e.up is None) and n == total]
-    root = max(roots, key=lambda e: e.depth)
+    for e in reversed(elements[1:]):
+        e.up.live += e.live
+    root = elements[0]
+    for e in elements:   # the last in page order of those with all the content is the lowest
+        if e.live == total and (e.name in CONTAINERS or e.up is None):
+            root = e
     e = root
     while e:
         if e.name in ("article", "main"):
             root = e
         e = e.up
-    if root.name not in ("article", "main"):
-        root = widened(root, [nodes[i][0] for i in live])
-    keep = [False] * len(nodes)
+    article = root.name in ("article", "main")
+    if not article:
+        root = widened(root, [e for e, _, _ in live])
+    inside: dict[Element, bool] = {}
+    for e in elements:
+        inside[e] = e is root or e.up is not None and inside[e.up]
     said = {block for e, block, text in nodes if not e.link and not text.isspace()}
-    for i, (e, block, _) in enumerate(nodes):
-        if e.outside or root.name not in ("article", "main") and block not in said and e.block.path not in content:
-            continue
-        while e and e is not root:
-            e = e.up
-        keep[i] = e is root
-    return keep
+    spoken = content & worded
+    return [inside[e] and not e.out and (block in said or e.block.path in spoken or article and e.block.name not in ("div", "section"))
+            for e, block, _ in nodes]
 
 
 def widened(root: Element, elements: list[Element]) -> Element:
@@ -194,13 +273,15 @@ def widened(root: Element, elements: list[Element]) -> Element:
     while e.up:
         e = e.up
         around.add(e)
-    bounds = set()
+    bounds, seen = set(), set()
     for element in elements:
         if element.link or element.block.name not in BESIDE:
             e = element
-            while e not in around:
+            while e not in around and e not in seen:
+                seen.add(e)
                 e = e.up
-            bounds.add(e)
+            if e in around:
+                bounds.add(e)
     while root.up and root.up not in bounds:
         root = root.up
     return root
@@ -208,9 +289,9 @@ def widened(root: Element, elements: list[Element]) -> Element:
 
 def main_text(page: str) -> str:
     """The selected blocks in page order, white space in a block as one space, one line feed between blocks."""
-    nodes = text_nodes(page)
+    nodes, elements = text_nodes(page)
     blocks: dict[int, list[str]] = {}
-    for (_, block, text), keep in zip(nodes, select(nodes), strict=True):
+    for (_, block, text), keep in zip(nodes, select(nodes, elements), strict=True):
         if keep:
             blocks.setdefault(block, []).append(text)
     lines = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
