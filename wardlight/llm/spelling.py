@@ -26,7 +26,7 @@ LOSES = 31
 #: A form is so many times as frequent as its variant.
 TIMES = 10
 #: Words of a cell, and those that the planes between cells are fitted on, at most.
-CELL_WORDS, SAMPLE_WORDS = 50_000, 100_000
+CELL_WORDS, SAMPLE_WORDS = 25_000, 50_000
 #: Words of a leaf of a tree, words that a task counts before it passes them on, pairs that are looked at together.
 LEAF_WORDS, COUNTED_WORDS, PAIRS = 24, 300_000, 2_000_000
 _ALL = (1 << 64) - 1
@@ -259,7 +259,9 @@ def cell_planes(words: DataFrame, most: int = CELL_WORDS, sample_words: int = SA
     """For each length its cells (number, bits that are set, bits that are not), fitted on a bounded sample of the words."""
     sizes = {r[0]: r[1] for r in words.groupBy(F.length("word")).count().collect()}
     sample: dict[int, list[str]] = {}
-    for (word,) in words.select("word").orderBy(F.xxhash64("word"), "word").limit(sample_words).collect():
+    share = 2 * sample_words / max(1, sum(sizes.values()))   # tasks pass on about twice the sample together, not each a whole one
+    drawn = words.select("word").filter(F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int((1 << 20) * share) + 1)
+    for (word,) in drawn.orderBy(F.xxhash64("word", F.lit(1)), "word").limit(sample_words).collect():
         sample.setdefault(len(word), []).append(word)
     cells, number = {}, 0
     for size, n in sorted(sizes.items()):
