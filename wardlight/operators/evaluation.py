@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight import values as V
+from wardlight.functions.ranks import numbered_in_order
 
 
 def outcome(label: Column, level: Column) -> Column:
@@ -79,8 +80,7 @@ def listed_errors(rows: DataFrame, order: str, n: int | None = None) -> DataFram
     flagged = F.col("full_level") != "safe"
     kind = F.when((F.col("label") == 1) & ~flagged, "missed").when((F.col("label") == 0) & flagged, "false_alarm")
     wrong = rows.withColumn("error", kind).filter(F.col("error").isNotNull())
-    w = Window.partitionBy("error").orderBy(order)
-    ranked = wrong.withColumn("rank", F.row_number().over(w))
+    ranked = numbered_in_order(wrong, ["error"], [F.col(order)])
     return ranked if n is None else ranked.filter(F.col("rank") <= n)
 
 

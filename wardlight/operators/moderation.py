@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardlight import values as V
+from wardlight.functions.ranks import numbered_in_order
 from wardlight.functions.text import content_fingerprint, defang_text, mask_for_dataset
 from wardlight.operators.crowd import within_days
 
@@ -225,12 +226,13 @@ def managed_groups(managers: DataFrame, groups: DataFrame, chat: str = "chat_id"
 
 def removal_log(removals: DataFrame, as_of: Column, chat: str = "chat_id", order: str = "event_id",
                 rows: int | None = None, reason_chars: int | None = None) -> DataFrame:
-    """The removals of each group within 30 days, newest first: all, or the newest `rows` (cut before the shuffle)."""
+    """The removals of each group within 30 days, newest first: all, numbered over ranges, or the newest `rows`."""
     recent = within_days(removals, as_of, V.LOG_DAYS)
-    w = Window.partitionBy(chat).orderBy(F.desc("ts"), F.desc(order))
-    ranked = recent.withColumn("rank", F.row_number().over(w))
-    if rows is not None:
-        ranked = ranked.filter(F.col("rank") <= rows)
+    newest = [F.desc("ts"), F.desc(order)]
+    if rows is None:
+        ranked = numbered_in_order(recent, [chat], newest)
+    else:   # cut before the shuffle
+        ranked = recent.withColumn("rank", F.row_number().over(Window.partitionBy(chat).orderBy(*newest))).filter(F.col("rank") <= rows)
     reason = defang_text(F.col("reason"))
     return ranked.withColumn("reason", reason if reason_chars is None else F.left(reason, F.lit(reason_chars)))
 

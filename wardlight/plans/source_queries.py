@@ -26,14 +26,14 @@ def read_labelled(spark, d):
 
 @query("effective_text", """SELECT doc_id, md5(concat_ws(' ', CASE WHEN doc_id % 3 <> 0 THEN text ELSE 'caption ' || doc_id END,
  CASE WHEN doc_id % 2 = 0 THEN 'http://hidden.site/' || doc_id END, CASE WHEN doc_id % 5 = 0 THEN 'http://button.site' END)
- || CASE WHEN doc_id % 7 = 0 THEN chr(10) || 'image ' || doc_id ELSE '' END) AS fp FROM (SELECT doc_id, source AS text FROM documents)""")
+ || CASE WHEN doc_id % 7 = 0 THEN chr(10) || 'image ' || doc_id ELSE '' END) AS fp FROM documents""")
 def effective_text(spark, d):
     docs, key = D.table(spark, d, "documents"), F.col("doc_id")
     kind = "array<struct<type:string,url:string>>"
     link = F.array(F.struct(F.lit("text_link").alias("type"), F.concat(F.lit("http://hidden.site/"), key.cast("string")).alias("url")),
                    F.struct(F.lit("bold").alias("type"), F.lit("x").alias("url")))
     said = readers.effective_text(
-        F.when(key % 3 != 0, F.col("source")), F.concat(F.lit("caption "), key.cast("string")), F.when(key % 2 == 0, link).otherwise(F.array().cast(kind)),
+        F.when(key % 3 != 0, F.col("text")), F.concat(F.lit("caption "), key.cast("string")), F.when(key % 2 == 0, link).otherwise(F.array().cast(kind)),
         F.when(key % 5 == 0, F.array(F.lit("http://button.site"))), F.when(key % 7 == 0, F.concat(F.lit("image "), key.cast("string"))))
     return docs.select("doc_id", F.md5(said.cast("binary")).alias("fp"))
 
@@ -81,13 +81,17 @@ def indicator_previews(spark, d):
     return crowd.extract_indicators(D.messages(spark, d), "msg_id").select("msg_id", "kind", "value", "preview")
 
 
-@query("forward_indicators", f"""SELECT doc_id, 'id' || doc_id AS value, CASE WHEN doc_id % 3 = 0 THEN '@' || {_masked("'user' || doc_id", 3)} WHEN doc_id % 3 = 1
- THEN {_masked("'Name ' || source", 3)} ELSE 'Telegram' END AS preview FROM documents WHERE doc_id % 4 <> 0""")
+@query("forward_indicators", S.select(_INDICATORS, f"""SELECT msg_id, kind, value, CASE kind WHEN 'tg' THEN '@' || {_masked('substr(value, 2)', 3)}
+ WHEN 'phone' THEN {_masked('value', 6, 2)} ELSE value END AS preview FROM indicators UNION ALL
+SELECT doc_id, 'tg', 'id' || doc_id, CASE WHEN doc_id % 3 = 0 THEN '@' || {_masked("'user' || doc_id", 3)} WHEN doc_id % 3 = 1
+ THEN {_masked("'Name ' || source", 3)} ELSE 'Telegram' END AS preview FROM documents WHERE doc_id % 4 <> 0"""))
 def forward_indicators(spark, d):
-    docs, key = D.table(spark, d, "documents"), F.col("doc_id")
-    rows = docs.select("doc_id", F.lit("").alias("text"), F.when(key % 4 != 0, F.concat(F.lit("id"), key.cast("string"))).alias("fwd"),
-                       F.when(key % 3 == 0, F.concat(F.lit("@USER"), key.cast("string"))).when(key % 3 == 1, F.concat(F.lit("Name "), F.col("source"))).alias("shown"))
-    return crowd.extract_indicators(rows, "doc_id", forward_id="fwd", forward_name="shown").select("doc_id", "value", "preview")
+    """Everything that whole texts and the senders they were forwarded from give."""
+    key = F.col("msg_id")
+    m = D.messages(spark, d).join(D.table(spark, d, "documents").select(F.col("doc_id").alias("msg_id"), "source"), "msg_id")
+    rows = m.select("msg_id", "text", F.when(key % 4 != 0, F.concat(F.lit("id"), key.cast("string"))).alias("fwd"),
+                    F.when(key % 3 == 0, F.concat(F.lit("@USER"), key.cast("string"))).when(key % 3 == 1, F.concat(F.lit("Name "), F.col("source"))).alias("shown"))
+    return crowd.extract_indicators(rows, "msg_id", forward_id="fwd", forward_name="shown").select("msg_id", "kind", "value", "preview")
 
 
 _LATE = ("mark AS (SELECT max(ts) - INTERVAL 1 DAY AS w FROM checks WHERE event_id % 10 <> 0), "

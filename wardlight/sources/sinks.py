@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight import values as V
+from wardlight.functions.ranks import numbered_in_order
 
 CSV = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 FEED_HEAD = [
@@ -45,30 +46,50 @@ def export_feedback_csv(feedback: DataFrame, path: str) -> None:
 
 
 def feed_lines(feed: DataFrame, title: str, updated: Column, threshold: int = V.REPORT_THRESHOLD) -> DataFrame:
-    """(line_no, line): a # header and one domain per line. The feed itself is at most a few hundred rows."""
-    domains = feed.filter("type = 'domain'")
-    entry = F.struct("last_seen", (F.col("detections") + F.col("reporters")).alias("n"), "indicator")
-    ranked = domains.agg(F.collect_list(entry).alias("x"))
-    ordered = F.transform(F.array_sort("x", lambda a, b: (
-        F.when(a["last_seen"] > b["last_seen"], -1).when(a["last_seen"] < b["last_seen"], 1)
-        .when(a["n"] > b["n"], -1).when(a["n"] < b["n"], 1)
-        .when(a["indicator"] < b["indicator"], -1).when(a["indicator"] > b["indicator"], 1).otherwise(0))), lambda e: e["indicator"])
-    head = F.array(
-        F.lit(f"# {title}"), F.concat(F.lit("# Updated: "), updated), F.concat(F.lit("# Domains: "), F.size("x").cast("string")),
-        *[F.lit(line.format(threshold=threshold)) for line in FEED_HEAD])
-    return ranked.select(F.posexplode(F.concat(head, ordered)).alias("line_no", "line"))
+    """(line_no, line): a # header and one domain per line, newest first; lines are numbered over ranges."""
+    domains = feed.filter("type = 'domain'").withColumn("n_", F.col("detections") + F.col("reporters"))
+    order = [F.desc("last_seen"), F.desc("n_"), F.asc("indicator")]
+    head = [F.lit(f"# {title}"), F.concat(F.lit("# Updated: "), updated), F.concat(F.lit("# Domains: "), F.col("n").cast("string")),
+            *[F.lit(line.format(threshold=threshold)) for line in FEED_HEAD]]
+    top = domains.agg(F.count(F.lit(1)).alias("n")).select(F.posexplode(F.array(*head)).alias("line_no", "line"))
+    body = numbered_in_order(domains, [], order, "at_").select((F.col("at_") + (len(head) - 1)).cast("int").alias("line_no"), F.col("indicator").alias("line"))
+    return top.union(body)
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """(line_no, line) as text files; one after the other in the order of their names they are the whole list."""
+    lines.repartitionByRange("line_no").sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
 
 
 def write_feed_text(feed: DataFrame, path: str, title: str, updated: Column) -> None:
-    lines = feed_lines(feed, title, updated)
-    lines.orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(path)
+    write_lines(feed_lines(feed, title, updated), path)
+
+
+def _entry() -> Column:
+    return F.struct("indicator", "type", F.col("first_seen").cast("string").alias("first_seen"),
+                    F.col("last_seen").cast("string").alias("last_seen"), "detections", "reporters", "source")
+
+
+def feed_json_lines(feed: DataFrame, name: str, updated: Column) -> DataFrame:
+    """(line_no, line): the lines of one JSON document, an indicator a line, for a feed of any length."""
+    entries = numbered_in_order(feed.select(_entry().alias("e")), [], [F.asc("e")], "at_")
+    count = feed.agg(F.count(F.lit(1)).alias("n"))
+    text = lambda c: F.to_json(F.struct(c.alias("v")))
+    value = lambda c: F.substring(text(c), 6, 1 << 20).substr(F.lit(1), F.length(text(c)) - 6)
+    head = F.concat(F.lit('{"name":'), value(F.lit(name)), F.lit(',"updated":'), value(updated), F.lit(',"count":'), F.col("n").cast("string"), F.lit(',"indicators":['))
+    ends = count.select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("line_no"), head.alias("line")),
+                                          F.struct((F.col("n") + 1).alias("line_no"), F.lit("]}").alias("line")))).alias("x")).select("x.*")
+    comma = F.when(F.col("at_") > 1, ",").otherwise("")
+    return ends.union(entries.select(F.col("at_").alias("line_no"), F.concat(comma, F.to_json("e")).alias("line")))
+
+
+def write_feed_json(feed: DataFrame, path: str, name: str, updated: Column) -> None:
+    write_lines(feed_json_lines(feed, name, updated), path)
 
 
 def feed_document(feed: DataFrame, name: str, updated: Column) -> DataFrame:
-    """One row with the feed as JSON: name, updated, count, indicators (sorted by name)."""
-    entries = F.array_sort(F.collect_list(F.struct(
-        "indicator", "type", F.col("first_seen").cast("string").alias("first_seen"),
-        F.col("last_seen").cast("string").alias("last_seen"), "detections", "reporters", "source")))
+    """One row with a short feed as JSON: name, updated, count, indicators (sorted by name). `write_feed_json` takes any."""
+    entries = F.array_sort(F.collect_list(_entry()))
     return feed.agg(entries.alias("indicators")).select(F.to_json(F.struct(
         F.lit(name).alias("name"), updated.alias("updated"), F.size("indicators").alias("count"), "indicators")).alias("document"))
 
