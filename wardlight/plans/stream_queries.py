@@ -13,8 +13,8 @@ from wardlight.plans import datasets as D
 from wardlight.plans import sql as S
 from wardlight.plans.catalog import ORACLES, query
 from wardlight.plans.message_queries import _flat
-from wardlight.session import STATE_STORE, shared_folder
-from wardlight.streaming import jobs, state
+from wardlight.session import STATE_STORE, shared_folder, staged
+from wardlight.streaming import jobs, people, state
 
 
 def _work(spark, name: str) -> str:
@@ -108,3 +108,33 @@ def stream_notices(spark, d):
     _with_rocksdb(spark)
     noticed = state.notice_stream(_as_stream(spark, d, "events", D.events_from), ["event_type"], gap=3600, idle_seconds=None)
     return _collected(spark, noticed, "notices").select("event_id", "notify")
+
+
+@query("stream_feed_domains", ORACLES["feed_domains"])
+def stream_feed_domains(spark, d):
+    """Checks in four micro-batches to the feed, with the rule of three different people."""
+    _with_rocksdb(spark)
+    path = _work(spark, "feed")
+    checks = D.checks(spark, d)
+    for part in range(4):
+        checks.filter(F.col("event_id") % 4 == part).coalesce(1).write.parquet(f"{path}/in/{part}")
+    source = spark.readStream.schema(checks.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+    return people.feed_of(people.newest_totals(_collected(spark, people.flagged_people_stream(source), "people")))
+
+
+_AS_OF = ["2024-01-10", "2024-01-25", "2024-04-05", "2024-04-20"]
+
+
+@query("stream_report_counts", S.select(S.REPORTS, f"""SELECT a.as_of, ind, count(DISTINCT reporter) AS reporters FROM reports, (SELECT unnest({_AS_OF}) AS as_of) a
+WHERE ts >= a.as_of::TIMESTAMP - INTERVAL {V.REPORT_DAYS} DAY AND ts <= a.as_of::TIMESTAMP GROUP BY ALL"""))
+def stream_report_counts(spark, d):
+    """Reports in three micro-batches, none in order; reporters at several times, some of them forgotten by then."""
+    _with_rocksdb(spark)
+    path, reports = _work(spark, "reporters"), D.reports(spark, d).select("ind", "reporter", "ts")
+    for part in range(3):
+        reports.filter(F.pmod(F.xxhash64("ind", "reporter", "ts"), F.lit(3)) == part).coalesce(1).write.parquet(f"{path}/in/{part}")
+    reports.agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts")).select(F.lit("end").alias("ind"), F.lit("end").alias("reporter"), "ts").write.parquet(f"{path}/in/end")
+    source = spark.readStream.schema(reports.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+    changes = staged(_collected(spark, people.reporter_changes(source, late="60 days"), "changes").filter("ind <> 'end'"))
+    parts = [people.counts_at(changes, F.lit(t).cast("timestamp")).select(F.lit(t).alias("as_of"), "ind", "reporters") for t in _AS_OF]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
