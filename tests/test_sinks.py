@@ -80,3 +80,19 @@ def test_evaluation_set_and_message_stream(spark, tmp_path):
     assert dict(stream.dtypes)["ts"] == "timestamp"
     stream.writeStream.format("parquet").option("path", f"{tmp_path}/o").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/o").count() == 20
+
+
+def test_parts_of_a_verdict(spark, tmp_path):
+    from wardlight import values as V
+    from wardlight.operators import explain, verdict
+
+    bad = "Karta raqamini va sms kodni shu botga yuboring: kapital-bonus.xyz"
+    scored = verdict.score_messages(spark.createDataFrame([(1, bad), (2, "salom"), (3, None)], "msg_id long, text string"))
+    sinks.write_document(verdict.components_document(scored, "msg_id").filter("msg_id = 1").select("document"), f"{tmp_path}/d")
+    one = json.loads(read_files(f"{tmp_path}/d"))
+    assert set(one) == {"score", "level", "intent", "components"} and set(one["components"]) == {"rules", "links", "model"}
+    assert one["level"] == "dangerous" and one["components"]["model"] is None and one["components"]["rules"] > 0 and one["intent"]["kind"] == "request"
+    explained = explain.explain(scored, F.lit("en"))
+    for whole, shown in zip(explained.orderBy("msg_id").collect(), explain.shown_reasons(explained, 2).orderBy("msg_id").collect(), strict=True):
+        assert shown.reasons == whole.reasons[:2]
+    assert explain.shown_reasons(explained).agg(F.max(F.size("reasons"))).first()[0] <= V.REASONS_SHOWN
