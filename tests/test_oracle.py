@@ -9,7 +9,7 @@ from oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"train_char_lr", "stream_char_model", "out_of_fold_report", "stream_rate_limit", "stream_strikes", "stream_notices",
-        "stream_scored", "score_messages_with_model", "verdict_document", "apply_enrichment", "apply_attachments", "explain_trust"}
+        "stream_scored", "score_messages_with_model", "verdict_document", "apply_enrichment", "apply_attachments", "explain_trust", "stream_moderate"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
 
 

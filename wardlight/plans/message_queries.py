@@ -69,7 +69,33 @@ def explain_evidence(spark, d):
     return told.select("msg_id", F.array_join(F.filter("reasons", lambda r: r.isin(texts)), " | ").alias("told"))
 
 
-@query("explain_trust")
+def _brand_case(values: dict[str, str]) -> str:
+    return "CASE coalesce(brand, 'click') " + " ".join(f"WHEN {S.q(b)} THEN {S.q(v)}" for b, v in values.items()) + " END"
+
+
+_TOLD = [
+    "tx AS (SELECT * FROM (VALUES " + ", ".join(f"({S.q(k)}, {S.q(t[0])}, {S.q(t[2])})" for k, t in explain.REASONS.items()) + ") x(key, uz, ru))",
+    "v AS (SELECT *, msg_id % 2 = 0 AS russian, kind IN ('warning', 'report') AS mention FROM verdicts)",
+    """ls AS (SELECT msg_id, pos, host, brand, unnest(link_signals) AS key, generate_subscripts(link_signals, 1) AS nth FROM scored)""",
+    f"""told AS (
+ SELECT msg_id, 1 AS part, 0 AS a, 0 AS b, replace(CASE WHEN russian THEN ru ELSE uz END, '{{evidence}}', evidence) AS line FROM v, tx
+ WHERE key = 'asked' AND kind = 'request' AND level <> 'safe' AND NOT needs_context
+ UNION ALL SELECT msg_id, 2, nth, 0, CASE WHEN russian THEN ru ELSE uz END FROM (SELECT msg_id, russian, unnest(counted_rules) AS key, generate_subscripts(counted_rules, 1) AS nth
+  FROM v WHERE level <> 'safe' AND NOT needs_context AND NOT mention) JOIN tx USING (key)
+ UNION ALL SELECT msg_id, 3, pos, nth, replace(replace(replace(replace(CASE WHEN russian THEN ru ELSE uz END, '{{host}}', host), '{{tld}}', string_split(host, '.')[-1]),
+  '{{brand}}', {_brand_case({b: V.BRAND_LABELS.get(b, b.capitalize()) for b in V.OFFICIAL_DOMAINS})}), '{{real}}', {_brand_case({b: ", ".join(sorted(d)) for b, d in V.OFFICIAL_DOMAINS.items()})})
+  FROM ls JOIN tx USING (key) JOIN v USING (msg_id) WHERE level <> 'safe' AND NOT needs_context
+ UNION ALL SELECT msg_id, 4, 0, 0, CASE WHEN russian THEN ru ELSE uz END FROM v, tx WHERE key = 'needs_context' AND needs_context)""",
+    f"""risky AS (SELECT msg_id, array_to_string(list(line ORDER BY part, a, b)[1:{V.REASONS_SHOWN}], ' | ') AS reasons FROM told GROUP BY msg_id)""",
+    """sites AS (SELECT msg_id, array_to_string(list_sort(list(DISTINCT regexp_replace(host, '^www\.', '')))[1:3], ', ') AS sites FROM scored WHERE official GROUP BY msg_id)""",
+    """trusted AS (SELECT msg_id, string_agg(replace(replace(CASE WHEN russian THEN ru ELSE uz END, '{sites}', coalesce(sites, '')), '{evidence}', coalesce(evidence, '')), ' | ' ORDER BY key <> 'official_sites') AS trust
+ FROM v LEFT JOIN sites USING (msg_id), tx WHERE level = 'safe' AND (key = 'official_sites' AND sites IS NOT NULL
+ OR len(counted_rules) > 0 AND (key = 'is_warning' AND kind = 'warning' OR key = 'is_story' AND kind = 'report')) GROUP BY msg_id)""",
+]
+
+
+@query("explain_trust", S.select([S.MESSAGES, S.verdict_ctes(), *_TOLD],
+       "SELECT v.msg_id, level, coalesce(reasons, '') AS reasons, coalesce(trust, '') AS trust FROM v LEFT JOIN risky USING (msg_id) LEFT JOIN trusted USING (msg_id)"))
 def explain_trust(spark, d):
     told = explain.explain(verdict.score_messages(D.messages(spark, d)), F.when(F.col("msg_id") % 2 == 0, "ru").otherwise("uz"))
     return told.select("msg_id", "level", F.array_join(F.slice("reasons", 1, V.REASONS_SHOWN), " | ").alias("reasons"),
