@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,15 +39,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders that this thread has staged tables in.
+_MADE = threading.local()
+
+
 def staged(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read again: costly columns are computed once, and lineage starts there."""
     path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     held = df.sparkSession.read.schema(df.schema).parquet(path)
     held._staged_at = path
+    _MADE.paths = [*getattr(_MADE, "paths", []), path]
     return held
 
 
+def drop_unread(docs: DataFrame) -> None:
+    """Removes the tables that this thread has staged and that `docs`, which reads files, does not read.
+
+    For a chain of steps that hand on nothing but files: what earlier steps staged is of no use once `docs` is written.
+    """
+    files = docs.inputFiles()
+    unread = [p for p in getattr(_MADE, "paths", []) if files and not any(p in f for f in files)]
+    for path in unread:
+        where = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(docs.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    _MADE.paths = [p for p in getattr(_MADE, "paths", []) if p not in unread]
+
+
 def drop_staged(*tables: DataFrame) -> None:
     """Removes staged tables that nothing reads any more; other tables are left alone."""
     for df in tables:
