@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from wardlight.llm import chat, html_content, mixing, tier_packing, token_packing
+from wardlight.llm import chat, html_content, mixing, near_texts, tier_packing, token_packing
 from wardlight.llm.components import connected, forest
 from wardlight.llm.tokens import WordTokenizer
 
@@ -369,6 +369,52 @@ def test_copies_have_the_target_totals(spark):
     assert all(r.copies == 1 for r in out if kinds[r.doc_id] == 0 and r.good > 0.95)
 
 
+def plain_groups(texts):
+    """For each text the number of its group: similarity of five-word shingles of 0.8 or more, by comparing all pairs."""
+    from test_new_operators import shingle_set
+
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("dense", [256, 3])
+def test_near_copies_are_found(spark, monkeypatch, dense):
+    """At least nine of ten near copies go, and nothing else does."""
+    monkeypatch.setattr(near_texts, "DENSE", dense)
+    rng = random.Random(11)
+    rows = [*ROWS]
+    for base in range(40):
+        text = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 300))]
+        for copy in range(rng.randint(1, 4)):
+            now = list(text)
+            for _ in range(rng.randint(0, len(text) // 50)):
+                now[rng.randrange(len(now))] = f"x{rng.randrange(10**6)}"
+            rows.append((10_000 + 10 * base + copy, " ".join(now), "s"))
+    label = plain_groups([t for _, t, _ in rows])
+    kept = Counter((r.doc_id, r.text) for r in near_texts.keep_one(frame(spark, rows)).collect())
+    groups = defaultdict(list)
+    for (i, t, _), c in zip(rows, label, strict=True):
+        groups[c].append((i, t))
+    gone = Counter((i, t) for i, t, _ in rows)
+    gone.subtract(kept)
+    assert min(gone.values()) >= 0
+    wanted = sum(len(g) - 1 for g in groups.values())
+    assert 0.9 * wanted <= sum(gone.values()) <= wanted and wanted > 40
+    for g in groups.values():
+        assert any(kept[x] for x in g)
+    assert near_texts.keep_one(frame(spark, [])).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     rows, labels = labelled(spark, 200)
     odd = [(i if i is None else i + 10_000, t, h) for i, t, h in ROWS]
@@ -376,7 +422,7 @@ def test_pipeline(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([x[:3] for x in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "mixing", "packing"]
-    from test_text_operators import plain_components, plain_exact, plain_fingerprint, plain_lines, plain_quality
+    from test_text_operators import plain_exact, plain_lines, plain_quality
     import re
 
     held, now = docs, [*rows, *odd]
@@ -398,7 +444,7 @@ def test_pipeline(spark, tmp_path):
                     kept.append(r)
             now = kept
         else:
-            label = plain_components([plain_fingerprint(t) for _, t, _ in now])
+            label = plain_groups([t for _, t, _ in now])
             now = [min((r for r, d in zip(now, label, strict=True) if d == c), key=lambda r: (r[0] is None, r[0] or 0)) for c in set(label)]
         assert sorted(Counter((r.doc_id, r.text) for r in held.collect()).items(), key=repr) == sorted(Counter((i, t) for i, t, _ in now).items(), key=repr)
     mixed = corpus_pipeline.mix_domains(spark, held, str(tmp_path)).persist()

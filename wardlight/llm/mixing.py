@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -203,7 +204,8 @@ def fit_rates(predicted: DataFrame, weights: dict[str, float] | None = None, ref
     Minimised are the squared differences between expected domain totals and their targets, as shares of all tokens, and
     NEARNESS times the documents' squared distances from a rate of 1, weighted by tokens. Its dual has one price per
     domain and is solved by second-order steps. A step is one pass over the table that adds up a few numbers per domain
-    in the tasks; only those come to the driver. It ends when no rate is further than ENOUGH from the best. With `refit`
+    in the tasks; only those come to the driver. It ends when no rate is further than ENOUGH from the best, or with a warning
+    when no step helps any more. With `refit`
     the rates that came near to 1 are then 1, and all prices but that of good text are fitted again.
     """
     k, share = len(DOMAINS), np.array([{**WEIGHTS, **(weights or {})}[d] for d in DOMAINS])
@@ -223,7 +225,8 @@ def fit_rates(predicted: DataFrame, weights: dict[str, float] | None = None, ref
             sums = totals(prices, tried) / whole
             values = sums[:, 0] + [target @ x + NEARNESS / 2 * (x @ x) for x in tried]
             at = int(values.argmin())
-            if values[at] >= best:
+            if values[at] >= best:   # no step is better by more than rounding
+                warnings.warn(f"the rates are within {np.abs(slope).max() / NEARNESS:.3g} of the best, not within {ENOUGH}", stacklevel=2)
                 break
             price, best = tried[at], values[at]
             slope = (NEARNESS * price + target - sums[at, 1 : 1 + k])[fixed:]
