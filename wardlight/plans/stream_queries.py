@@ -24,9 +24,7 @@ def _work(spark, name: str) -> str:
 
 def _as_stream(spark, d: str, name: str, build) -> DataFrame:
     """`build` (a function of datasets) over `name` read as a stream of files."""
-    schema = D.table(spark, d, name).schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
-    return build(spark, d, source)
+    return build(spark, d, D.table_stream(spark, d, name))
 
 
 def _collected(spark, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -73,7 +71,7 @@ def stream_scored(spark, d):
 def stream_wave_dedupe(spark, d):
     docs = _as_stream(spark, d, "documents", lambda s, p, source: source.select(
         "doc_id", "text", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 1440 * 60).alias("ts")))   # all within one day
-    return _collected(spark, jobs.drop_wave_copies(docs).select("doc_id", "fp"), "waves").agg(F.count("*").alias("waves"))
+    return _collected(spark, jobs.drop_wave_copies(docs).select("doc_id", "fp"), "waves").agg(F.count("fp").alias("waves"))   # as in SQL, a null text is no wave
 
 
 @query("stream_newcomers", S.select([S.EVENTS, A._NEW], "SELECT event_id AS msg_id FROM nc JOIN e USING (event_id) WHERE event_type <> 'signup'"))
