@@ -409,10 +409,10 @@ def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return info, staged(sent.repartition("block").sortWithinPartitions("block").mapInArrow(_gather, "node long, n long, single long, keys binary"))
 
 
-def links(held: DataFrame) -> DataFrame:
+def links(held: DataFrame, few: int = SMALL) -> DataFrame:
     """(u, v): links whose components are those of all links between the sets of `held`.
 
-    All pairs of a prefix key with few rows that pass the filters are verified. In a key with many, each row is compared with
+    All pairs of a prefix key with `few` rows that pass the filters are verified. In a key with many, each row is compared with
     two of them first, so that near copies of one text, however many, fall into one component without all their pairs; then
     pairs that are still in different components are looked at in tiles of bounded size, which hold the sets themselves.
     """
@@ -420,7 +420,7 @@ def links(held: DataFrame) -> DataFrame:
     rows = staged(rows)
     kinds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     rows = staged(split_join(rows, kinds, ["key"]))
-    small, large = rows.filter(F.col("m") <= SMALL).withColumn("label", F.col("node")), rows.filter(F.col("m") > SMALL)
+    small, large = rows.filter(F.col("m") <= few).withColumn("label", F.col("node")), rows.filter(F.col("m") > few)
     pairs = small.repartition("key").sortWithinPartitions("key").mapInArrow(_small, "u long, v long")
     found = verified(pairs.union(star_pairs(large)).distinct(), held).filter("good").select("u", "v")
     if not large.head(1):
