@@ -7,7 +7,7 @@ back is all that a join and its verification need, and documents whose prefix ho
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -393,13 +393,16 @@ def replayable(df: DataFrame) -> DataFrame:
     return df if "Exchange" not in plan and "Scan" in plan else staged(df)
 
 
-def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, doc_id, n, digest of every document; node, n, single, keys of one document per set that can have a partner)."""
+def counted(docs: DataFrame, write: Callable[[DataFrame], DataFrame] = staged) -> tuple[DataFrame, DataFrame]:
+    """(node, doc_id, n, digest of every document; node, n, single, keys of one document per set that can have a partner).
+
+    `write` stages what reads the texts; blocks end where batches do.
+    """
     spark = docs.sparkSession
     parts = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = replayable(documents(docs)).mapInArrow(_ask(parts), ASKED)
     to = F.when(F.col("part") < 0, F.hash("block")).otherwise(F.col("part"))
-    sent = staged(asked.repartition(to).sortWithinPartitions("part").mapInArrow(_count, ASKED))
+    sent = write(asked.repartition(to).sortWithinPartitions("part").mapInArrow(_count, ASKED))
     info = staged(sent.filter(F.col("part") == INFO).mapInArrow(_read_info, "node long, doc_id long, n long, digest binary"))
     first = info.filter("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.first("n").alias("n"))
     chosen = first.groupBy(F.shiftright("node", 16).alias("block")).agg(F.collect_list(F.struct("node", "n")).alias("chosen"))
