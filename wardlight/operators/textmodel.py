@@ -35,9 +35,8 @@ class CharTfidf(Estimator, _Settings, DefaultParamsReadable, DefaultParamsWritab
     """Learns the document frequencies of character n-grams."""
 
     def _fit(self, rows: DataFrame) -> CharTfidfModel:
-        counts = models.term_counts(rows, self.at("keyCol"), self.at("textCol"))
         made = CharTfidfModel(**{name: self.at(name) for name in ("keyCol", "textCol", "outputCol", "size")})
-        made.idf = models.fitted_idf(counts, rows.count())
+        made.idf = models.fitted_idf(models.document_frequency(rows, self.at("textCol")), rows.count())
         return made
 
 
@@ -65,9 +64,8 @@ class CharTfidfModel(Model, _Settings, MLWritable, MLReadable):
     idf: DataFrame
 
     def weights(self, rows: DataFrame) -> DataFrame:
-        """(key, gram, weight) of each text's known grams."""
-        key = self.at("keyCol")
-        return models.weighted(models.term_counts(rows, key, self.at("textCol")), self.idf, key)
+        """(key, at, w): places and weights of each text's known grams."""
+        return models.weighted(rows, self.idf, self.at("keyCol"), self.at("textCol"), self.at("size"))
 
     def _transform(self, rows: DataFrame) -> DataFrame:
         key, out, size = self.at("keyCol"), self.at("outputCol"), self.at("size")
