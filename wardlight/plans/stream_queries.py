@@ -108,15 +108,18 @@ def stream_notices(spark, d):
     return _collected(spark, noticed, "notices").select("event_id", "notify")
 
 
+#: Files of a micro-batch, so that it is read by as many tasks.
+FILES = 12
+
+
 @query("stream_feed_domains", ORACLES["feed_domains"])
 def stream_feed_domains(spark, d):
     """Checks in four micro-batches to the feed, with the rule of three different people."""
     _with_rocksdb(spark)
     path = _work(spark, "feed")
     checks = D.checks(spark, d)
-    for part in range(4):
-        checks.filter(F.col("event_id") % 4 == part).coalesce(1).write.parquet(f"{path}/in/{part}")
-    source = spark.readStream.schema(checks.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+    checks.repartition(4 * FILES).write.parquet(f"{path}/in")
+    source = spark.readStream.schema(checks.schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/in")
     return people.feed_of(people.newest_totals(_collected(spark, people.flagged_people_stream(source), "people")))
 
 

@@ -13,24 +13,6 @@ from wardlight import values as V
 from wardlight.operators import radar
 
 
-class _SeenPerson(StatefulProcessor):
-    """Of a (domain, person): what a micro-batch brought, and whether the person is new to the domain."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("known", "yes boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        new = key[1] is not None and not pd.isna(key[1]) and not self.known.exists()
-        if new:
-            self.known.update((True,))
-        yield pd.DataFrame({"domain": [key[0]], "first": [int(batch["day_"].min())], "last": [int(batch["day_"].max())], "hits": [len(batch)],
-                            "confirmed": [bool(batch["confirmed"].fillna(False).any())], "people": [int(new)]})
-
-    def close(self) -> None:
-        pass
-
-
 class _DomainTotals(StatefulProcessor):
     """Of a domain: its totals after each micro-batch that touched it."""
 
@@ -38,9 +20,13 @@ class _DomainTotals(StatefulProcessor):
         self.totals = handle.getValueState("totals", "first int, last int, hits long, confirmed boolean, people long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        first, last, hits = int(batch["first"].min()), int(batch["last"].max()), int(batch["hits"].sum())
-        confirmed, people = bool(batch["confirmed"].any()), int(batch["people"].sum())
+        first, last, hits, confirmed, people = None, None, 0, False, 0
+        for batch in rows:   # a domain that everybody meets is never held whole
+            days = batch["day_"].dropna()
+            if len(days):
+                first, last = (int(days.min()), int(days.max())) if first is None else (min(first, int(days.min())), max(last, int(days.max())))
+            hits, people = hits + int(batch["hits"].sum()), people + int(batch["people"].sum())
+            confirmed = confirmed or bool(batch["confirmed"].fillna(False).any())
         if self.totals.exists():
             f, l, h, c, p = self.totals.get()
             first, last, hits, confirmed, people = min(first, f), max(last, l), hits + h, confirmed or c, people + p
@@ -57,12 +43,15 @@ _TOTALS = "domain string, first int, last int, hits long, confirmed boolean, peo
 def flagged_people_stream(checks: DataFrame) -> DataFrame:
     """A stream of checks to the totals of each domain that a micro-batch changed: domain, first_seen, last_seen, hits, confirmed, people.
 
-    People are told apart exactly by a state for each (domain, person), which spreads a domain that everybody meets; the
-    totals behind it get one row a person. The totals of a domain with most hits are its newest: see `newest_totals`.
+    People are told apart exactly by Spark's own state of distinct (domain, person), which spreads a domain that everybody
+    meets and calls no Python. The totals behind it are called once for a domain and micro-batch; its rows stream through.
+    The totals of a domain with most hits are its newest: see `newest_totals`.
     """
     seen = radar.domain_sightings(checks).select("domain", "person", "confirmed", F.datediff("day", F.lit("1970-01-01")).alias("day_"))
-    persons = seen.groupBy("domain", "person").transformWithStateInPandas(_SeenPerson(), _TOTALS, "append", "none")
-    totals = persons.groupBy("domain").transformWithStateInPandas(_DomainTotals(), _TOTALS, "append", "none")
+    rows = seen.select("domain", "day_", "confirmed", F.lit(1).alias("hits"), F.lit(0).alias("people"))
+    persons = seen.filter("person IS NOT NULL").dropDuplicates(["domain", "person"]).select(
+        "domain", F.lit(None).cast("int").alias("day_"), F.lit(False).alias("confirmed"), F.lit(0).alias("hits"), F.lit(1).alias("people"))
+    totals = rows.union(persons).groupBy("domain").transformWithStateInPandas(_DomainTotals(), _TOTALS, "append", "none")
     day = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), F.col(c))
     return totals.select("domain", day("first").alias("first_seen"), day("last").alias("last_seen"), "hits", "confirmed", "people")
 
