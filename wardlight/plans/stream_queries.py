@@ -133,9 +133,9 @@ def stream_report_counts(spark, d):
     _with_rocksdb(spark)
     path, reports = _work(spark, "reporters"), D.reports(spark, d).select("ind", "reporter", "ts")
     for part in range(3):
-        reports.filter(F.pmod(F.xxhash64("ind", "reporter", "ts"), F.lit(3)) == part).coalesce(1).write.parquet(f"{path}/in/{part}")
+        reports.filter(F.pmod(F.xxhash64("ind", "reporter", "ts"), F.lit(3)) == part).repartition(FILES).write.parquet(f"{path}/in/{part}")
     reports.agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts")).select(F.lit("end").alias("ind"), F.lit("end").alias("reporter"), "ts").write.parquet(f"{path}/in/end")
-    source = spark.readStream.schema(reports.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+    source = spark.readStream.schema(reports.schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/in/*")
     changes = staged(_collected(spark, people.reporter_changes(source, late="60 days"), "changes").filter("ind <> 'end'"))
     parts = [people.counts_at(changes, F.lit(t).cast("timestamp")).select(F.lit(t).alias("as_of"), "ind", "reporters") for t in _AS_OF]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])

@@ -69,10 +69,10 @@ def feed_of(totals: DataFrame, min_people: int = V.FEED_MIN_PEOPLE, limit: int |
 
 
 class _Reporting(StatefulProcessor):
-    """Of an (indicator, reporter): when the reporter begins to count and when it is forgotten.
+    """Of the (indicator, reporter) of a slot: when the reporter begins to count and when it is forgotten.
 
-    Times wait until the watermark has passed them. A timer stands at the end of the period that the newest report opens;
-    when it fires, the reporter is taken back and nothing is kept.
+    Times wait until the watermark has passed them. A timer stands at the first time that waits or period that ends; when it
+    fires, what is due is settled for the whole slot at once, and of reporters that were taken back nothing is kept.
     """
 
     def __init__(self, window: int):
@@ -80,53 +80,66 @@ class _Reporting(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting, self.until = handle.getListState("waiting", "at long"), handle.getValueState("until", "at long")
+        self.waiting = handle.getListState("waiting", "ind array<string>, reporter array<string>, at array<long>")
+        self.until = handle.getValueState("until", "ind array<string>, reporter array<string>, at array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = [t for batch in rows for t in batch["at_"].astype("int64").tolist()]
-        self.waiting.appendList([(t,) for t in times])
-        self.handle.registerTimer(min(times) // 1000 + 1)
+        first = None
+        for batch in rows:
+            times = batch["at_"].astype("int64").tolist()
+            self.waiting.appendValue((batch["ind"].tolist(), batch["reporter"].tolist(), times))
+            first = min(times) if first is None else min(first, min(times))
+        self.handle.registerTimer(first // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = 1000 * timerValues.getCurrentWatermarkInMs()
-        times = sorted(t for (t,) in self.waiting.get()) if self.waiting.exists() else []
-        later = [t for t in times if t >= now]
-        until = self.until.get()[0] if self.until.exists() else None
+        chunks = list(self.waiting.get()) if self.waiting.exists() else []
+        kept = self.until.get() if self.until.exists() else ((), (), ())
+        until = {(i, r): t for i, r, t in zip(*kept)}
+        rows = [row for chunk in chunks for row in zip(*chunk)]
+        later = [row for row in rows if row[2] >= now]
         changes = []
-        for t in times[: len(times) - len(later)]:
-            if until is not None and t > until:
-                changes.append((until, -1))
-                until = None
-            if until is None:
-                changes.append((t, 1))
-            until = max(until or 0, t + self.window)
-        if until is not None and until < now:
-            changes.append((until, -1))
-            until = None
-        if until is None:
-            self.until.clear()
-        else:
-            self.until.update((until,))
-            self.handle.registerTimer(until // 1000 + 1)
-        if later:
-            self.waiting.put([(t,) for t in later])
-            self.handle.registerTimer(later[0] // 1000 + 1)
-        else:
-            self.waiting.clear()
+        for i, r, t in sorted((row for row in rows if row[2] < now), key=lambda row: row[2]):
+            end = until.get((i, r))
+            if end is not None and t > end:
+                changes.append((i, end, -1))
+                end = None
+            if end is None:
+                changes.append((i, t, 1))
+            until[i, r] = max(end or 0, t + self.window)
+        changes += [(i, t, -1) for (i, _), t in until.items() if t < now]
+        left = [(i, r, t) for (i, r), t in until.items() if t >= now]
+        for state, held in ((self.until, left), (self.waiting, later)):
+            if not held:
+                state.clear()
+            elif state is self.until:
+                state.update(tuple(list(c) for c in zip(*held)))
+            elif len(later) < len(rows):
+                state.put([tuple(list(c) for c in zip(*held))])
+        if left or later:
+            self.handle.registerTimer(min(t for _, _, t in left + later) // 1000 + 1)
         if changes:
-            at, change = zip(*changes, strict=True)
-            yield pd.DataFrame({"ind": [key[0]] * len(at), "at": at, "change": change})
+            ind, at, change = zip(*changes, strict=True)
+            yield pd.DataFrame({"ind": ind, "at": at, "change": change})
 
     def close(self) -> None:
         pass
 
 
-def reporter_changes(reports: DataFrame, days: int = V.REPORT_DAYS, late: str = "1 day") -> DataFrame:
+#: Keys of the state. A micro-batch calls Python for each at most once or twice, however many reporters there are.
+SLOTS = 2048
+
+
+def reporter_changes(reports: DataFrame, days: int = V.REPORT_DAYS, late: str = "1 day", slots: int = SLOTS) -> DataFrame:
     """A stream of reports (ind, reporter, ts) to changes (ind, at, change): a reporter that counts from then on, or no longer
-    after then. Out of date reporters are taken back by timers, so the state holds those of the last `days` alone."""
-    rows = reports.filter("ind IS NOT NULL AND reporter IS NOT NULL").withWatermark("ts", late).select("ind", "reporter", "ts", F.unix_micros("ts").alias("at_"))
-    changed = rows.groupBy("ind", "reporter").transformWithStateInPandas(_Reporting(days * V.DAY_SECONDS * 1_000_000), "ind string, at long, change int", "append", "EventTime")
+    after then. Out of date reporters are taken back by timers, so the state holds those of the last `days` alone.
+
+    A key of the state is a slot of (ind, reporter) by hash, so an indicator that everybody reports is spread over all slots.
+    """
+    slot = F.pmod(F.xxhash64("ind", "reporter"), F.lit(slots)).cast("int")
+    rows = reports.filter("ind IS NOT NULL AND reporter IS NOT NULL").withWatermark("ts", late).select(slot.alias("slot"), "ind", "reporter", "ts", F.unix_micros("ts").alias("at_"))
+    changed = rows.groupBy("slot").transformWithStateInPandas(_Reporting(days * V.DAY_SECONDS * 1_000_000), "ind string, at long, change int", "append", "EventTime")
     return changed.select("ind", F.timestamp_micros("at").alias("at"), "change")
 
 
