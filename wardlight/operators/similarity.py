@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,13 +71,13 @@ def similar_pairs(queries: DataFrame, reports: DataFrame, threshold: float, pivo
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reach = np.array([radius.get(p, -np.inf) for p in range(len(centres))]) + theta + _SLACK
         for batch in batches:
-            rows, cells = np.nonzero(_angles(_stack(batch["vec"]), centres) <= reach)
-            out = batch.iloc[rows].reset_index(drop=True)
-            yield out.assign(pivot=cells.astype("int32"))
+            near = _angles(_stack(batch["vec"]), centres) <= reach
+            yield batch.assign(pivots=[np.flatnonzero(row).astype("int32") for row in near])
 
-    sent = queries.mapInPandas(visits, "query_id string, vec array<double>, pivot int")
+    # A vector goes to Spark once; its copies for the groups are made there.
+    sent = queries.mapInPandas(visits, "query_id string, vec array<double>, pivots array<int>").select("query_id", "vec", F.explode("pivots").alias("pivot"))
     # Both sides of a group are cut into blocks: reports by the parts counted above, queries by as many parts as
-    # their own count asks for. A cell therefore holds a bounded number of rows on either side.
+    # their own count asks for. A task holds a cell's reports, a bounded number, and streams its queries past them.
     visited = sent.groupBy("pivot").count().collect()   # <= pivots rows
     query_parts = {g["pivot"]: -(-g["count"] // (16 * block)) for g in visited}
     number = lambda sizes: F.element_at(F.create_map(*[
@@ -86,20 +87,44 @@ def similar_pairs(queries: DataFrame, reports: DataFrame, threshold: float, pivo
     right = placed.drop("angle").withColumn("rpart", F.pmod(F.xxhash64("report_id"), number(parts))).withColumn(
         "qpart", F.explode(F.sequence(F.lit(0).cast("long"), number(query_parts).cast("long") - 1)))
 
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "report_id": [], "cosine": []})
-        theirs, out = _stack(b["vec"]), []
-        for at in range(0, len(a), 1024):
-            part = a.iloc[at:at + 1024]
-            cosine = _stack(part["vec"]) @ theirs.T
-            rows, cols = np.nonzero(cosine >= threshold)
-            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[rows],
-                                     "report_id": b["report_id"].to_numpy()[cols], "cosine": cosine[rows, cols]}))
-        return pd.concat(out)
-
     cell = ["pivot", "rpart", "qpart"]
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(match, empty)
+    side = lambda rows, ident, first: rows.select(*cell, F.lit(first).alias("side"), F.col(ident).alias("id"), "vec")
+    both = side(right, "report_id", 0).unionByName(side(left, "query_id", 1))
+    return both.repartition(*cell).sortWithinPartitions(*cell, "side").mapInArrow(_matches(threshold), empty)
+
+
+#: Queries multiplied at once, and pairs that leave a task at once.
+_ROWS, _PAIRS = 256, 1 << 16
+
+
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _matches(threshold: float):
+    """Pairs of each cell, whose reports come before its queries. Memory does not grow with the queries or with the matches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            where = np.stack([batch.column(c).to_numpy() for c in ("pivot", "rpart", "qpart", "side")], axis=1)
+            starts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]).any(axis=1)])
+            for start, end in zip(starts, [*starts[1:], len(where)], strict=True):
+                here, rows = tuple(where[start][:3]), batch.slice(start, end - start)
+                if here != at:
+                    at, held = here, []
+                if not where[start][3]:
+                    held.append((rows.column("id"), _vectors(rows)))
+                    continue
+                for i in range(0, rows.num_rows, _ROWS):
+                    part = rows.slice(i, _ROWS)
+                    for ids, theirs in held:
+                        cosine = _vectors(part) @ theirs.T
+                        own, other = np.nonzero(cosine >= threshold)
+                        for k in range(0, len(own), _PAIRS):
+                            q, r = own[k:k + _PAIRS], other[k:k + _PAIRS]
+                            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(q)), ids.take(pa.array(r)), pa.array(cosine[q, r])],
+                                                             names=["query_id", "report_id", "cosine"])
+    return run
 
 
 def similar_reporters(queries: DataFrame, reports: DataFrame, threshold: float = V.SAME_SCAM_AT,
