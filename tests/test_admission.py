@@ -73,3 +73,19 @@ def test_stream_of_several_batches(spark, tmp_path):
     out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").collect()
     assert sorted((r.event_id, r.admitted, r.retry_after, r.refused_by) for r in got) == coupled(rows, (4, 15), (6, 15))
+
+
+@pytest.mark.parametrize("piece_rows", [1, 60, 400, 10_000])
+def test_pieces_follow_the_rows(spark, piece_rows):
+    rows = never_silent()
+    got = admission.admission(frame(spark, rows), ["visitor"], per_visitor=(4, 15), overall=(6, 15), piece_rows=piece_rows).collect()
+    assert sorted((r.event_id, r.admitted, r.retry_after, r.refused_by) for r in got) == coupled(rows, (4, 15), (6, 15))
+
+
+def test_rounds_do_not_grow_with_the_time_line(spark, monkeypatch):
+    """A line that is full at all times hands every change on, so its rounds are as many as its pieces."""
+    rows, passes, before = [(i, 7 * i, None) for i in range(400)], [], admission.staged
+    monkeypatch.setattr(admission, "staged", lambda df: passes.append(1) or before(df))
+    got = admission.limited_in_pieces(frame(spark, rows), 3, 30, []).collect()
+    assert sorted((r.event_id, r.admitted, r.retry_after) for r in got) == loop(rows, 3, 30)
+    assert len(passes) == 1
