@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import documents, each_batch, fresh_name, numbered, staged_texts
+from wardlight.llm.common import documents, each_batch, fresh_name, given_back, numbered, staged_texts
 
 DOMAINS = ("good", "poor", "toxic")
 #: Labelled rows that the classifier is fitted on, at most: those with the least hash of their id.
@@ -194,7 +194,7 @@ def _totals(prices: list[np.ndarray], tried: list[np.ndarray]):
 def _summed(rows: DataFrame, step, *shape: int) -> np.ndarray:
     """The sum of what `step` adds up in each task."""
     names = [f"s{i}" for i in range(int(np.prod(shape)))]
-    row = rows.mapInArrow(step, ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
+    row = rows.mapInArrow(given_back(step), ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
     return np.array([x or 0.0 for x in row]).reshape(shape)
 
 
@@ -274,7 +274,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     """
     predicted = staged_texts(predict(docs, train(docs, labels), number))
     prices = fit_rates(predicted, weights, refit=True)
-    rated = predicted.mapInArrow(_rater(prices), predicted.schema.simpleString()[7:-1].replace(":", " ") + ", rate double")
+    rated = predicted.mapInArrow(given_back(_rater(prices)), predicted.schema.simpleString()[7:-1].replace(":", " ") + ", rate double")
     rated = rated.withColumn("draw", F.pmod(F.xxhash64("mark", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30))
     drawn = (F.col("draw") + draw_start(rated)) % 1.0
     return rated.withColumn("copies", F.floor(F.col("rate") + drawn).cast("long")).drop("draw", "mark")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import documents, split_join, staged
+from wardlight.llm.common import documents, given_back, split_join, staged
 from wardlight.llm.components import connected
 
 #: Words of a shingle. Two documents link at a Jaccard similarity of at least 4/5.
@@ -384,7 +384,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """u, v, good of each pair of nodes, by the whole sets."""
     side = lambda c: held.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("keys").alias(f"keys_{c}"))
-    return staged(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(_verify, "u long, v long, good boolean"))
+    return staged(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(given_back(_verify), "u long, v long, good boolean"))
 
 
 def replayable(df: DataFrame) -> DataFrame:
@@ -400,16 +400,16 @@ def counted(docs: DataFrame, write: Callable[[DataFrame], DataFrame] = staged) -
     """
     spark = docs.sparkSession
     parts = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = replayable(documents(docs)).mapInArrow(_ask(parts), ASKED)
+    asked = replayable(documents(docs)).mapInArrow(given_back(_ask(parts)), ASKED)
     to = F.when(F.col("part") < 0, F.hash("block")).otherwise(F.col("part"))
-    sent = write(asked.repartition(to).sortWithinPartitions("part").mapInArrow(_count, ASKED))
-    info = staged(sent.filter(F.col("part") == INFO).mapInArrow(_read_info, "node long, doc_id long, n long, digest binary"))
+    sent = write(asked.repartition(to).sortWithinPartitions("part").mapInArrow(given_back(_count), ASKED))
+    info = staged(sent.filter(F.col("part") == INFO).mapInArrow(given_back(_read_info), "node long, doc_id long, n long, digest binary"))
     first = info.filter("n > 0").groupBy("digest").agg(F.min("node").alias("node"), F.first("n").alias("n"))
     chosen = first.groupBy(F.shiftright("node", 16).alias("block")).agg(F.collect_list(F.struct("node", "n")).alias("chosen"))
     none = F.lit(None).cast("array<struct<node:long,n:long>>").alias("chosen")
     sent = sent.filter(F.col("part") != INFO).select("*", none).unionByName(chosen.select(
         "block", F.lit(0).alias("part"), F.lit(None).cast("binary").alias("data"), "chosen"))
-    return info, staged(sent.repartition("block").sortWithinPartitions("block").mapInArrow(_gather, "node long, n long, single long, keys binary"))
+    return info, staged(sent.repartition("block").sortWithinPartitions("block").mapInArrow(given_back(_gather), "node long, n long, single long, keys binary"))
 
 
 def links(held: DataFrame, few: int = SMALL) -> DataFrame:
@@ -419,12 +419,12 @@ def links(held: DataFrame, few: int = SMALL) -> DataFrame:
     two of them first, so that near copies of one text, however many, fall into one component without all their pairs; then
     pairs that are still in different components are looked at in tiles of bounded size, which hold the sets themselves.
     """
-    rows = held.mapInArrow(_prefixes, PREFIX)
+    rows = held.mapInArrow(given_back(_prefixes), PREFIX)
     rows = staged(rows)
     kinds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     rows = staged(split_join(rows, kinds, ["key"]))
     small, large = rows.filter(F.col("m") <= few).withColumn("label", F.col("node")), rows.filter(F.col("m") > few)
-    pairs = small.repartition("key").sortWithinPartitions("key").mapInArrow(_small, "u long, v long")
+    pairs = small.repartition("key").sortWithinPartitions("key").mapInArrow(given_back(_small), "u long, v long")
     found = verified(pairs.union(star_pairs(large)).distinct(), held).filter("good").select("u", "v")
     if not large.head(1):
         return found
@@ -437,7 +437,7 @@ def links(held: DataFrame, few: int = SMALL) -> DataFrame:
     tile = F.least("own", "other").cast("long") * F.col("tiles") + F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
     dealt = dealt.select("key", "node", "n", "single", "place", "suffix", "label", tile.alias("tile"), side.alias("side")).join(held.select("node", "keys"), "node")
-    return found.union(dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_tiles, "u long, v long"))
+    return found.union(dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(given_back(_tiles), "u long, v long"))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
