@@ -42,3 +42,11 @@ def test_links_after_letters_of_other_alphabets(spark, tmp_path, name):
 def test_link_edges(spark):
     df = spark.createDataFrame([("éoument.hrfkl",), ("x_c.site",), ("a-b.top",)], "text string")
     assert [[u.host for u in r.u] for r in df.select(urls_in(df.text).alias("u")).collect()] == [["oument.hrfkl"], [], ["a-b.top"]]
+
+
+def test_effective_text_of_odd_texts(spark, tmp_path):
+    """White space around a text stays; null and empty texts, with and without links and images, are as in the SQL."""
+    texts = ["text", " led by a space", "ends in one ", "", None, "\n", "  "]
+    write(spark, tmp_path, [(i, texts[i % 7 if i < 210 else (i + i // 7) % 7], "en", "s", 1) for i in range(420)] + [(None, "x", "en", "s", 1)])
+    ok, text = compared(spark, tmp_path, "effective_text")
+    assert ok, text

@@ -33,7 +33,7 @@ def effective_text(spark, d):
     link = F.array(F.struct(F.lit("text_link").alias("type"), F.concat(F.lit("http://hidden.site/"), key.cast("string")).alias("url")),
                    F.struct(F.lit("bold").alias("type"), F.lit("x").alias("url")))
     said = readers.effective_text(
-        F.when(key % 3 != 0, F.col("text")), F.concat(F.lit("caption "), key.cast("string")), F.when(key % 2 == 0, link).otherwise(F.array().cast(kind)),
+        F.when(key % 3 != 0, F.col("text")), F.when(key % 3 == 0, F.concat(F.lit("caption "), key.cast("string"))), F.when(key % 2 == 0, link).otherwise(F.array().cast(kind)),
         F.when(key % 5 == 0, F.array(F.lit("http://button.site"))), F.when(key % 7 == 0, F.concat(F.lit("image "), key.cast("string"))))
     return docs.select("doc_id", F.md5(said.cast("binary")).alias("fp"))
 
