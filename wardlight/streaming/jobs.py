@@ -17,6 +17,7 @@ from wardlight import values as V
 from wardlight.functions.text import content_fingerprint
 from wardlight.operators import radar, textmodel
 from wardlight.operators.verdict import score_messages
+from wardlight.session import shuffles_dropped
 
 LATE = "1 day"
 
@@ -106,6 +107,7 @@ def model_score_stream(messages: DataFrame, folder: str, write: Callable[[DataFr
         if newest not in held:
             held.clear()
             held[newest] = textmodel.load_version(batch.sparkSession, folder, newest)
-        write(textmodel.char_proba(batch, held[newest], out), batch_id)
+        with shuffles_dropped(batch.sparkSession):
+            write(textmodel.char_proba(batch, held[newest], out), batch_id)
 
     return messages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
