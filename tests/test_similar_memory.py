@@ -40,3 +40,23 @@ def test_queries_leave_python_once(spark):
     want = {(str(i), str(j)) for i, j in zip(*np.nonzero(v @ v.T >= 0.5), strict=True)}
     got = pairs.select("query_id", "report_id", F.col("cosine")).collect()
     assert {(r[0], r[1]) for r in got} == want and len(got) == len(want)
+
+
+def test_vectors_are_not_copied_for_the_blocks_they_meet(spark):
+    """What is written grows with the vectors, not with the blocks that each of them meets."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(400, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(str(i), x.tolist()) for i, x in enumerate(v)], "id string, vec array<double>")
+    pairs = similarity.similar_pairs(df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "report_id"), 0.5, pivots=8, block=20)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Generate" not in plan
+    want = {(str(i), str(j)) for i, j in zip(*np.nonzero(v @ v.T >= 0.5), strict=True)}
+    for limit in ("10485760", "-1"):   # one side sent to all tasks, and both sides in parts
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            got = [(r[0], r[1]) for r in pairs.select("query_id", "report_id").collect()]
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert set(got) == want and len(got) == len(want)

@@ -3,8 +3,7 @@
 Vectors have unit length, so "cosine at least t" is "angle at most θ". Reports are grouped around pivot
 vectors; each group knows its radius, and by the triangle inequality a query only needs the groups with
 angle(query, pivot) <= radius + θ. That never loses a pair, whatever the data looks like; tight data (waves of
-near-copies) just visits fewer groups. Inside a group, blocks of bounded size are multiplied; only matches leave
-the task. Equal vectors are folded before any of this, so a wave of copies is one row with many reporters.
+near-copies) just visits fewer groups. Blocks of bounded size meet and are multiplied; only matches leave the task. Equal vectors are folded before any of this, so a wave of copies is one row with many reporters.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from wardlight import values as V
 from wardlight.functions.patterns import bind
+from wardlight.session import drop_staged, shuffles_dropped, staged_once
 
 _SLACK = 1e-4   # radians; covers rounding in the pruning test, the match itself is tested exactly
 
@@ -50,9 +50,15 @@ def _pivots(reports: DataFrame, n: int) -> np.ndarray:
 
 def similar_pairs(queries: DataFrame, reports: DataFrame, threshold: float, pivots: int = 64,
                   block: int = 4096) -> DataFrame:
-    """(query_id, report_id, cosine) with cosine >= threshold, for distinct vectors (query_id|report_id, vec)."""
+    """(query_id, report_id, cosine) with cosine >= threshold, for distinct vectors (query_id|report_id, vec).
+
+    Both sides are written in blocks, a row each, and blocks meet without a shuffle: no vector is written once for each block
+    that it meets, so that disk grows with the vectors and not with their pairs.
+    """
     spark = queries.sparkSession
-    centres = _pivots(reports, pivots)
+    reports, queries = staged_once(reports.select("report_id", "vec")), staged_once(queries.select("query_id", "vec"))
+    with shuffles_dropped(spark):
+        centres = _pivots(reports, pivots)
     empty = "query_id string, report_id string, cosine double"
     if not len(centres):
         return spark.createDataFrame([], empty)
@@ -63,34 +69,54 @@ def similar_pairs(queries: DataFrame, reports: DataFrame, threshold: float, pivo
             angles = _angles(_stack(batch["vec"]), centres)
             yield batch.assign(pivot=angles.argmin(axis=1).astype("int32"), angle=angles.min(axis=1))
 
-    placed = reports.mapInPandas(nearest, "report_id string, vec array<double>, pivot int, angle double")
-    groups = placed.groupBy("pivot").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()   # <= pivots rows
+    placed, asked = (rows.select(F.col(name).alias("id"), "vec").mapInPandas(nearest, "id string, vec array<double>, pivot int, angle double")
+                     for rows, name in ((reports, "report_id"), (queries, "query_id")))
+    with shuffles_dropped(spark):
+        groups = placed.groupBy("pivot").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()   # <= pivots rows
+        sizes = asked.groupBy("pivot").agg(F.count("*").alias("n")).collect()   # <= pivots rows
     radius = {g["pivot"]: g["radius"] for g in groups}
-    parts = {g["pivot"]: -(-g["n"] // block) for g in groups}
+    reach = np.array([radius.get(p, -np.inf) for p in range(len(centres))]) + theta + _SLACK
+
+    def blocks(rows: DataFrame, groups: list) -> DataFrame:
+        parts = {g["pivot"]: -(-g["n"] // block) for g in groups}
+        number = F.element_at(F.create_map(*[F.lit(x) for p in range(len(centres)) for x in (p, int(parts.get(p, 1)))]), F.col("pivot"))
+        dealt = rows.select("id", "vec", "pivot", F.pmod(F.xxhash64("id"), number).alias("part"))
+        return staged_once(dealt.groupBy("pivot", "part").applyInArrow(_block(centres, reach), "pivot int, part long, ids array<string>, vecs binary, pivots array<int>"))
+
+    held = blocks(placed, groups).select("pivot", F.col("part").alias("rpart"), F.col("ids").alias("report_ids"), F.col("vecs").alias("report_vecs"))
+    met = blocks(asked, sizes).select((F.col("pivot") * F.lit(1 << 32) + F.col("part")).alias("qpart"), "ids", "vecs", "pivots")
+    drop_staged(reports, queries)
+    matches, unfold = _matches(threshold), _unfolded(centres, reach)
+    return met.join(held, F.array_contains("pivots", F.col("pivot"))).drop("pivots").mapInArrow(lambda batches: matches(unfold(batches)), empty)
+
+
+def _block(centres: np.ndarray, reach: np.ndarray):
+    """Some vectors as one row, with the groups that one of them at least has to meet."""
+    def run(rows: pa.Table) -> pa.Table:
+        vectors = rows.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+        near = (_angles(vectors, centres) <= reach).any(axis=0)
+        return pa.table({"pivot": rows.column("pivot").slice(0, 1), "part": rows.column("part").slice(0, 1), "ids": pa.array([rows.column("id").to_pylist()], pa.list_(pa.string())),
+                         "vecs": pa.array([vectors.tobytes()], pa.binary()), "pivots": pa.array([np.flatnonzero(near).tolist()], pa.list_(pa.int32()))})
+    return run
+
 
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reach = np.array([radius.get(p, -np.inf) for p in range(len(centres))]) + theta + _SLACK
+def _unfolded(centres: np.ndarray, reach: np.ndarray):
+    """Of blocks that meet: the rows of the reports, then those of the queries that have to meet their group."""
+    def side(cell: tuple, first: int, ids: pa.Array, vectors: np.ndarray) -> pa.RecordBatch:
+        ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * vectors.shape[1])
+        same = [pa.array(np.full(len(ids), x)) for x in (*cell, first)]
+        return pa.RecordBatch.from_arrays([*same, ids, pa.ListArray.from_arrays(ends, pa.array(vectors.ravel()))], names=["pivot", "rpart", "qpart", "side", "id", "vec"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = _angles(_stack(batch["vec"]), centres) <= reach
-            yield batch.assign(pivots=[np.flatnonzero(row).astype("int32") for row in near])
-
-    # A vector goes to Spark once; its copies for the groups are made there.
-    sent = queries.mapInPandas(visits, "query_id string, vec array<double>, pivots array<int>").select("query_id", "vec", F.explode("pivots").alias("pivot"))
-    # Both sides of a group are cut into blocks: reports by the parts counted above, queries by as many parts as
-    # their own count asks for. A task holds a cell's reports, a bounded number, and streams its queries past them.
-    visited = sent.groupBy("pivot").count().collect()   # <= pivots rows
-    query_parts = {g["pivot"]: -(-g["count"] // (16 * block)) for g in visited}
-    number = lambda sizes: F.element_at(F.create_map(*[
-        F.lit(x) for p in range(len(centres)) for x in (p, int(sizes.get(p, 1)))]), F.col("pivot"))
-    left = sent.withColumn("qpart", F.pmod(F.xxhash64("query_id"), number(query_parts))).withColumn(
-        "rpart", F.explode(F.sequence(F.lit(0).cast("long"), number(parts).cast("long") - 1)))
-    right = placed.drop("angle").withColumn("rpart", F.pmod(F.xxhash64("report_id"), number(parts))).withColumn(
-        "qpart", F.explode(F.sequence(F.lit(0).cast("long"), number(query_parts).cast("long") - 1)))
-
-    cell = ["pivot", "rpart", "qpart"]
-    side = lambda rows, ident, first: rows.select(*cell, F.lit(first).alias("side"), F.col(ident).alias("id"), "vec")
-    both = side(right, "report_id", 0).unionByName(side(left, "query_id", 1))
-    return both.repartition(*cell).sortWithinPartitions(*cell, "side").mapInArrow(_matches(threshold), empty)
+            for i in range(batch.num_rows):
+                cell = tuple(batch.column(c)[i].as_py() for c in ("pivot", "rpart", "qpart"))
+                reports, queries = (np.frombuffer(batch.column(c)[i].as_buffer()).reshape(-1, centres.shape[1]) for c in ("report_vecs", "vecs"))
+                near = np.flatnonzero(_angles(queries, centres[cell[0] : cell[0] + 1])[:, 0] <= reach[cell[0]])
+                if len(near):
+                    yield side(cell, 0, batch.column("report_ids")[i].values, reports)
+                    yield side(cell, 1, batch.column("ids")[i].values.take(pa.array(near)), queries[near])
+    return run
 
 
 #: Queries multiplied at once, and pairs that leave a task at once.
