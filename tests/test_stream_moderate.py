@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlight.operators import guard
+from wardlight.plans import guard_queries
 from wardlight.streaming import moderate, state
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -55,3 +56,13 @@ def test_stream_equals_batch(spark, tmp_path, resets):
         assert {r[0]: r[6] for r in got if r[4] == "delete"} == want_strikes and [r[:6] + r[8:] for r in got] == [r[:6] + r[8:] for r in want]
         return
     assert got == want and len(got) > 30 and any(r[7] for r in got) and not any(r[7] for r in got if r[1] == 3) and any(not r[8] for r in got)
+
+
+def test_parts_do_not_grow_with_the_files(spark, tmp_path):
+    """A table of many files is three micro-batches and a last row, not one micro-batch for each file."""
+    m = spark.range(600).selectExpr("id AS msg_id", "id % 7 AS sender_id", "id % 3 AS chat_id", "timestamp_seconds(1704067200 + id) AS ts", "'text' AS text").repartition(20)
+    stream = guard_queries._dealt(m, str(tmp_path))
+    query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(list((tmp_path / "checkpoint" / "commits").glob("[0-9]*"))) == 4
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 601

@@ -13,6 +13,7 @@ from wardlight.plans import sql as S
 from wardlight.plans.aggregate_queries import _SETTINGS, _settings
 from wardlight.plans.catalog import ORACLES, query
 from wardlight.plans.message_queries import END, SALT, _INDICATORS
+from wardlight.plans.stream_queries import FILES
 from wardlight.session import shared_folder, staged
 from wardlight.streaming import moderate, state
 
@@ -75,19 +76,24 @@ def _moderation(spark, d):
     return m, files, hits, similar, _settings(spark, d).drop("test"), joins, admins
 
 
+def _dealt(m, path):
+    """The messages in three parts of as many files each as a micro-batch takes, whatever the table's files, and the last row."""
+    for part in range(3):
+        m.filter(F.col("msg_id") % 3 == part).repartition(FILES).write.parquet(f"{path}/in/{part}")
+    end = m.agg((F.max("ts") + F.expr("INTERVAL 40 DAYS")).alias("ts")).select(
+        F.lit(-1).cast("long").alias("msg_id"), F.lit(0).cast("long").alias("sender_id"), F.lit(0).cast("long").alias("chat_id"), "ts", F.lit("").alias("text"))
+    end.write.parquet(f"{path}/in/end")
+    return m.sparkSession.readStream.schema(m.schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/in/*")
+
+
 @query("stream_moderate", ORACLES["moderate_messages"])
 def stream_moderate(spark, d):
     """The messages as a stream of three micro-batches, none of them in order of time, and a last row that moves time on."""
     state.use_state_store(spark)
     m, *tables = _moderation(spark, d)
     path = f"{shared_folder(spark)}/moderate-{uuid.uuid4().hex}"
-    for part in range(3):
-        m.filter(F.col("msg_id") % 3 == part).write.parquet(f"{path}/in/{part}")
-    end = m.agg((F.max("ts") + F.expr("INTERVAL 40 DAYS")).alias("ts")).select(
-        F.lit(-1).cast("long").alias("msg_id"), F.lit(0).cast("long").alias("sender_id"), F.lit(0).cast("long").alias("chat_id"), "ts", F.lit("").alias("text"))
-    end.write.parquet(f"{path}/in/end")
     tables[1:3] = [staged(tables[1]), staged(tables[2])]
-    source = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+    source = _dealt(m, path)
     out = moderate.moderate_stream(_flags(source), *tables, F.col("msg_id") % 4 != 0, resets=False, late="31 days")
     out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/out").select("msg_id", "action", "reason", "strikes")
